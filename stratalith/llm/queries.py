@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratalith.llm import bpe, neardup, packing
+from stratalith.llm import bpe, neardup, packing, splitting
 from stratalith.session import table
 
 
@@ -28,6 +28,20 @@ def p1_classes(spark, d):
     return neardup.record_classes(_near_records(spark, d), NODE_BANDING)
 
 
+def _chunking_profiles(spark, d) -> list[splitting.Limits]:
+    rows = table(spark, d, "chunking_profiles").orderBy("profile_name").collect()
+    return [splitting.Limits(r.profile_name, r.target_tokens, r.maximum_tokens, r.overlap_tokens) for r in rows]
+
+
+def p4_found(spark, d):
+    got = splitting.oversized_pieces(table(spark, d, "nodes"), _chunking_profiles(spark, d), with_text=False)
+    return got.select("profile_name", "node_id").distinct()
+
+
+def p4_pieces(spark, d):
+    return splitting.oversized_pieces(table(spark, d, "nodes"), _chunking_profiles(spark, d))
+
+
 def p6_ids(spark, d):
     return bpe.with_ids(table(spark, d, "documents"))
 
@@ -47,7 +61,7 @@ def p7_fill(spark, d):
     return packing.fill_report(p7_containers(spark, d), _context_profiles(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p6_ids, p7_containers, p7_fill)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p4_found, p4_pieces, p6_ids, p7_containers, p7_fill)}
 
 _NEAR = r"""
 plain AS (
@@ -70,4 +84,9 @@ WITH {_NEAR}
 SELECT c.record_kind, id_a, id_b FROM common c
 JOIN n x ON x.record_kind = c.record_kind AND x.id = id_a JOIN n y ON y.record_kind = c.record_kind AND y.id = id_b
 WHERE c >= 0.7 * (x.n + y.n - c) - 1e-9""",
+    "p4_found": r"""
+SELECT DISTINCT profile_name, id AS node_id FROM nodes, chunking_profiles
+WHERE id IS NOT NULL AND greatest(
+  ceil((length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g'))) / 3.6::DOUBLE),
+  len(list_filter(regexp_split_to_array(text, '[\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda w: w <> ''))) > maximum_tokens""",
 }
