@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratalith.llm import bpe, neardup, packing, splitting
+from stratalith.llm import bpe, neardup, packing, reading, splitting
 from stratalith.session import table
 
 
@@ -61,7 +61,16 @@ def p7_fill(spark, d):
     return packing.fill_report(p7_containers(spark, d), _context_profiles(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p4_found, p4_pieces, p6_ids, p7_containers, p7_fill)}
+def p8_found(spark, d):
+    got = reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+    return got.where((F.col("level") >= 4) & (F.col("words") >= reading.LEAST_WORDS)).select("doc_id")
+
+
+def p8_levels(spark, d):
+    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p4_found, p4_pieces, p6_ids, p7_containers, p7_fill, p8_found, p8_levels)}
 
 _NEAR = r"""
 plain AS (
