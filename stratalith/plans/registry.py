@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from stratalith.plans import data_jobs
+from stratalith.plans import data_jobs, text_jobs
 
 FLAGSHIP = "p2_found"
-QUERIES = {**data_jobs.QUERIES}
-SQL = {**data_jobs.SQL}
+QUERIES = {**data_jobs.QUERIES, **text_jobs.QUERIES}
+SQL = {**data_jobs.SQL, **text_jobs.SQL}
