@@ -22,15 +22,12 @@ def resolve_budget(profile: str = C.DEFAULT_PROFILE, requested: int | None = Non
     raise ValueError(f"a budget of {requested} tokens is outside {low} to {high}")
 
 
-def targeted_tasks(ranked: DataFrame) -> DataFrame:
-    """(query_id, targeted): whether a task names exactly one artifact, by file stem or title of over two letters."""
+def names_artifact() -> Column:
+    """Whether the task names the row's artifact, by a file stem or title of over two letters."""
     task = F.lower("query")
     by_stem = (F.length(stem(F.col("relative_path"))) > 2) & F.contains(task, F.lower(stem(F.col("relative_path"))))
     title = F.lower(F.coalesce("title", F.lit("")))
-    named = by_stem | ((F.length(title) > 2) & F.contains(task, title))
-    return ranked.groupBy("query_id").agg(
-        (F.count_distinct(F.when(named, F.col("artifact_id"))) == 1).alias("targeted")
-    )
+    return by_stem | ((F.length(title) > 2) & F.contains(task, title))
 
 
 def overview_ids(kept: DataFrame, reserve: Column) -> DataFrame:
@@ -68,28 +65,28 @@ def bundle(ranked: DataFrame, budget: int) -> DataFrame:
     everything after it is omitted for ``budget``, unless its artifact had used up its share before.
     """
     reserve = int(budget * C.ORIENTATION_SHARE)
+    task = Window.partitionBy("query_id")
     kept = ranked.where(F.col("position").isNotNull())
     chosen = overview_ids(kept, F.lit(reserve)).withColumn("in_overview", F.lit(True))
     rows = (
         ranked.join(chosen, ["query_id", "chunk_id"], "left")
-        .join(targeted_tasks(kept), "query_id", "left")
+        .withColumn("targeted", F.size(F.collect_set(F.when(F.col("position").isNotNull() & names_artifact(), F.col("artifact_id"))).over(task)) == 1)
         .withColumn("in_overview", F.coalesce("in_overview", F.lit(False)))
         .withColumn("body", F.col("position").isNotNull() & ~F.col("in_overview"))
     )
-    reserved = rows.where("in_overview").groupBy("query_id").agg(F.sum("estimated_tokens").alias("reserved"))
-    rows = rows.join(reserved, "query_id", "left").withColumn("reserved", F.coalesce("reserved", F.lit(0)))
+    reserved = F.sum(F.when(F.col("in_overview"), F.col("estimated_tokens"))).over(task)
+    rows = rows.withColumn("reserved", F.coalesce(reserved, F.lit(0)))
     in_artifact = Window.partitionBy("query_id", "artifact_id", "body").orderBy("position")
     rows = rows.withColumn("nth", F.row_number().over(in_artifact))
-    may = F.col("body") & (F.coalesce("targeted", F.lit(False)) | (F.col("nth") <= C.MAX_ITEMS_PER_ARTIFACT))
+    may = F.col("body") & (F.col("targeted") | (F.col("nth") <= C.MAX_ITEMS_PER_ARTIFACT))
     rows = rows.withColumn("may", may)
     running = Window.partitionBy("query_id", "may").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("used", F.col("reserved") + F.sum(F.when(F.col("may"), F.col("estimated_tokens"))).over(running))
-    cutoff = rows.where(F.col("may") & (F.col("used") > budget)).groupBy("query_id").agg(F.min("position").alias("cutoff"))
-    rows = rows.join(cutoff, "query_id", "left")
+    rows = rows.withColumn("cutoff", F.min(F.when(F.col("may") & (F.col("used") > budget), F.col("position"))).over(task))
     before = F.col("cutoff").isNull() | (F.col("position") < F.col("cutoff"))
     rows = rows.withColumn("selected", F.col("may") & before)
     taken = F.sum(F.col("selected").cast("int")).over(Window.partitionBy("query_id", "artifact_id"))
-    rows = rows.withColumn("full", ~F.coalesce("targeted", F.lit(False)) & (taken >= C.MAX_ITEMS_PER_ARTIFACT))
+    rows = rows.withColumn("full", ~F.col("targeted") & (taken >= C.MAX_ITEMS_PER_ARTIFACT))
     hidden = F.col("reason").isin("archived", "superseded")
     suppressed = Window.partitionBy("query_id", hidden).orderBy(F.desc("score"), "relative_path", "chunk_id")
     rows = rows.withColumn("hidden_no", F.when(hidden, F.row_number().over(suppressed)))

@@ -64,12 +64,9 @@ def query_phrases(query: str) -> list[list[str]]:
 
 
 def occurrences(terms: Column, phrase: Sequence[str]) -> Column:
-    """How often the phrase occurs in an array of terms."""
-    if len(phrase) == 1:
-        return F.size(F.filter(terms, lambda t: t == F.lit(phrase[0])))
-    want = F.array(*[F.lit(p) for p in phrase])
-    starts = F.sequence(F.lit(1), F.greatest(F.size(terms) - (len(phrase) - 1), F.lit(1)))
-    return F.size(F.filter(starts, lambda i: F.slice(terms, i, len(phrase)) == want))
+    """How often the phrase occurs in an array of terms. Terms are letters and numbers only, so a space parts them."""
+    line = F.concat(F.lit(" "), F.array_join(terms, " "), F.lit(" "))
+    return F.regexp_count(line, F.lit(f"(?= {' '.join(phrase)} )"))
 
 
 def match(chunks: DataFrame, query: str, mode: str = "all") -> DataFrame:

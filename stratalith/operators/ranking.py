@@ -90,8 +90,7 @@ def rank_order() -> list[Column]:
 def with_visibility(rows: DataFrame) -> DataFrame:
     """``shown``: neither archived nor superseded; where a query has no such candidate all are shown."""
     visible = (F.coalesce("status", F.lit("")) != "archived") & ~F.col("superseded")
-    counts = rows.groupBy("query_id").agg(F.count_if(visible).alias("_visible"))
-    return rows.join(counts, "query_id").withColumn("shown", visible | (F.col("_visible") == 0)).drop("_visible")
+    return rows.withColumn("shown", visible | (F.count_if(visible).over(Window.partitionBy("query_id")) == 0))
 
 
 def greedy_duplicates(rows: DataFrame, overlap: float = C.NEAR_DUPLICATE_OVERLAP) -> DataFrame:
@@ -105,7 +104,7 @@ def greedy_duplicates(rows: DataFrame, overlap: float = C.NEAR_DUPLICATE_OVERLAP
         rows.where("shown")
         .withColumn("rank", F.row_number().over(w))
         .where(F.col("rank") <= C.CANDIDATE_MAXIMUM)
-        .select("query_id", "chunk_id", "rank", F.transform(shingles(normalize(F.coalesce("text", F.lit("")))), F.xxhash64).alias("s"))
+        .select("query_id", "chunk_id", "rank", F.transform(shingles(normalize(F.coalesce("text", F.lit("")))), lambda x: F.xxhash64(x)).alias("s"))
     )
 
     def of_query(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -117,7 +116,7 @@ def greedy_duplicates(rows: DataFrame, overlap: float = C.NEAR_DUPLICATE_OVERLAP
                 gone.append(chunk)
             else:
                 kept.append(own)
-        return pd.DataFrame({"query_id": [key[0]] * len(gone), "chunk_id": gone})
+        return pd.DataFrame({"query_id": [key[0]] * len(gone), "chunk_id": gone}, dtype=object)
 
     kind = rows.schema["query_id"].dataType.simpleString()
     return sets.groupBy("query_id").applyInPandas(of_query, f"query_id {kind}, chunk_id string")
@@ -137,7 +136,7 @@ def near_duplicate_pairs(rows: DataFrame, overlap: float = C.NEAR_DUPLICATE_OVER
     Prefix filtering: two sets as similar as that share one of the few rarest-by-hash shingles of each, so candidates
     come from an equi-join on these, not from all pairs of a query.
     """
-    sets = rows.select("query_id", "chunk_id", F.array_sort(F.transform(shingles(normalize(F.coalesce("text", F.lit("")))), F.xxhash64)).alias("s")).where(F.size("s") > 0)
+    sets = rows.select("query_id", "chunk_id", F.array_sort(F.transform(shingles(normalize(F.coalesce("text", F.lit("")))), lambda x: F.xxhash64(x))).alias("s")).where(F.size("s") > 0)
     prefix = F.size("s") - F.ceil(F.size("s") * overlap).cast("int") + 1
     keys = sets.select("query_id", "chunk_id", "s", F.explode(F.slice("s", F.lit(1), prefix)).alias("key"))
     pairs = (

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from stratalith.plans import data_jobs, text_jobs
+from stratalith.plans import data_jobs, retrieval_jobs, text_jobs
 
-FLAGSHIP = "p2_found"
-QUERIES = {**data_jobs.QUERIES, **text_jobs.QUERIES}
-SQL = {**data_jobs.SQL, **text_jobs.SQL}
+FLAGSHIP = "search_bm25_topk"
+QUERIES = {**data_jobs.QUERIES, **text_jobs.QUERIES, **retrieval_jobs.QUERIES}
+SQL = {**data_jobs.SQL, **text_jobs.SQL, **retrieval_jobs.SQL}
