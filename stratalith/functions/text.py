@@ -13,6 +13,14 @@ from pyspark.sql import types as T
 from stratalith.constants import SHINGLE_WORDS, UNITS_PER_TOKEN
 
 
+#: White space as text formats mean it, the byte order mark included.
+BLANKS = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
+
+
+def trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, f"^{BLANKS}|{BLANKS}$", "")
+
+
 @F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """NFC form; null stays null."""

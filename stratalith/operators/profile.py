@@ -17,8 +17,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalith.functions.text import trimmed
+
 NULL_TOKENS = ("", "null", "n/a", "na")
-BLANKS = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
 LOAD = ["build_id", "table_id"]
 NUMBER = "decimal(38,12)"
 
@@ -44,10 +45,6 @@ PRICE_LIST = (
 )
 
 
-def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{BLANKS}|{BLANKS}$", "")
-
-
 def fits(value: Column, rule: Constraint) -> Column:
     ok = value.rlike(rule.pattern)
     if rule.kind == "date":

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from stratalith import constants as C
 from stratalith.functions.hashing import slug_column, table_sql_name_column
+from stratalith.functions.text import trimmed
 
 
 def is_null_token(c: Column) -> Column:
-    return c.isNull() | F.lower(F.trim(c)).isin(*C.NULL_TOKENS)
+    return c.isNull() | F.lower(trimmed(c)).isin(*C.NULL_TOKENS)
 
 
 def is_boolean(c: Column) -> Column:
@@ -45,7 +46,7 @@ def is_real(c: Column) -> Column:
 
 def infer_type(cell: str = "cell") -> Column:
     """Aggregate: the first of boolean, date, integer, real that all cells satisfy; unknown without any cell."""
-    c = F.trim(F.col(cell))
+    c = trimmed(F.col(cell))
     held = ~is_null_token(F.col(cell))
 
     def all_(test: Column) -> Column:
@@ -78,7 +79,7 @@ def column_statistics(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     type: numbers as numbers, others by code point; they are given as text in the cell's own spelling of the number.
     """
     group = [*keys, "ordinal", "column_name"]
-    plain = cells.withColumn("cell", F.when(~is_null_token(F.col("cell")), F.trim("cell")))
+    plain = cells.withColumn("cell", F.when(~is_null_token(F.col("cell")), trimmed(F.col("cell"))))
     counts = plain.groupBy(*group, "cell").agg(F.count(F.lit(1)).alias("n"))
     number = F.when(is_real(F.col("cell")), F.col("cell").try_cast("double"))
     stats = counts.groupBy(*group).agg(
@@ -113,7 +114,7 @@ def type_widened(cells: DataFrame, keys: Sequence[str], row: str, sample: int =
 
 def typed(column: Column, kind: str) -> Column:
     """A cell as a value of its inferred type; null tokens are null; dates stay text."""
-    c = F.when(~is_null_token(column), F.trim(column))
+    c = F.when(~is_null_token(column), trimmed(column))
     if kind == "boolean":
         return F.lower(c) == "true"
     if kind == "integer":
