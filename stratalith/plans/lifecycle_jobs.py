@@ -243,7 +243,7 @@ tests AS (
       OR (regexp_full_match(v, '-?(0|[1-9]\d{{0,15}})') AND abs(TRY_CAST(v AS HUGEINT)) <= 9007199254740991)) AS r FROM judged)"""
 
 
-_TYPE = "CASE WHEN count(v) = 0 THEN 'unknown' WHEN bool_and(b) THEN 'boolean' WHEN bool_and(dt) THEN 'date' WHEN bool_and(i) THEN 'integer' WHEN bool_and(r) THEN 'real' ELSE 'text' END"
+_TYPE = "CASE WHEN count(v) = 0 THEN 'unknown' WHEN bool_and(b) FILTER (v IS NOT NULL) THEN 'boolean' WHEN bool_and(dt) FILTER (v IS NOT NULL) THEN 'date' WHEN bool_and(i) FILTER (v IS NOT NULL) THEN 'integer' WHEN bool_and(r) FILTER (v IS NOT NULL) THEN 'real' ELSE 'text' END"
 
 
 def _stats_sql(keys: str) -> str:
