@@ -1,0 +1,349 @@
+"""Builds on disk: plan, parse, normalize, chunk, index, validate, seal, activate, roll back, prune, pack.
+
+A build is a directory of parquet entities and a JSON manifest under the project's state directory. It is written
+beside its place and moved there once it is whole; the active pointer is replaced in one rename. Its identity is a hash
+of its inputs and roots, so building the same sources again yields the same id and nothing new.
+"""
+
+from __future__ import annotations
+
+import json
+import os
+import re
+import shutil
+import time
+import zipfile
+from collections.abc import Sequence
+from dataclasses import asdict, dataclass, field
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratalith import __version__
+from stratalith import constants as C
+from stratalith.functions import hashing as H
+from stratalith.functions.globs import IgnoreRule, parse_ignore
+from stratalith.operators import chunking, index, lifecycle, nodes as N, rules as R, tables as T
+from stratalith.sources import files as S
+
+ENTITIES = ("artifacts", "nodes", "chunks", "supersessions", "warnings", "tables", "columns", "objects", "postings", "doc_stats")
+SECRET = re.compile(r"(?:AKIA[0-9A-Z]{16}|-----BEGIN [A-Z ]*PRIVATE KEY-----|gh[pousr]_[A-Za-z0-9]{36,})")
+
+
+class BuildError(RuntimeError):
+    """A build or one of its checks failed."""
+
+
+@dataclass
+class Config:
+    """A project: its name, source directories by id, rules and settings."""
+
+    name: str
+    sources: dict[str, str]
+    rules: list[R.Rule] = field(default_factory=list)
+    strict_rules: bool = False
+    profile: str = C.DEFAULT_PROFILE
+    target_tokens: int = C.TARGET_TOKENS
+    maximum_tokens: int = C.MAXIMUM_TOKENS
+    overlap_tokens: int = C.OVERLAP_TOKENS
+
+    KEYS = ("name", "sources", "rules", "strict_rules", "profile", "target_tokens", "maximum_tokens", "overlap_tokens")
+
+    @classmethod
+    def load(cls, path: str | Path) -> Config:
+        """Read a JSON project file; an unknown key is an error that names the closest known one."""
+        from stratalith.plans.sqlsurface import closest
+
+        raw = json.loads(Path(path).read_text("utf-8"))
+        for key in raw:
+            if key not in cls.KEYS:
+                near = closest(key, cls.KEYS)
+                raise BuildError(f"{key!r} is no setting" + (f"; did you mean {near!r}?" if near else ""))
+        rules = [R.Rule(**{**r, "supersedes": tuple(r.get("supersedes", ()))}) for r in raw.pop("rules", [])]
+        R.check_rules(rules)
+        return cls(rules=rules, **raw)
+
+
+class State:
+    """The state directory: builds, the registry and the active pointer."""
+
+    def __init__(self, root: str | Path):
+        self.root = Path(root)
+        (self.root / "builds").mkdir(parents=True, exist_ok=True)
+
+    def _read(self, name: str, default):
+        p = self.root / name
+        return json.loads(p.read_text("utf-8")) if p.exists() else default
+
+    def _write(self, name: str, value) -> None:
+        temporary = self.root / f".{name}.{os.getpid()}"
+        temporary.write_text(json.dumps(value, indent=1, sort_keys=True), "utf-8")
+        os.replace(temporary, self.root / name)
+
+    def registry(self) -> list[dict]:
+        """Records of all builds, newest first."""
+        return sorted(self._read("registry.json", []), key=lambda r: (r["created_at"], r["build_id"]), reverse=True)
+
+    def record(self, entry: dict) -> None:
+        rest = [r for r in self._read("registry.json", []) if r["build_id"] != entry["build_id"]]
+        self._write("registry.json", [*rest, entry])
+
+    def active(self) -> str | None:
+        return self._read("active.json", {}).get("build_id")
+
+    def activate(self, build: str) -> dict:
+        """Point to a sealed build; the generation counts activations."""
+        known = {r["build_id"]: r for r in self.registry()}
+        if known.get(build, {}).get("state") != "sealed":
+            raise BuildError(f"{build} isn't a sealed build")
+        pointer = {"build_id": build, "generation": self._read("active.json", {}).get("generation", 0) + 1}
+        self._write("active.json", pointer)
+        return pointer
+
+    def rollback(self) -> dict:
+        """Activate the newest sealed build older than the active one."""
+        now = self.active()
+        order = [r["build_id"] for r in self.registry() if r["state"] == "sealed"]
+        if now not in order or order.index(now) + 1 >= len(order):
+            raise BuildError("there is no earlier build to go back to")
+        return self.activate(order[order.index(now) + 1])
+
+    def path(self, build: str) -> Path:
+        return self.root / "builds" / build
+
+    def prune(self, keep: int = C.KEEP_BUILDS) -> list[str]:
+        """Delete all but the active build and the newest ``keep`` that didn't fail."""
+        good = [r["build_id"] for r in self.registry() if r["state"] != "failed"]
+        kept = {*good[:keep], self.active()}
+        gone = [r["build_id"] for r in self.registry() if r["build_id"] not in kept]
+        for build in gone:
+            shutil.rmtree(self.path(build), ignore_errors=True)
+        self._write("registry.json", [r for r in self._read("registry.json", []) if r["build_id"] in kept])
+        return gone
+
+
+def read(spark: SparkSession, state: State, build: str, entity: str) -> DataFrame:
+    return spark.read.parquet(str(state.path(build) / f"{entity}.parquet"))
+
+
+def discovered(spark: SparkSession, config: Config) -> DataFrame:
+    found = None
+    for source, root in config.sources.items():
+        ignore: list[IgnoreRule] = []
+        for name in (".gitignore", ".buildignore"):
+            p = Path(root) / name
+            if p.exists():
+                ignore += parse_ignore(p.read_text("utf-8"), name)
+        one = S.discover(spark, root, H.normalize_source_id(source), ignore)
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        raise BuildError("the project names no source")
+    return found
+
+
+def plan(spark: SparkSession, state: State, config: Config) -> DataFrame:
+    """(change, files) against the active build; writes nothing."""
+    now = S.readable(discovered(spark, config)).select("relative_path", "content_hash")
+    active = state.active()
+    before = read(spark, state, active, "artifacts").select("relative_path", "content_hash") if active else now.where("false")
+    return lifecycle.plan(before, now)
+
+
+def build(spark: SparkSession, state: State, config: Config, activate: bool = True) -> dict:
+    """Build, validate, seal, record and (by default) activate; returns the manifest.
+
+    Unchanged files take their nodes from the active build; only added and changed ones are parsed.
+    """
+    found = discovered(spark, config)
+    usable = S.readable(found)
+    facts = usable.select("artifact_id", "source", "relative_path", "byte_size", "content_hash", "parser", "media_type")
+    collisions = lifecycle.case_collisions(facts).limit(5).collect()
+    if collisions:
+        raise BuildError(f"paths differ only by letter case: {', '.join(r['folded'] for r in collisions)}")
+    unmatched = R.unmatched_rules(facts, config.rules).collect() if config.rules else []
+    if unmatched and config.strict_rules:
+        raise BuildError(f"rules apply to no file: {', '.join(r['match'] for r in unmatched)}")
+    missing = R.unmatched_targets(facts, config.rules).collect() if any(r.supersedes for r in config.rules) else []
+    if missing:
+        raise BuildError(f"rules supersede what isn't there: {', '.join(r['glob'] for r in missing)}")
+
+    temporary = state.root / "builds" / f".tmp-{os.getpid()}-{time.time_ns()}"
+    try:
+        resolved = R.resolve_scalars(facts, config.rules).drop("matched_rules")
+        edges = R.supersessions(facts, config.rules)
+        _write(edges, temporary, "supersessions")
+        edges = spark.read.parquet(str(temporary / "supersessions.parquet"))
+        if R.cyclic(edges).limit(1).collect():
+            raise BuildError("the declared supersessions form a cycle")
+
+        active = state.active()
+        parsed = S.parse(usable if active is None else _changed(spark, state, active, usable))
+        parsed.write.parquet(str(temporary / "parsed.parquet"))
+        parsed = spark.read.parquet(str(temporary / "parsed.parquet"))
+        own = N.normalize_nodes(S.nodes_of(parsed))
+        titles = parsed.select("artifact_id", "title")
+        if active is not None:
+            same = facts.join(read(spark, state, active, "artifacts").select("artifact_id", "content_hash", "title"), ["artifact_id", "content_hash"])
+            own = own.unionByName(read(spark, state, active, "nodes").join(same.select("artifact_id"), "artifact_id", "left_semi"))
+            titles = titles.unionByName(same.select("artifact_id", "title"))
+        _write(own, temporary, "nodes")
+        own = spark.read.parquet(str(temporary / "nodes.parquet"))
+        bodies = N.render_bodies(own)
+        _write(resolved.join(titles, "artifact_id", "left").join(bodies.select("artifact_id", F.sha2("body", 256).alias("object_hash")), "artifact_id", "left"), temporary, "artifacts")
+        arts = spark.read.parquet(str(temporary / "artifacts.parquet"))
+        objects = bodies.select(F.sha2("body", 256).alias("hash"), "body").groupBy("hash").agg(F.any_value("body").alias("body"))
+        _write(objects, temporary, "objects")
+        made = chunking.chunk_nodes(own, config.target_tokens, config.maximum_tokens, config.overlap_tokens)
+        made = made.join(arts.select("artifact_id", F.col("relative_path").alias("path"), "title", "status", "authority"), "artifact_id").withColumn("heading", F.array_join("heading_path", " "))
+        _write(made.withColumnRenamed("id", "chunk_id"), temporary, "chunks")
+        chunks = spark.read.parquet(str(temporary / "chunks.parquet"))
+        searchable = chunks.withColumnRenamed("text", "body")
+        index.postings(searchable).sort("term").write.parquet(str(temporary / "postings.parquet"))
+        _write(index.doc_stats(searchable), temporary, "doc_stats")
+        warned = S.warnings_of(parsed).unionByName(S.discovery_warnings(found))
+        for r in unmatched:
+            warned = warned.unionByName(spark.createDataFrame([("rule-matched-nothing", "rule", r["match"], "the rule applied to no file")], warned.schema))
+        _write(warned, temporary, "warnings")
+        _write_tables(spark, parsed, temporary, None if active is None else (state.path(active), facts))
+        shutil.rmtree(temporary / "parsed.parquet", ignore_errors=True)
+
+        roots = _roots(spark, temporary)
+        settings = {k: v for k, v in asdict(config).items() if k not in ("name", "sources", "rules")}
+        identity = {
+            "version": __version__, "roots": roots, "settings": {k: (v if not isinstance(v, tuple) else list(v)) for k, v in settings.items()},
+            "rules": [{**asdict(r), "supersedes": list(r.supersedes)} for r in config.rules],
+        }
+        name = H.build_id(identity)
+        if state.path(name).exists():
+            shutil.rmtree(temporary)
+            if activate and state.active() != name:
+                state.activate(name)
+            return json.loads((state.path(name) / "manifest.json").read_text("utf-8"))
+        failures = validate(spark, temporary)
+        if failures:
+            state.record({"build_id": name, "state": "failed", "created_at": time.time()})
+            raise BuildError("; ".join(f"{c}: {n}" for c, n in failures))
+        manifest = {"build_id": name, "project": config.name, "identity": identity, "counts": _counts(spark, temporary), "capabilities": ["lexical-search", "structured-context", "table-query"]}
+        (temporary / "manifest.json").write_text(json.dumps(manifest, indent=1, sort_keys=True, ensure_ascii=False), "utf-8")
+        os.replace(temporary, state.path(name))
+    finally:
+        shutil.rmtree(temporary, ignore_errors=True)
+    state.record({"build_id": name, "state": "sealed", "created_at": time.time()})
+    if activate:
+        state.activate(name)
+    return manifest
+
+
+def _changed(spark: SparkSession, state: State, active: str, usable: DataFrame) -> DataFrame:
+    known = read(spark, state, active, "artifacts").select("artifact_id", "content_hash")
+    return usable.join(known, ["artifact_id", "content_hash"], "left_anti")
+
+
+def _write(df: DataFrame, root: Path, entity: str) -> None:
+    df.write.parquet(str(root / f"{entity}.parquet"))
+
+
+def _write_tables(spark: SparkSession, parsed: DataFrame, root: Path, previous: tuple[Path, DataFrame] | None) -> None:
+    """Cells of all tables in one long entity beside their catalog; types and statistics by one shared aggregate."""
+    every = parsed.select("artifact_id", "relative_path", F.inline("tables"))
+    suffix = F.when(F.col("sheet").isNull(), F.lit("table")).otherwise(F.concat(F.lit("sheet-"), F.regexp_replace(F.lower("sheet"), "[^a-z0-9]+", "-")))
+    every = every.withColumn("table_id", F.concat_ws("#", "artifact_id", suffix))
+    catalog = T.sql_names(every.select("table_id", "artifact_id", "relative_path", F.col("name").alias("table_name"), "sheet", "cell_range", F.size("rows").alias("row_count")))
+    cells = (
+        every.select("table_id", "columns", F.posexplode("rows").alias("row_no", "cells"))
+        .select("table_id", "row_no", F.inline(F.arrays_zip(F.col("columns").alias("column_name"), F.col("cells").alias("cell"), F.transform("columns", lambda _, i: i + 1).alias("ordinal"))))
+        .select("table_id", "row_no", "ordinal", "column_name", "cell")
+    )
+    columns = T.column_sql_names(T.column_statistics(cells.drop("row_no"), ["table_id"]))
+    if previous is not None:
+        path, facts = previous
+        same = facts.join(spark.read.parquet(str(path / "artifacts.parquet")).select("artifact_id", "content_hash"), ["artifact_id", "content_hash"]).select("artifact_id")
+        old = spark.read.parquet(str(path / "tables.parquet")).join(same, "artifact_id", "left_semi")
+        catalog = catalog.unionByName(old)
+        ids = old.select("table_id")
+        cells = cells.unionByName(spark.read.parquet(str(path / "cells.parquet")).join(ids, "table_id", "left_semi"))
+        columns = columns.unionByName(spark.read.parquet(str(path / "columns.parquet")).join(ids, "table_id", "left_semi"))
+    _write(catalog, root, "tables")
+    _write(columns, root, "columns")
+    _write(cells, root, "cells")
+
+
+def _roots(spark: SparkSession, root: Path) -> dict[str, str]:
+    """Roots of the entities, independent of how rows are spread; folded, so no list of all rows is made."""
+    out = {}
+    for entity, member in (
+        ("artifacts", F.sha2(F.concat_ws(" ", "artifact_id", "content_hash", "status", F.col("authority").cast("string")), 256)),
+        ("nodes", F.sha2(F.concat_ws(" ", "id", "revision_hash"), 256)),
+        ("chunks", F.sha2(F.concat_ws(" ", "chunk_id", "revision_hash"), 256)),
+        ("tables", F.sha2(F.concat_ws(" ", "table_id", F.col("row_count").cast("string")), 256)),
+        ("objects", F.col("hash")),
+    ):
+        rows = spark.read.parquet(str(root / f"{entity}.parquet")).select(member.alias("member_hash"))
+        got = H.hash_roots(rows).first()
+        out[entity] = got["root"] if got is not None and got["root"] else H.hash_root([])
+    return out
+
+
+def _counts(spark: SparkSession, root: Path) -> dict[str, int]:
+    return {e: spark.read.parquet(str(root / f"{e}.parquet")).count() for e in ENTITIES if (root / f"{e}.parquet").exists()}
+
+
+def validate(spark: SparkSession, root: Path) -> list[tuple[str, int]]:
+    """(check, failures) of the checks that fail."""
+    def get(entity: str) -> DataFrame:
+        return spark.read.parquet(str(root / f"{entity}.parquet"))
+
+    arts, nodes, chunks = get("artifacts"), get("nodes"), get("chunks")
+    checks = {
+        "artifact-identity": arts.groupBy("artifact_id").count().where("count > 1"),
+        "node-integrity": lifecycle.integrity(nodes),
+        "node-identity": nodes.groupBy("id").count().where("count > 1"),
+        "chunk-integrity": lifecycle.node_references(chunks.withColumnRenamed("chunk_id", "id"), nodes),
+        "chunk-provenance": chunks.where(F.col("path").isNull() | (F.size("node_ids") == 0)),
+        "index-parity": chunks.join(get("doc_stats"), "chunk_id", "left_anti"),
+        "supersession-graph": lifecycle.supersession_targets(get("supersessions"), arts),
+        "no-secrets": chunks.where(F.col("text").rlike(SECRET.pattern)),
+        "object-checksums": get("objects").where(F.sha2("body", 256) != F.col("hash")),
+    }
+    counted = None
+    for name, bad in checks.items():
+        one = bad.agg(F.count(F.lit(1)).alias("n")).withColumn("check", F.lit(name))
+        counted = one if counted is None else counted.unionByName(one)
+    return [(r["check"], r["n"]) for r in counted.where("n > 0").collect()]
+
+
+def pack(state: State, build: str, target: str | Path) -> str:
+    """One archive of a build with a checksum list, the same bytes for the same files."""
+    root = state.path(build)
+    members = sorted(p for p in root.rglob("*") if p.is_file() and not p.name.endswith(".crc"))
+    sums = {str(p.relative_to(root)): H.sha256(p.read_bytes()) for p in members}
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for name in sorted(sums):
+            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), (root / name).read_bytes())
+        z.writestr(zipfile.ZipInfo("checksums.json", (1980, 1, 1, 0, 0, 0)), json.dumps(sums, sort_keys=True))
+    return H.sha256(Path(target).read_bytes())
+
+
+def verify_archive(path: str | Path) -> list[tuple[str, str]]:
+    """(member, problem): missing, unlisted or with another checksum."""
+    with zipfile.ZipFile(path) as z:
+        sums = json.loads(z.read("checksums.json"))
+        names = set(z.namelist()) - {"checksums.json"}
+        out = [(n, "missing") for n in sorted(set(sums) - names)] + [(n, "unlisted") for n in sorted(names - set(sums))]
+        return out + [(n, "mismatch") for n in sorted(names & set(sums)) if H.sha256(z.read(n)) != sums[n]]
+
+
+def lock_versions() -> dict[str, str]:
+    """What a lockfile pins."""
+    return {"engine": __version__, "normalization": "1", "chunking": "1", "index": "1", "parsers": "1"}
+
+
+def resolve_settings(*layers: tuple[str, dict], identity: Sequence[str] = ("target_tokens", "maximum_tokens", "overlap_tokens", "strict_rules")) -> dict[str, tuple[object, str, bool]]:
+    """key: (value, layer it comes from, whether it feeds the build's identity); later layers win."""
+    out: dict[str, tuple[object, str, bool]] = {}
+    for name, values in layers:
+        for key, value in values.items():
+            if value is not None:
+                out[key] = (value, name, key in identity)
+    return out

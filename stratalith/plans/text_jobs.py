@@ -9,7 +9,7 @@ from stratalith.functions import text as X
 from stratalith.operators import chunking, nodes as N, ranges
 from stratalith.plans import base as B
 from stratalith.session import table
-from stratalith.sources import formats
+from stratalith.sources import files, formats
 
 
 def text_normalize(spark, d):
@@ -99,12 +99,28 @@ def text_classes(spark, d):
     return got.select("doc_id", formats.text_class(F.encode("text", "UTF-8"), formats.parser_of(F.col("relative_path"))).alias("kind"))
 
 
+def parsed_documents(spark, d):
+    """All documents read by the parser of their path: nodes by kind of each document."""
+    got = B.documents(spark, d).where(F.col("text").isNotNull()).select(
+        "artifact_id", "relative_path", F.coalesce(formats.parser_of(F.col("relative_path")), F.lit("text")).alias("parser"), F.encode("text", "UTF-8").alias("content")
+    )
+    return files.nodes_of(files.parse(got)).groupBy("artifact_id", "kind").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+def parse_warnings(spark, d):
+    got = B.documents(spark, d).where(F.col("text").isNotNull()).select(
+        "artifact_id", "relative_path", F.lit("markdown").alias("parser"), F.encode("text", "UTF-8").alias("content")
+    )
+    return files.warnings_of(files.parse(got)).groupBy("code").agg(F.count(F.lit(1)).alias("files"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         text_normalize, query_terms, estimate_tokens, content_hash, shingle_set, artifact_ids, split_paragraphs,
         normalize_whitespace, revision_hashes, render_body, object_dedupe, chunk_documents, chunk_runs, source_bounds,
         read_range, read_heading, read_truncated, format_registry, text_classes,
+        parsed_documents, parse_warnings,
     )
 }
 
