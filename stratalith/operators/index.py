@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from stratalith.constants import BM25_B, BM25_K1, COLUMN_WEIGHTS, IDF_FLOOR
 from stratalith.functions.globs import sqlite_glob
-from stratalith.functions.text import fold_terms, index_terms
+from stratalith.functions.text import fold_terms, index_terms, without_marks
+from stratalith.session import cut
 
 COLUMNS = tuple(COLUMN_WEIGHTS)
 
@@ -63,47 +64,47 @@ def query_phrases(query: str) -> list[list[str]]:
     return [p for p in (fold_terms(part) for part in query.split()) if p]
 
 
-def occurrences(terms: Column, phrase: Sequence[str]) -> Column:
-    """How often the phrase occurs in an array of terms. Terms are letters and numbers only, so a space parts them."""
-    line = F.concat(F.lit(" "), F.array_join(terms, " "), F.lit(" "))
+def lined(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, path_line, ..., dl): each column's terms as one text with a space before and after every term.
+
+    The cheap form for counting: no array of terms is built. Terms are letters and numbers only, so a space parts them.
+    """
+    plain = [without_marks(F.coalesce(F.col(c), F.lit(""))).alias(f"{c}_line") for c in COLUMNS]
+    folded = chunks.select("chunk_id", *plain)
+    for c in COLUMNS:
+        spaced = F.regexp_replace(F.lower(f"{c}_line"), r"[^\p{L}\p{N}]+", " ")
+        folded = folded.withColumn(f"{c}_line", F.concat(F.lit(" "), F.trim(spaced), F.lit(" ")))
+    length = sum(
+        (F.when(F.col(f"{c}_line") == "  ", 0).otherwise(F.length(f"{c}_line") - F.length(F.replace(f"{c}_line", F.lit(" "), F.lit(""))) - 1) for c in COLUMNS),
+        F.lit(0),
+    )
+    return folded.withColumn("dl", length)
+
+
+def occurrences(line: Column, phrase: Sequence[str]) -> Column:
+    """How often the phrase occurs in a line of terms."""
     return F.regexp_count(line, F.lit(f"(?= {' '.join(phrase)} )"))
 
 
+def weighted_counts(chunks: DataFrame, phrases: Sequence[Sequence[str]]) -> DataFrame:
+    """(chunk_id, dl, tf array<double>): weighted frequencies of the phrases in every chunk."""
+    tf = [sum((occurrences(F.col(f"{c}_line"), p) * F.lit(COLUMN_WEIGHTS[c]) for c in COLUMNS), F.lit(0.0)) for p in phrases]
+    return lined(chunks).select("chunk_id", "dl", F.array(*tf).cast("array<double>").alias("tf"))
+
+
+def _matching(counted: DataFrame, n: int, mode: str) -> DataFrame:
+    hits = F.aggregate("tf", F.lit(0), lambda a, x: a + (x > 0).cast("int"))
+    return counted.where(hits == n if mode == "all" else hits > 0)
+
+
 def match(chunks: DataFrame, query: str, mode: str = "all") -> DataFrame:
-    """(chunk_id, dl, tf array<double>, hit array<int>) of chunks that hold all (or any) phrases of the query.
+    """(chunk_id, dl, tf array<double>) of chunks that hold all (or any) phrases of the query.
 
-    One pass over the chunks; ``tf`` are the weighted frequencies of the phrases, in the order of the query.
+    One pass over the chunks; ``tf`` are the weighted frequencies of the phrases, in the order of the query. A query
+    without terms matches nothing.
     """
     phrases = query_phrases(query)
-    if not phrases:
-        return with_length(tokenized(chunks)).select(
-            "chunk_id", "dl", F.array().cast("array<double>").alias("tf"), F.array().cast("array<int>").alias("hit")
-        ).where("false")
-    counted = with_length(tokenized(chunks)).select(
-        "chunk_id",
-        "dl",
-        F.array(
-            *[
-                sum((occurrences(F.col(f"{c}_terms"), p) * F.lit(COLUMN_WEIGHTS[c]) for c in COLUMNS), F.lit(0.0))
-                for p in phrases
-            ]
-        ).alias("tf"),
-    ).withColumn("hit", F.transform("tf", lambda x: (x > 0).cast("int")))
-    n = F.aggregate("hit", F.lit(0), lambda a, x: a + x)
-    return counted.where(n == len(phrases) if mode == "all" else n > 0)
-
-
-def corpus_stats(chunks: DataFrame, query: str) -> DataFrame:
-    """One row (n, avgdl, df array<bigint>): chunks, mean length and chunks with each phrase."""
-    phrases = query_phrases(query)
-    found = with_length(tokenized(chunks)).select(
-        "dl", *[sum((occurrences(F.col(f"{c}_terms"), p) for c in COLUMNS), F.lit(0)).alias(f"p{i}") for i, p in enumerate(phrases)]
-    )
-    return found.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("dl").alias("avgdl"),
-        F.array(*[F.count_if(F.col(f"p{i}") > 0) for i in range(len(phrases))]).alias("df"),
-    )
+    return _matching(weighted_counts(chunks, phrases), len(phrases), mode) if phrases else weighted_counts(chunks, []).where("false")
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -115,17 +116,23 @@ def term_score(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * dl / avgdl))
 
 
-def bm25(chunks: DataFrame, query: str, mode: str = "all", matched: DataFrame | None = None) -> DataFrame:
+def bm25(chunks: DataFrame, query: str, mode: str = "all", within: DataFrame | None = None) -> DataFrame:
     """(chunk_id, bm25) of the matching chunks; negative, the best lowest. Terms add up in the query's order.
 
-    The corpus statistics are one row, computed over all chunks even if ``matched`` is a filtered subset.
+    Texts are read once: their counts, a few numbers per chunk, are kept in a checkpoint, from which both the corpus
+    statistics (over all chunks) and the scores come. within(chunk_id) restricts what is scored.
     """
-    stats = corpus_stats(chunks, query).first()
-    hits = match(chunks, query, mode) if matched is None else matched
-    if stats is None or not stats["n"]:
-        return hits.select("chunk_id", F.lit(0.0).alias("bm25"))
+    phrases = query_phrases(query)
+    if not phrases:
+        return weighted_counts(chunks, []).where("false").select("chunk_id", F.lit(0.0).alias("bm25"))
+    counted = cut(weighted_counts(chunks, phrases))
+    dfs = F.array(*[F.count_if(F.get("tf", F.lit(i)) > 0) for i in range(len(phrases))])
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), dfs.alias("df")).first()
+    hits = _matching(counted, len(phrases), mode)
+    if within is not None:
+        hits = hits.join(within.select("chunk_id"), "chunk_id", "left_semi")
     idfs = F.transform(F.array(*[F.lit(float(x)) for x in stats["df"]]), lambda df: idf(F.lit(float(stats["n"])), df))
-    parts = F.zip_with("tf", idfs, lambda tf, w: w * term_score(tf, F.col("dl"), F.lit(float(stats["avgdl"]))))
+    parts = F.zip_with("tf", idfs, lambda tf, w: w * term_score(tf, F.col("dl"), F.lit(float(stats["avgdl"] or 1.0))))
     return hits.select("chunk_id", (-F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)).alias("bm25"))
 
 
@@ -159,11 +166,12 @@ def batch_bm25(chunks: DataFrame, queries: DataFrame, mode: str = "any") -> Data
     got = (
         scored.join(terms, "term")
         .groupBy("query_id", "chunk_id")
-        .agg(F.array_sort(F.collect_list(F.struct("term", "part"))).alias("parts"))
-        .withColumn("bm25", -F.aggregate("parts", F.lit(0.0), lambda a, x: a + x["part"]))
+        # Parts add up as integers of 1e-12, which no order of rows can change.
+        .agg(F.sum((F.col("part") * 1e12).cast("bigint")).alias("parts"), F.count(F.lit(1)).alias("hits"))
+        .withColumn("bm25", -F.col("parts") / F.lit(1e12))
     )
     if mode == "all":
-        got = got.join(size, "query_id").where(F.size("parts") == F.col("n_terms"))
+        got = got.join(size, "query_id").where(F.col("hits") == F.col("n_terms"))
     return got.select("query_id", "chunk_id", "bm25")
 
 

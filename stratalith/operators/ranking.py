@@ -104,14 +104,16 @@ def greedy_duplicates(rows: DataFrame, overlap: float = C.NEAR_DUPLICATE_OVERLAP
         rows.where("shown")
         .withColumn("rank", F.row_number().over(w))
         .where(F.col("rank") <= C.CANDIDATE_MAXIMUM)
-        .select("query_id", "chunk_id", "rank", F.transform(shingles(normalize(F.coalesce("text", F.lit("")))), lambda x: F.xxhash64(x)).alias("s"))
+        .select("query_id", "chunk_id", "rank", normalize(F.coalesce("text", F.lit(""))).alias("plain"))
     )
 
     def of_query(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[set[int]] = []
+        kept: list[set[tuple[str, ...]]] = []
         gone = []
-        for chunk, hashes in pdf.sort_values("rank")[["chunk_id", "s"]].itertuples(index=False):
-            own = set(hashes.tolist() if hasattr(hashes, "tolist") else hashes)
+        for chunk, plain in pdf.sort_values("rank")[["chunk_id", "plain"]].itertuples(index=False):
+            words = plain.split()
+            k = C.SHINGLE_WORDS
+            own = {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
             if own and any(_near(own, other, overlap) for other in kept):
                 gone.append(chunk)
             else:
@@ -122,7 +124,7 @@ def greedy_duplicates(rows: DataFrame, overlap: float = C.NEAR_DUPLICATE_OVERLAP
     return sets.groupBy("query_id").applyInPandas(of_query, f"query_id {kind}, chunk_id string")
 
 
-def _near(a: set[int], b: set[int], overlap: float) -> bool:
+def _near(a: set, b: set, overlap: float) -> bool:
     small, large = (a, b) if len(a) < len(b) else (b, a)
     if not small or len(small) < overlap * len(large):
         return False

@@ -54,8 +54,7 @@ def bm25_phrase(spark, d):
 
 def _filtered(spark, d, **where):
     c = B.chunks(spark, d)
-    hits = I.match(I.filtered(c, **where), ANY_QUERY, "any")
-    return I.bm25(c, ANY_QUERY, "any", hits).select("chunk_id", round6(F.col("bm25")).alias("bm25"))
+    return I.bm25(c, ANY_QUERY, "any", I.filtered(c, **where)).select("chunk_id", round6(F.col("bm25")).alias("bm25"))
 
 
 def filter_path_glob(spark, d):
@@ -77,10 +76,10 @@ def filter_artifact(spark, d):
 def search_page(spark, d, query=SEARCH_QUERY, limit=PAGE):
     """One search: match all terms (any, if none does), BM25 candidates, then the ranked page."""
     c = B.chunks(spark, d)
-    hits = I.match(c, query, "all")
-    if len(fold_terms(query)) > 1 and hits.isEmpty():
-        hits = I.match(c, query, "any")
-    best = I.top_k(I.bm25(c, query, "any", hits), R.candidate_count(limit))
+    scores = I.bm25(c, query, "all")
+    if len(fold_terms(query)) > 1 and scores.isEmpty():
+        scores = I.bm25(c, query, "any")
+    best = I.top_k(scores, R.candidate_count(limit))
     rows = best.join(c, "chunk_id").select(
         F.lit("q").alias("query_id"), F.lit(query).alias("query"), "chunk_id", "artifact_id", F.col("path").alias("relative_path"),
         "title", "heading_path", F.col("body").alias("text"), "status", "authority", "bm25",
