@@ -24,6 +24,7 @@ from stratalith import __version__
 from stratalith import constants as C
 from stratalith.functions import hashing as H
 from stratalith.functions.globs import IgnoreRule, parse_ignore
+from stratalith.functions.paths import redact
 from stratalith.operators import chunking, index, lifecycle, nodes as N, rules as R, tables as T
 from stratalith.sources import files as S
 
@@ -150,6 +151,37 @@ def plan(spark: SparkSession, state: State, config: Config) -> DataFrame:
     return lifecycle.plan(before, now)
 
 
+def status(spark: SparkSession, state: State, config: Config) -> dict:
+    """Whether the active build still matches its sources: clean, dirty, or unknown if they can't be read.
+
+    Contents decide, not times. It never fails.
+    """
+    active = state.active()
+    if active is None:
+        return {"build_id": None, "state": "unknown"}
+    try:
+        changes = {r["change"]: r["files"] for r in plan(spark, state, config).collect() if r["change"] != "unchanged"}
+    except Exception as e:
+        return {"build_id": active, "state": "unknown", "message": redact(str(e))[:200]}
+    return {"build_id": active, "state": "dirty" if changes else "clean", "changes": changes}
+
+
+def doctor(spark: SparkSession, state: State) -> list[tuple[str, bool, str]]:
+    """(check, ok, detail) of the environment."""
+    import sys
+
+    shared = spark.conf.get("spark.checkpoint.dir", "")
+    local = spark.sparkContext.master.startswith("local")
+    return [
+        ("python", sys.version_info >= (3, 10), sys.version.split()[0]),
+        ("spark", int(spark.version.split(".")[0]) >= 4, spark.version),
+        ("adaptive execution", spark.conf.get("spark.sql.adaptive.enabled") == "true", "spark.sql.adaptive.enabled"),
+        ("time zone", spark.conf.get("spark.sql.session.timeZone") == "UTC", spark.conf.get("spark.sql.session.timeZone")),
+        ("shared checkpoint folder", bool(shared) or local, shared or "local session"),
+        ("state folder", os.access(state.root, os.W_OK), str(state.root)),
+    ]
+
+
 def build(spark: SparkSession, state: State, config: Config, activate: bool = True) -> dict:
     """Build, validate, seal, record and (by default) activate; returns the manifest.
 

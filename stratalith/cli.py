@@ -7,6 +7,7 @@ import json
 import sys
 
 from stratalith import build as B
+from stratalith.functions.paths import redact
 from stratalith.plans.sqlsurface import SqlRejected, SqlTimeout
 from stratalith.runtime import Runtime, render_bundle
 from stratalith.session import local_session
@@ -16,9 +17,9 @@ def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="stratalith")
     p.add_argument("state")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("plan", "build"):
+    for name in ("plan", "build", "status"):
         sub.add_parser(name).add_argument("config")
-    for name in ("describe", "builds", "rollback", "prune", "tables"):
+    for name in ("describe", "doctor", "builds", "rollback", "prune", "tables"):
         sub.add_parser(name)
     sub.add_parser("activate").add_argument("build")
     s = sub.add_parser("search")
@@ -55,6 +56,10 @@ def main(argv: list[str] | None = None) -> int:
                 got = [r.asDict() for r in B.plan(spark, state, B.Config.load(a.config)).collect()]
             elif a.command == "build":
                 got = B.build(spark, state, B.Config.load(a.config))
+            elif a.command == "status":
+                got = B.status(spark, state, B.Config.load(a.config))
+            elif a.command == "doctor":
+                got = B.doctor(spark, state)
             elif a.command == "describe":
                 got = rt.describe_build()
             elif a.command == "tables":
@@ -71,7 +76,7 @@ def main(argv: list[str] | None = None) -> int:
             else:
                 got = rt.query_table(a.table, a.sql)
     except (B.BuildError, LookupError, ValueError) as e:
-        print(json.dumps({"error": type(e).__name__, "message": str(e)}), file=sys.stderr)
+        print(json.dumps({"error": type(e).__name__, "message": redact(str(e))}), file=sys.stderr)
         return 2 if isinstance(e, SqlRejected) else 1
     except SqlTimeout as e:
         print(json.dumps({"error": "timeout", "message": str(e)}), file=sys.stderr)

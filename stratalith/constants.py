@@ -50,8 +50,11 @@ FORMATS = (
     (
         "code",
         "text/plain",
-        (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".go", ".rs", ".java", ".c", ".h", ".cpp", ".cs", ".rb",
-         ".php", ".sh", ".sql", ".yaml", ".yml", ".json", ".toml", ".css"),
+        (
+            ".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".py", ".go", ".rs", ".java", ".kt", ".rb",
+            ".php", ".cs", ".swift", ".c", ".h", ".cc", ".cpp", ".hpp", ".sh", ".bash", ".zsh", ".sql", ".json", ".jsonc",
+            ".yaml", ".yml", ".toml", ".ini", ".cfg", ".conf", ".gradle", ".tf", ".dockerfile", ".graphql", ".proto",
+        ),
         ("dockerfile", "makefile"),
     ),
     ("html", "text/html", (".html", ".htm"), ()),

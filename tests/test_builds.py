@@ -25,6 +25,7 @@ def test_build_search_read_query_rollback(spark, tmp_path):
     config = B.Config("demo", {"Main": str(src)}, [B.R.Rule("old.txt", status="archived"), B.R.Rule("guides/rollback.md", authority=90, supersedes=("old.txt",))])
     first = B.build(spark, state, config)
     assert first["counts"]["artifacts"] == 4 and B.build(spark, state, config)["build_id"] == first["build_id"]
+    assert B.status(spark, state, config)["state"] == "clean" and all(ok for _, ok, _ in B.doctor(spark, state))
     (src / "guides/deploy.md").write_text("# Deploy\n\nA deployment can rollback when it fails badly.\n")
     assert {r.change: r.files for r in B.plan(spark, state, config).collect()} == {"changed": 1, "unchanged": 3}
     second = B.build(spark, state, config)
@@ -84,3 +85,15 @@ def test_windowed_counts(spark, tmp_path):
     q = windowed_counts(stream).writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [(r.events, r.total) for r in spark.table("counts").collect()] == [(5, 5.0)]
+
+
+def test_paths():
+    from stratalith.functions import paths as P
+
+    assert P.canonical_path("a\\./b/../é.md") == "a/é.md"
+    for bad in ("", "/a", "C:/x", "../x", "a/../../x", "con.txt", ".", "//share/x"):
+        with pytest.raises(ValueError):
+            P.canonical_path(bad)
+    assert P.redact("token=abc123 at https://u:p@host") == "token=[redacted] at https://[redacted]@host"
+    assert P.line_range(3, 5) == "lines 3-5" and P.line_range(3, 3) == "line 3" and P.line_range(0, 1) == ""
+    assert P.searchable_terms("The plan: Rollback rollback of data sets") == ["plan", "rollback", "data"]
