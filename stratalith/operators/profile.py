@@ -54,16 +54,13 @@ def fits(value: Column, rule: Constraint) -> Column:
 
 def column_states(rows: DataFrame, rules: tuple[Constraint, ...] = PRICE_LIST, key: str = "row_no") -> DataFrame:
     """(build_id, table_id, ordinal, value, fit, n): the mergeable state; value is null for null cells."""
-    cells = [F.col(r.column) for r in rules]
-    once = (
-        rows.groupBy(*LOAD, key)
-        .agg(F.max(F.struct("loaded_at", *cells)).alias("r"))
-        .select(*LOAD, *[trimmed(F.col(f"r.{r.column}")).alias(r.column) for r in rules])
-    )
-    lists = F.array(*[F.struct(F.lit(r.ordinal).alias("ordinal"), F.col(r.column).alias("value")) for r in rules])
-    long = once.select(*LOAD, F.inline(lists)).withColumn(
-        "value", F.when(F.lower("value").isin(*NULL_TOKENS), None).otherwise(F.col("value"))
+    # Cells travel as one array, which no branch of a plan can prune: all share the exchange that drops repeated rows.
+    cells = F.array(*[F.col(r.column) for r in rules]).alias("cells")
+    once = rows.groupBy(*LOAD, key).agg(F.max(F.struct("loaded_at", cells))["cells"].alias("cells"))
+    long = once.select(*LOAD, F.posexplode("cells").alias("at", "cell")).select(
+        *LOAD, F.get(F.array(*[F.lit(r.ordinal) for r in rules]), F.col("at")).alias("ordinal"), trimmed(F.col("cell")).alias("value")
     )
+    long = long.withColumn("value", F.when(~F.lower("value").isin(*NULL_TOKENS), F.col("value")))
     counts = long.groupBy(*LOAD, "ordinal", "value").agg(F.count(F.lit(1)).alias("n"))
     fit = F.lit(False)
     for r in rules:
@@ -97,28 +94,25 @@ def column_metrics(states: DataFrame, rules: tuple[Constraint, ...] = PRICE_LIST
     )
 
 
-def load_order(metrics: DataFrame, builds: DataFrame) -> DataFrame:
+def load_order(rows: DataFrame, builds: DataFrame) -> DataFrame:
     """(build_id, table_id, load_no): the loads of each table by creation of their builds."""
     created = builds.groupBy("build_id").agg(F.min("created_at").alias("created_at"))
-    loads = metrics.select(*LOAD).distinct().join(created, "build_id", "left")
+    loads = rows.select(*LOAD).distinct().join(created, "build_id", "left")
     return loads.select(
         *LOAD, F.row_number().over(Window.partitionBy("table_id").orderBy("created_at", "build_id")).alias("load_no")
     )
 
 
-def share_distance(states: DataFrame, metrics: DataFrame, order: DataFrame, rules=PRICE_LIST) -> DataFrame:
+def share_distance(states: DataFrame, order: DataFrame, rules=PRICE_LIST) -> DataFrame:
     """(table_id, load_no, ordinal, distance): half the sum of absolute share differences to the previous load.
 
     Each share is emitted with a plus for its own load and a minus for the next one, so one grouped sum gives the
-    differences without joining loads to each other.
+    differences without joining loads to each other. A column without any value has no shares.
     """
     watched = [r.ordinal for r in rules if r.drift == "shares"]
-    totals = metrics.select(*LOAD, "ordinal", (F.col("row_count") - F.col("null_count")).alias("total"))
-    shares = (
-        states.where(F.col("ordinal").isin(*watched) & F.col("value").isNotNull())
-        .join(totals, [*LOAD, "ordinal"])
-        .join(order, LOAD)
-    )
+    held = states.where(F.col("ordinal").isin(*watched) & F.col("value").isNotNull())
+    totals = held.groupBy(*LOAD, "ordinal").agg(F.sum("n").alias("total"))
+    shares = held.join(totals, [*LOAD, "ordinal"]).join(order, LOAD)
     share = F.col("n") / F.col("total")
     signed = F.array(
         F.struct(F.col("load_no").alias("load_no"), share.alias("share")),
@@ -141,11 +135,11 @@ def profile(rows: DataFrame, builds: DataFrame, rules: tuple[Constraint, ...] =
     """
     states = column_states(rows, rules)
     metrics = column_metrics(states, rules)
-    order = load_order(metrics, builds)
+    order = load_order(rows, builds)
     w = Window.partitionBy("table_id", "ordinal").orderBy("load_no")
     null_share = F.col("null_count") / F.col("row_count")
     joined = metrics.join(order, LOAD).join(
-        share_distance(states, metrics, order, rules), ["table_id", "load_no", "ordinal"], "left"
+        share_distance(states, order, rules), ["table_id", "load_no", "ordinal"], "left"
     )
     before = F.lag("median").over(w)
     return (
