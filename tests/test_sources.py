@@ -117,3 +117,10 @@ def test_broken_files_give_warnings(spark):
     parsed = files.parse(df)
     assert [r.code for r in files.warnings_of(parsed).collect()] == ["parse-failed"]
     assert {r.kind for r in files.nodes_of(parsed).collect()} == {"document", "paragraph"}
+
+
+def test_detect_delimiters(spark):
+    rows = [("a", 1, "x;y;z"), ("a", 2, '"p;q";r;s'), ("b", 1, "x|y"), ("b", 2, "1|2"), ("c", 1, "plain"), ("c", 2, None), ("d", 1, "a,b;c"), ("d", 2, "1,2;3"), ("d", 2, "1,2;3")]
+    df = spark.createDataFrame(rows, "file_path string, record_no int, raw_record string")
+    assert {tuple(r) for r in D.detect_delimiters(df).collect()} == {("a", ";", 3), ("b", "|", 2), ("c", ",", 1), ("d", ",", 2)}
+    assert D.detect_delimiters(df.where("false")).count() == 0
