@@ -12,9 +12,8 @@ on their shingle sets, and only the texts' links are expanded to records.
 
 Defined cases: a null, empty or wordless text is in no pair; copies have similarity 1; a text of fewer words than a
 shingle is one shingle; repeated rows of an id count once; texts of any length are taken whole; an empty table gives no
-rows; extra columns are ignored. A group of more than ``FULL_COPIES`` records with the very same text is not expanded
-into all its pairs: each of its records is paired with the group's smallest id, and links of that text to other texts
-are reported for the smallest id.
+rows; extra columns are ignored. Copies are texts that are equal once normalized; all pairs of their records come out,
+whatever the size of the group.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from stratalith.llm.shingles import byte_slices, mix, normalized, shingle_hashes
 from stratalith.session import cut, ship
 
-FULL_COPIES = 1_000
+BLOCK_IDS = 1_000
 CHUNK_ROWS = 1_000_000
 PAIRS_OUT = 500_000
 
@@ -234,35 +233,61 @@ def text_links(texts: DataFrame, b: Banding) -> DataFrame:
     )
 
 
-def near_pairs(records: DataFrame, b: Banding = Banding(), full_copies: int = FULL_COPIES) -> DataFrame:
-    """(record_kind, id_a, id_b), id_a < id_b, of records(record_kind, id, text) of one kind that are near duplicates."""
+def near_pairs(records: DataFrame, b: Banding = Banding(), full_copies: int | None = None, block: int = BLOCK_IDS) -> DataFrame:
+    """(record_kind, id_a, id_b), id_a < id_b, of records(record_kind, id, text) of one kind that are near duplicates.
+
+    All pairs, whatever the size of a group of copies. Only where ``full_copies`` is given, each record of a larger
+    group is paired with the group's smallest id alone, and links of its text are given for that id.
+    """
     keyed = text_records(records)
     links = text_links(keyed.select("text_key", "plain"), b)
     members = keyed.select("record_kind", "text_key", "id").distinct()
-    groups = members.groupBy("text_key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
-    copies = members.join(groups.where("n > 1"), "text_key")
-    shown = members.join(groups.where(F.col("n") > full_copies), "text_key", "left").where(
-        F.col("first_id").isNull() | (F.col("first_id") == F.col("id"))
-    ).select("record_kind", "text_key", "id")
-    few = copies.where(F.col("n") <= full_copies)
-    same = few.select("record_kind", "text_key", F.col("id").alias("x")).join(
-        few.select("text_key", F.col("id").alias("y")), "text_key"
-    ).where("x < y").select("record_kind", "x", "y")
-    star = copies.where((F.col("n") > full_copies) & (F.col("id") != F.col("first_id"))).select(
-        "record_kind", F.col("first_id").alias("x"), F.col("id").alias("y")
-    )
-    across = (
-        links.join(shown.select("record_kind", F.col("text_key").alias("lo"), F.col("id").alias("x")), "lo")
-        .join(shown.select(F.col("text_key").alias("hi"), F.col("id").alias("y")), "hi")
-        .where("x <> y")
-        .select("record_kind", "x", "y")
+    if full_copies is None:
+        pairs = _expanded(members, links, block)
+    else:
+        groups = members.groupBy("text_key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+        large = members.join(groups.where(F.col("n") > full_copies), "text_key", "left")
+        shown = large.where(F.col("first_id").isNull() | (F.col("first_id") == F.col("id"))).select("record_kind", "text_key", "id")
+        star = large.where(F.col("id") != F.col("first_id")).select("record_kind", F.col("first_id").alias("x"), F.col("id").alias("y"))
+        pairs = _expanded(shown, links, block).unionByName(star)
+    return pairs.select("record_kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+
+def _expanded(members: DataFrame, links: DataFrame, block: int) -> DataFrame:
+    """(record_kind, x, y): all pairs of members(record_kind, text_key, id) of one text and of linked texts.
+
+    The ids of a text come in blocks of about ``block``, dealt by a hash of the id; every two blocks that meet are one
+    row until their pairs are written out, so no task holds more than its share of a text with many copies.
+    """
+    sizes = members.groupBy("text_key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    hot = sizes.where("blocks > 1")
+    parts = (
+        members.join(hot, "text_key", "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        .groupBy("record_kind", "text_key", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+        .agg(F.collect_list("id").alias("ids"))
     )
-    return (
-        across.unionByName(same)
-        .unionByName(star)
-        .select("record_kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-        .distinct()
+
+    def listed(met: DataFrame) -> DataFrame:
+        one = met.select("record_kind", F.explode("xs").alias("x"), "ys")
+        return one.select("record_kind", "x", F.explode("ys").alias("y"))
+
+    within = listed(parts.where(F.size("ids") > 1).select("record_kind", F.col("ids").alias("xs"), F.col("ids").alias("ys"))).where("x < y")
+    later = F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("block")
+    between = listed(
+        parts.where("blocks > block + 1")
+        .select("record_kind", "text_key", F.col("ids").alias("xs"), later)
+        .join(parts.where("blocks > 1").select("text_key", "block", F.col("ids").alias("ys")), ["text_key", "block"])
     )
+    met = links
+    for side in ("lo", "hi"):
+        met = met.join(hot.select(F.col("text_key").alias(side), F.col("blocks").alias(f"{side}_blocks")), side, "left")
+        each = F.sequence(F.lit(0), F.coalesce(f"{side}_blocks", F.lit(1)) - 1)
+        met = met.withColumn(f"{side}_block", F.explode(each))
+    x = parts.select("record_kind", F.col("text_key").alias("lo"), F.col("block").alias("lo_block"), F.col("ids").alias("xs"))
+    y = parts.select(F.col("text_key").alias("hi"), F.col("block").alias("hi_block"), F.col("ids").alias("ys"))
+    across = listed(met.join(x, ["lo", "lo_block"]).join(y, ["hi", "hi_block"])).where("x <> y")
+    return across.unionByName(within).unionByName(between)
 
 
 def classes(links: DataFrame, rounds: int = 40) -> DataFrame:

@@ -60,6 +60,18 @@ def test_large_groups_of_copies_stay_linked_through_one_record(spark):
     assert got == {("c000", f"c{i:03}") for i in range(1, 30)} | {("c000", "z")}
 
 
+def test_groups_of_copies_of_any_size_come_out_whole(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [("node", f"c{i:04}", text.upper() if i % 2 else text) for i in range(1_005)] + [("node", "y", text + " more"), ("node", "z", text + " more")]
+    df = spark.createDataFrame(rows, "record_kind string, id string, text string")
+    ids = sorted(r[1] for r in rows)
+    got = N.near_pairs(df, B)
+    assert got.count() == len(ids) * (len(ids) - 1) // 2 and got.where("id_a >= id_b").count() == 0
+    few = N.near_pairs(df.where("id < 'c0030' or id > 'x'"), B, block=4).collect()
+    kept = [i for i in ids if i < "c0030" or i > "x"]
+    assert sorted((r.id_a, r.id_b) for r in few) == [(a, b) for i, a in enumerate(kept) for b in kept[i + 1 :]]
+
+
 def test_classes(spark):
     rows = _corpus(40, 4)
     df = spark.createDataFrame(rows, "record_kind string, id string, text string")
