@@ -1,8 +1,8 @@
 """Ranking of candidates: scores, visibility, near duplicates, diversity and the reason each dropped one was dropped.
 
 Candidates come as rows (query_id, query, chunk_id, artifact_id, relative_path, title, heading_path, text, status,
-authority, estimated_tokens, bm25), many queries at once. A query has at most 500 candidates (the candidate depth);
-the greedy step handles one query's candidates at a time and nothing else is grouped.
+authority, estimated_tokens, bm25), many queries at once. The greedy step takes a query of up to 500 candidates (the
+candidate depth of a search) in one piece and a larger one in rounds over its near pairs; both give the same result.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stratalith import constants as C
 from stratalith.functions.text import basename, normalize, round6, shingles, stem, words_of
-from stratalith.session import ship
+from stratalith.session import cut, ship
 
 
 def candidate_count(limit: int) -> int:
@@ -93,19 +93,30 @@ def with_visibility(rows: DataFrame) -> DataFrame:
     return rows.withColumn("shown", visible | (F.count_if(visible).over(Window.partitionBy("query_id")) == 0))
 
 
-def greedy_duplicates(rows: DataFrame, overlap: float = C.NEAR_DUPLICATE_OVERLAP) -> DataFrame:
+def greedy_duplicates(rows: DataFrame, overlap: float = C.NEAR_DUPLICATE_OVERLAP, most: int = C.CANDIDATE_MAXIMUM) -> DataFrame:
     """(query_id, chunk_id) of shown candidates that nearly equal a better one which is itself kept.
 
     Greedy in rank order and against kept candidates only: a near b and b near c, but a not near c, keeps a and c.
+    Queries of more than ``most`` shown candidates are decided in rounds, which one action looks for.
     """
     ship(rows.sparkSession)
     w = Window.partitionBy("query_id").orderBy(*rank_order())
     sets = (
         rows.where("shown")
         .withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= C.CANDIDATE_MAXIMUM)
         .select("query_id", "chunk_id", "rank", normalize(F.coalesce("text", F.lit(""))).alias("plain"))
     )
+    large = rows.where("shown").groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("query_id")
+    if large.isEmpty():
+        return _greedy_whole(sets, overlap)
+    large = cut(large)
+    return _greedy_whole(sets.join(large, "query_id", "left_anti"), overlap).unionByName(
+        _greedy_rounds(sets.join(large, "query_id", "left_semi"), overlap)
+    )
+
+
+def _greedy_whole(sets: DataFrame, overlap: float) -> DataFrame:
+    """The greedy step with all candidates of a query in one task."""
 
     def of_query(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[set[tuple[str, ...]]] = []
@@ -120,10 +131,33 @@ def greedy_duplicates(rows: DataFrame, overlap: float = C.NEAR_DUPLICATE_OVERLAP
                 kept.append(own)
         return pd.DataFrame({"query_id": [key[0]] * len(gone), "chunk_id": gone}, dtype=object)
 
-    kind = rows.schema["query_id"].dataType.simpleString()
+    kind = sets.schema["query_id"].dataType.simpleString()
     return sets.groupBy("query_id").applyInPandas(of_query, f"query_id {kind}, chunk_id string")
 
 
+def _greedy_rounds(sets: DataFrame, overlap: float) -> DataFrame:
+    """The greedy step over all near pairs at once.
+
+    Copies of a better candidate are gone whatever becomes of it: it is kept, or both are near what it is gone for. Of
+    the others, a round keeps those that no undecided better one is near and drops what is near them.
+    """
+    sets = cut(sets.select("query_id", "chunk_id", "rank", _hashed_shingles(F.col("plain")).alias("s")).where(F.size("s") > 0).withColumn("set_key", F.sha2(F.array_join(F.transform("s", lambda x: x.cast("string")), ","), 256)))
+    heads = sets.groupBy("query_id", "set_key").agg(F.min("rank").alias("first"))
+    first = sets.join(heads, ["query_id", "set_key"])
+    gone = first.where(F.col("rank") > F.col("first")).select("query_id", "chunk_id")
+    first = first.where(F.col("rank") == F.col("first"))
+    near = _near_sets(first.select("query_id", F.col("rank").alias("chunk_id"), "s"), overlap)
+    left = cut(near.select("query_id", F.col("chunk_a").alias("better"), F.col("chunk_b").alias("worse")))
+    while not left.isEmpty():
+        worse = left.select("query_id", F.col("worse").alias("better")).distinct()
+        out = cut(left.join(worse, ["query_id", "better"], "left_anti").select("query_id", F.col("worse").alias("rank")).distinct())
+        gone = gone.unionByName(first.join(out, ["query_id", "rank"], "left_semi").select("query_id", "chunk_id"))
+        for side in ("better", "worse"):
+            left = left.join(out.select("query_id", F.col("rank").alias(side)), ["query_id", side], "left_anti")
+        left = cut(left.select("query_id", "better", "worse"))
+    return gone
+
+
 def _near(a: set, b: set, overlap: float) -> bool:
     small, large = (a, b) if len(a) < len(b) else (b, a)
     if not small or len(small) < overlap * len(large):
@@ -138,7 +172,15 @@ def near_duplicate_pairs(rows: DataFrame, overlap: float = C.NEAR_DUPLICATE_OVER
     Prefix filtering: two sets as similar as that share one of the few rarest-by-hash shingles of each, so candidates
     come from an equi-join on these, not from all pairs of a query.
     """
-    sets = rows.select("query_id", "chunk_id", F.array_sort(F.transform(shingles(normalize(F.coalesce("text", F.lit("")))), lambda x: F.xxhash64(x))).alias("s")).where(F.size("s") > 0)
+    sets = rows.select("query_id", "chunk_id", _hashed_shingles(normalize(F.coalesce("text", F.lit("")))).alias("s")).where(F.size("s") > 0)
+    return _near_sets(sets, overlap)
+
+
+def _hashed_shingles(plain: Column) -> Column:
+    return F.array_sort(F.transform(shingles(plain), lambda x: F.xxhash64(x)))
+
+
+def _near_sets(sets: DataFrame, overlap: float) -> DataFrame:
     prefix = F.size("s") - F.ceil(F.size("s") * overlap).cast("int") + 1
     keys = sets.select("query_id", "chunk_id", "s", F.explode(F.slice("s", F.lit(1), prefix)).alias("key"))
     pairs = (

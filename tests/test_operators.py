@@ -70,6 +70,29 @@ def test_greedy_keeps_a_and_c(spark):
     assert [r.chunk_id for r in got.collect()] == ["c02"]
 
 
+def test_greedy_knows_no_depth(spark):
+    rows = [_hit(i, "a", bm25=-20.0) for i in range(520)]
+    rows += [(*_hit(600, "a", rows[k][7], bm25=-20.0)[:2], f"d{k}", *_hit(600, "a", rows[k][7], bm25=-20.0)[3:]) for k in (0, 510)]
+    rows += [_hit(i, "a", query="few", text="one two three four five") for i in range(2)]
+    got = ranking.greedy_duplicates(ranking.with_visibility(ranking.scored(spark.createDataFrame(rows, CANDIDATES))))
+    assert {(r.query_id, r.chunk_id) for r in got.collect()} == {("q", "d0"), ("q", "d510"), ("few", "c01")}
+
+
+def test_greedy_in_rounds_equals_greedy_in_one_piece(spark):
+    rnd = random.Random(5)
+    rows = []
+    for family in range(4):
+        words = [f"f{family}w{k}" for k in range(60)]
+        for i in range(12):
+            words = list(words)
+            words[rnd.randrange(60)] = f"edit{family}x{i}" if i % 4 else words[0]
+            rows.append(_hit(family * 12 + i, "a", " ".join(words), query=f"q{family % 2}", bm25=-9 + rnd.random()))
+    rows += [_hit(90, "a", "—", query="q0"), _hit(91, "a", "—", query="q0")]
+    df = ranking.with_visibility(ranking.scored(spark.createDataFrame(rows, CANDIDATES)))
+    whole, rounds = (sorted(tuple(r) for r in ranking.greedy_duplicates(df, most=most).collect()) for most in (500, 3))
+    assert whole == rounds and 5 < len(whole) < 45
+
+
 def test_reasons_and_visibility(spark):
     rows = [_hit(i, "same") for i in range(5)] + [_hit(7, "old", status="archived"), _hit(8, "sup")]
     rows += [_hit(9, "z", query="lone", status="archived")]
