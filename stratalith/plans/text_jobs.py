@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stratalith import constants as C
 from stratalith.functions import hashing as H
 from stratalith.functions import text as X
 from stratalith.operators import chunking, nodes as N, ranges
@@ -90,6 +91,12 @@ def read_truncated(spark, d):
     return got.select("artifact_id", F.length("text").alias("characters"), "truncated", "line_start", "line_end")
 
 
+def read_full(spark, d):
+    """The read as it is in production, cut at ``READ_CHARACTERS``."""
+    got = ranges.read_ranges(B.nodes(spark, d))
+    return got.select("artifact_id", F.length("text").alias("characters"), "truncated", "line_start", "line_end")
+
+
 def format_registry(spark, d):
     return table(spark, d, "documents").select("doc_id", formats.parser_of(F.col("relative_path")).alias("parser"), formats.media_type_of(F.col("relative_path")).alias("media_type"))
 
@@ -119,7 +126,7 @@ QUERIES = {
     for f in (
         text_normalize, query_terms, estimate_tokens, content_hash, shingle_set, artifact_ids, split_paragraphs,
         normalize_whitespace, revision_hashes, render_body, object_dedupe, chunk_documents, chunk_runs, source_bounds,
-        read_range, read_heading, read_truncated, format_registry, text_classes,
+        read_range, read_heading, read_truncated, read_full, format_registry, text_classes,
         parsed_documents, parse_warnings,
     )
 }
@@ -179,6 +186,10 @@ FROM n WHERE text <> '' AND len(heading_path) >= 1 GROUP BY 1, 2""",
 WITH {B.NODES}, b AS (SELECT artifact_id, string_agg(text, chr(10) || chr(10) ORDER BY seq, id) AS t, min(line_start) AS line_start, max(line_end) AS line_end
   FROM n WHERE text <> '' GROUP BY 1)
 SELECT artifact_id, least(length(t), 2000) AS characters, length(t) > 2000 AS truncated, line_start, line_end FROM b""",
+    "read_full": f"""
+WITH {B.NODES}, b AS (SELECT artifact_id, string_agg(text, chr(10) || chr(10) ORDER BY seq, id) AS t, min(line_start) AS line_start, max(line_end) AS line_end
+  FROM n WHERE text <> '' GROUP BY 1)
+SELECT artifact_id, least(length(t), {C.READ_CHARACTERS}) AS characters, length(t) > {C.READ_CHARACTERS} AS truncated, line_start, line_end FROM b""",
     "format_registry": f"SELECT doc_id, {formats.parser_sql('relative_path')} AS parser, {formats.media_type_sql('relative_path')} AS media_type FROM documents",
     "text_classes": "SELECT doc_id, CASE WHEN contains(text, chr(0)) THEN 'binary' ELSE 'text' END AS kind FROM documents WHERE text IS NOT NULL",
 }

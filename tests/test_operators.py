@@ -9,6 +9,7 @@ from stratalith.functions import hashing as H
 from stratalith.functions import text as X
 from stratalith.functions.globs import IgnoreRule, deciding_rule, ignore_regex, parse_ignore, path_glob, sqlite_glob
 from stratalith.operators import chunking, context, index, lifecycle, nodes, ranges, ranking, rules, tables
+from stratalith.plans import text_jobs
 
 CHUNKS = "chunk_id string, artifact_id string, path string, title string, heading string, body string, status string"
 
@@ -178,6 +179,17 @@ def test_reads(spark):
     assert cut.text == "text 0\n\nte" and cut.truncated
 
 
+def test_registered_read_has_the_production_depth(spark, tmp_path):
+    rows = [("short", "s", 0, "x" * 3_000), ("long1", "l", 0, "y" * 150_000), ("long2", "l", 1, "z" * 150_000)]
+    df = spark.createDataFrame(rows, "id string, artifact_id string, seq int, text string").select(
+        "*", F.lit("text").alias("kind"), F.array(F.lit("H")).alias("heading_path"), F.lit(1).alias("line_start"), F.lit(9).alias("line_end"),
+        F.lit("2026-01-01").cast("timestamp").alias("indexed_at"),
+    )
+    df.write.parquet(str(tmp_path / "nodes.parquet"))
+    got = {r.artifact_id: (r.characters, r.truncated) for r in text_jobs.QUERIES["read_full"](spark, str(tmp_path)).collect()}
+    assert got == {"s": (3_000, False), "l": (200_000, True)}
+
+
 def test_types(spark):
     cells = {
         "int": ["1", "-20", "n/a"], "real": ["1.5", "2", ""], "zero": ["007", "1"], "big": ["9007199254740993", "1"], "bool": ["TRUE", "false"],
