@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from stratalith.session import ship
 
-LABEL_BOUND = 1_000
+LABEL_BOUND = 3_000
 PAIR_BOUND = 200_000
 VOCABULARY_BOUND = 6_000
 LEAST_WORDS = 60

@@ -55,3 +55,9 @@ def test_without_labels(spark):
     one = spark.createDataFrame([(1, 3)], "doc_id bigint, reading_level int")
     assert R.reading_levels(documents, one).first().level == 3
     assert R.reading_levels(documents.where("false"), one).count() == 0
+
+
+def test_the_fit_sees_three_thousand_labels(spark):
+    documents = spark.range(3_100).selectExpr("id AS doc_id", "'The text is short.' AS text", "'en' AS lang")
+    labels = documents.selectExpr("doc_id", "1 AS reading_level")
+    assert len(R.graded_features(documents, labels)) == 3_000
