@@ -290,14 +290,18 @@ def _expanded(members: DataFrame, links: DataFrame, block: int) -> DataFrame:
     return across.unionByName(within).unionByName(between)
 
 
-def classes(links: DataFrame, rounds: int = 40) -> DataFrame:
+def classes(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(text_key, class_key) of linked texts: the smallest key of each connected component.
 
-    Alternating large-star and small-star steps, each one shuffle of the edges; lineage is cut by a checkpoint.
+    Alternating large-star and small-star steps, each one shuffle of the edges; lineage is cut by a checkpoint. Runs
+    until nothing changes; where ``rounds`` is given and doesn't suffice, an error is raised.
     """
     edges = cut(links.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-    before = None
-    for _ in range(rounds):
+    before, done = None, 0
+    while True:
+        if done == rounds:
+            raise RuntimeError(f"classes aren't settled after {rounds} rounds")
+        done += 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

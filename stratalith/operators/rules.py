@@ -94,17 +94,20 @@ def unmatched_targets(artifacts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return counts.select(F.inline(lists)).where("n = 0").select("rule_index", "glob")
 
 
-def cyclic(edges: DataFrame, rounds: int = 200) -> DataFrame:
+def cyclic(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(artifact_id) on or between cycles of edges(artifact_id, superseded_id).
 
     Nodes without an edge in or without an edge out can be on no cycle; they are peeled off until nothing changes.
-    Each round is two semi-joins; lineage is cut by a checkpoint every few rounds.
+    Each round is two semi-joins and cuts the lineage by a checkpoint; a chain of n edges takes about n/2 rounds. Where
+    ``rounds`` is given and doesn't suffice, an error is raised.
     """
     left = cut(edges.select("artifact_id", "superseded_id").distinct())
     n = left.count()
-    for _ in range(rounds):
-        if not n:
-            break
+    done = 0
+    while n:
+        if done == rounds:
+            raise RuntimeError(f"cycles aren't settled after {rounds} rounds")
+        done += 1
         outs = left.select(F.col("artifact_id").alias("superseded_id")).distinct()
         ins = left.select(F.col("superseded_id").alias("artifact_id")).distinct()
         left = cut(left.join(outs, "superseded_id", "left_semi").join(ins, "artifact_id", "left_semi"))

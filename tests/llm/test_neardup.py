@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from stratalith.llm import neardup as N
 
 B = N.Banding(shingle=4, threshold=0.7)
@@ -91,6 +93,13 @@ def test_classes(spark):
     assert all(c == root(k)[1] for k, c in got.items())
 
 
+def test_classes_are_settled_or_an_error(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(9)], "lo bigint, hi bigint")
+    with pytest.raises(RuntimeError):
+        N.classes(links, rounds=1)
+    assert {tuple(r) for r in N.classes(links).collect()} == {(i, 0) for i in range(10)}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "record_kind string, id string, text string")
     assert N.near_pairs(df).count() == 0 and N.record_classes(df).count() == 0

@@ -228,6 +228,13 @@ def test_rules_and_cycles(spark):
         rules.check_rules([rules.Rule("x", status="gone")])
 
 
+def test_a_chain_is_no_cycle_or_an_error(spark):
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(8)], "artifact_id string, superseded_id string")
+    with pytest.raises(RuntimeError):
+        rules.cyclic(chain, rounds=2)
+    assert rules.cyclic(chain).count() == 0
+
+
 def test_hashing(spark):
     assert H.canonical({"b": [1, True, None], "a": "é"}) == "o2:s1:as1:és1:ba3:i1:1b1n"
     assert H.shortest_prefix("bld_" + "a" * 64, ["bld_" + "a" * 13 + "b" * 51]) == "bld_" + "a" * 14
