@@ -7,8 +7,9 @@ parallel. Cells stay text until types are inferred over all rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,10 +33,16 @@ class DelimitedFile:
     warnings: list[tuple[str, str]] = field(default_factory=list)
 
 
+def _line_ends(text: str) -> str:
+    return text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
+
+
 def read_records(text: str, delimiter: str) -> list[tuple[int, list[str]]]:
     """(first line, fields) of every record that isn't blank; quoted fields may hold delimiters and line ends."""
-    text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
-    out: list[tuple[int, list[str]]] = []
+    return list(_records(_line_ends(text), delimiter))
+
+
+def _records(text: str, delimiter: str) -> Iterator[tuple[int, list[str]]]:
     at, line, n = 0, 1, len(text)
     fields: list[str] = []
     start = 1
@@ -65,19 +72,19 @@ def read_records(text: str, delimiter: str) -> list[tuple[int, list[str]]]:
             at += 1
             continue
         if fields != [""]:
-            out.append((start, fields))
+            yield start, fields
         fields = []
         at += 1
         line += 1
         start = line
-    return out
 
 
 def delimiter_of(text: str) -> str:
     """The candidate that splits each of the first 20 logical lines alike into the most fields; ties to the earlier."""
     best, most = ",", 1
+    text = _line_ends(text)
     for d in DELIMITERS:
-        widths = {len(f) for _, f in read_records(text, d)[:HEAD_LINES]} if len(text) < 1_000_000 else {len(f) for _, f in read_records(text[:200_000].rpartition("\n")[0], d)[:HEAD_LINES]}
+        widths = {len(f) for _, f in islice(_records(text, d), HEAD_LINES)}
         if len(widths) == 1 and (w := widths.pop()) > most:
             best, most = d, w
     return best

@@ -49,6 +49,13 @@ def test_delimited():
     assert D.unique_headers(["a", "a", "a_2", ""])[0] == ["a", "a_3", "a_2", "column_4"]
 
 
+@pytest.mark.parametrize("end", ["\n", "\r", "\r\n"])
+def test_delimiter_of_large_texts(end):
+    assert D.delimiter_of(f"a;b,c;d{end}" + f"1;2;3{end}" * 200_000) == ";"
+    cell = '"' + f"x, y{end}" * 60_000 + '"'
+    assert D.delimiter_of(f"k;t;z{end}" + f"1;{cell};2{end}" * 5) == ";"
+
+
 def _xlsx():
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     rows = (
