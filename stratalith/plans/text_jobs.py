@@ -106,19 +106,21 @@ def text_classes(spark, d):
     return got.select("doc_id", formats.text_class(F.encode("text", "UTF-8"), formats.parser_of(F.col("relative_path"))).alias("kind"))
 
 
-def parsed_documents(spark, d):
-    """All documents read by the parser of their path: nodes by kind of each document."""
+def _parsed(spark, d):
     got = B.documents(spark, d).where(F.col("text").isNotNull()).select(
         "artifact_id", "relative_path", F.coalesce(formats.parser_of(F.col("relative_path")), F.lit("text")).alias("parser"), F.encode("text", "UTF-8").alias("content")
     )
-    return files.nodes_of(files.parse(got)).groupBy("artifact_id", "kind").agg(F.count(F.lit(1)).alias("nodes"))
+    return files.parse(got)
+
+
+def parsed_documents(spark, d):
+    """All documents read by the parser of their path: nodes by kind of each document."""
+    return files.nodes_of(_parsed(spark, d)).groupBy("artifact_id", "kind").agg(F.count(F.lit(1)).alias("nodes"))
 
 
 def parse_warnings(spark, d):
-    got = B.documents(spark, d).where(F.col("text").isNotNull()).select(
-        "artifact_id", "relative_path", F.lit("markdown").alias("parser"), F.encode("text", "UTF-8").alias("content")
-    )
-    return files.warnings_of(files.parse(got)).groupBy("code").agg(F.count(F.lit(1)).alias("files"))
+    """Warnings of the parser each document gets by its path, by code."""
+    return files.warnings_of(_parsed(spark, d)).groupBy("code").agg(F.count(F.lit(1)).alias("files"))
 
 
 QUERIES = {

@@ -3,6 +3,7 @@ import zipfile
 
 import pytest
 
+from stratalith.plans import text_jobs
 from stratalith.sources import delimited as D
 from stratalith.sources import files, formats, office
 from stratalith.sources.html import decode_html, parse_html
@@ -56,6 +57,13 @@ def test_delimiter_of_large_texts(end):
     assert D.delimiter_of(f"k;t;z{end}" + f"1;{cell};2{end}" * 5) == ";"
 
 
+def test_parse_warnings_follow_the_path(spark, tmp_path):
+    rows = [("wiki", p, "---\njust words\n---\ntext\n") for p in ("a.md", "b.txt", "c.rst")] + [("wiki", "d.txt", " ")]
+    spark.createDataFrame(rows, "source string, relative_path string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.code: r.files for r in text_jobs.QUERIES["parse_warnings"](spark, str(tmp_path)).collect()}
+    assert got == {"frontmatter-invalid": 1, "empty-file": 1}
+
+
 def _xlsx():
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     rows = (
