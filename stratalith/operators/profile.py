@@ -127,15 +127,18 @@ def share_distance(states: DataFrame, order: DataFrame, rules=PRICE_LIST) -> Dat
     )
 
 
-def profile(rows: DataFrame, builds: DataFrame, rules: tuple[Constraint, ...] = PRICE_LIST) -> DataFrame:
+def profile(rows: DataFrame, builds: DataFrame, rules: tuple[Constraint, ...] = PRICE_LIST, kept: DataFrame | None = None) -> DataFrame:
     """Metrics of every column of every load, with the change since the table's previous load.
 
     ``null_shift`` and ``distance`` are absolute differences, ``median_ratio`` the larger by the smaller median; all
-    are null for a table's first load.
+    are null for a table's first load. ``kept`` holds the states of loads delivered before, whose rows aren't in
+    ``rows`` and aren't read again.
     """
     states = column_states(rows, rules)
+    if kept is not None:
+        states = merge_states(kept, states)
     metrics = column_metrics(states, rules)
-    order = load_order(rows, builds)
+    order = load_order(rows if kept is None else states, builds)
     w = Window.partitionBy("table_id", "ordinal").orderBy("load_no")
     null_share = F.col("null_count") / F.col("row_count")
     joined = metrics.join(order, LOAD).join(

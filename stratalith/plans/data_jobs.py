@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from stratalith.operators import profile as P
 from stratalith.operators import records as R
 from stratalith.operators import snapshots as S
-from stratalith.session import table
+from stratalith.session import cut, table
 
 
 def p2_found(spark, d):
@@ -21,15 +23,27 @@ def p3_found(spark, d):
     return P.findings(table(spark, d, "price_rows"), table(spark, d, "table_columns"), table(spark, d, "builds"))
 
 
-def p3_profile(spark, d):
-    got = P.profile(table(spark, d, "price_rows"), table(spark, d, "builds"))
-    return got.selectExpr(
+def _metrics(profiled):
+    return profiled.selectExpr(
         "build_id", "table_id", "ordinal", "row_count", "null_count", "distinct_count", "violations", "min_text",
         "max_text", "cast(min_number as double) min_number", "cast(max_number as double) max_number",
         "floor(median * 10000 + 0.5) / 10000 as median",
     )
 
 
+def p3_profile(spark, d):
+    return _metrics(P.profile(table(spark, d, "price_rows"), table(spark, d, "builds")))
+
+
+def p3_incremental(spark, d):
+    """The profile once the latest build arrives: its states are merged into those kept of the builds before."""
+    rows, builds = table(spark, d, "price_rows"), table(spark, d, "builds")
+    latest = builds.orderBy(F.desc("created_at"), F.desc("build_id")).first()
+    new = F.col("build_id").eqNullSafe(latest["build_id"] if latest else None)
+    kept = cut(P.column_states(rows.where(~new)))
+    return _metrics(P.profile(rows.where(new), builds, kept=kept))
+
+
 def p3_control_limits(spark, d):
     return P.control_limits(P.profile(table(spark, d, "price_rows"), table(spark, d, "builds")))
 
@@ -42,7 +56,7 @@ def p5_valid(spark, d):
     return R.valid(table(spark, d, "segment_lines"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_intervals, p3_found, p3_profile, p3_control_limits, p5_found, p5_valid)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_intervals, p3_found, p3_profile, p3_incremental, p3_control_limits, p5_found, p5_valid)}
 
 _STATES = r"""
 sealed AS (SELECT build_id, row_number() OVER (ORDER BY created_at, build_id) AS ord FROM builds WHERE state = 'sealed'),
@@ -192,3 +206,4 @@ WITH {_RECORDS}
 SELECT record_id, trim(f[seg], {_PAD}) AS segment, trim(f[nd], {_PAD}) AS need, lower(trim(f[pr], {_PAD})) AS priority
 FROM verdicts WHERE reason IS NULL""",
 }
+SQL["p3_incremental"] = SQL["p3_profile"]

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from stratalith.operators import profile as P
 from stratalith.operators import records as R
 from stratalith.operators import snapshots as S
+from stratalith.plans import data_jobs
 
 T0 = datetime(2031, 1, 1)
 
@@ -84,6 +85,18 @@ def test_states_merge(spark):
     assert {(r.build_id, r.table_id, r.ordinal, r.value, r.n, r.fit) for r in parts.collect()} == {(a, b, c, d, e, f) for a, b, c, d, e, f in whole}
 
 
+def test_kept_states_give_the_same_profile(spark, tmp_path):
+    rows = [(b, "t", i % 19, f"AB-{100 + i % 3}", str(i + k), "EUR" if i % (k + 2) else None, "true", "2031-02-28", "a-b", T0, 1) for k, b in enumerate(("b1", "bx", "b4")) for i in range(20)]
+    spark.createDataFrame(rows, PRICE).write.parquet(str(tmp_path / "price_rows.parquet"))
+    _builds(spark).write.parquet(str(tmp_path / "builds.parquet"))
+    whole, merged = (sorted(map(str, data_jobs.QUERIES[q](spark, str(tmp_path)).collect())) for q in ("p3_profile", "p3_incremental"))
+    assert len(whole) == 18 and whole == merged
+    df, builds = spark.createDataFrame(rows, PRICE), _builds(spark)
+    columns = ["build_id", "ordinal", "load_no", "null_shift", "distance", "median_before"]
+    parts = P.profile(df.where("build_id = 'b4'"), builds, kept=P.column_states(df.where("build_id <> 'b4'")))
+    assert sorted(map(str, parts.select(columns).collect())) == sorted(map(str, P.profile(df, builds).select(columns).collect()))
+
+
 def test_control_limits(spark):
     rows = [("b", "t", 1, i, 0.1, 10, 0) for i in range(1, 6)] + [("b", "t", 1, 6, 0.9, 10, 0)]
     df = spark.createDataFrame(rows, "build_id string, table_id string, ordinal int, load_no int, null_share double, distinct_count bigint, violations bigint")
