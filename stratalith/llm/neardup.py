@@ -1,27 +1,35 @@
 """Near-duplicate records with small edits, by tensored banding over MinHash and exact verification.
 
-A table key is a pair (a_i, b_j): a_i out of ``left`` half keys, b_j out of ``right`` half keys, each made of ``rows``
-minhashes. left * right tables of 2 * rows hashes cost only (left + right) * rows minhashes. Two texts of Jaccard
-similarity s share a key with probability (1 - (1 - s^rows)^left) * (1 - (1 - s^rows)^right): 0.998 at 0.7, above
-0.9999 at 0.8 with the defaults.
-
-The tables are never written out. A text sends one row per a_i, carrying all its b_j; the rows of one a_i meet in one
-task and the pairs (a_i, b_j) are formed there, so the shuffle carries ``left`` rows a text instead of left * right.
-Exact copies collapse to one text before anything is paired. Candidate pairs of different texts are verified exactly
-on their shingle sets, and only the texts' links are expanded to records.
+A table key is a pair (a_i, b_j): a_i out of ``left`` half keys of ``left_rows`` minhashes, b_j out of ``right`` half keys
+of ``right_rows``. left * right tables cost only left * left_rows + right * right_rows minhashes. Two texts of Jaccard
+similarity s share a key with probability (1 - (1 - s^left_rows)^left) * (1 - (1 - s^right_rows)^right): 0.9995 at 0.7,
+above 0.9999 at 0.75 with the defaults.
+
+The tables are not written out. A text sends one row per a_i, carrying its b_j (a byte each) and a signature of one bit
+of each of ``bits`` minhashes; the rows of one a_i meet in one task and the pairs (a_i, b_j) are formed there, so the
+shuffle carries ``left`` rows a text instead of left * right. A pair that shares a table key is a candidate only if its
+signatures agree in as many bits as similarity ``threshold`` lets expect, less four standard deviations; so of pairs that
+merely share some boilerplate few get as far as their texts. Candidates are verified exactly on their shingle sets.
+
+Runs of one a_i longer than ``RUN_ROWS`` (texts that share a template) never pile up in a task: runs that a bounded sample
+shows to be long are spread over tasks by salt, and whatever run is long is passed on row by row; only for these rows the
+table keys (a_i, b_j) are written out, and tables that are long even so are compared in blocks. Which way a run takes
+has no bearing on its pairs.
 
 Defined cases: a null, empty or wordless text is in no pair; copies have similarity 1; a text of fewer words than a
 shingle is one shingle; repeated rows of an id count once; texts of any length are taken whole; an empty table gives no
-rows; extra columns are ignored. Copies are texts that are equal once normalized; all pairs of their records come out,
-whatever the size of the group.
+rows; extra columns are ignored. Copies are texts that are equal once normalized (by a 128-bit hash); they collapse to
+one text before anything is paired, and all pairs of their records come out, whatever the size of the group.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +38,15 @@ from stratalith.llm.shingles import byte_slices, mix, normalized, shingle_hashes
 from stratalith.session import cut, ship
 
 BLOCK_IDS = 1_000
-CHUNK_ROWS = 1_000_000
+CHUNK_ROWS = 200_000
 PAIRS_OUT = 500_000
+#: Longest run of one half key that is paired where it meets; rows a block of a longer table.
+RUN_ROWS = 8_192
+BLOCK_ROWS = 4_096
+#: Records drawn to find long runs beforehand, and how often a half key must occur among them.
+SAMPLE_RECORDS = 20_000
+LEAST_SEEN = 20
+SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -40,13 +55,25 @@ class Banding:
 
     shingle: int = 5
     threshold: float = 0.8
-    left: int = 10
-    right: int = 12
-    rows: int = 2
+    left: int = 12
+    left_rows: int = 2
+    right: int = 20
+    right_rows: int = 3
+    bits: int = 128
 
     @property
     def hashes(self) -> int:
-        return (self.left + self.right) * self.rows
+        return max(self.left * self.left_rows + self.right * self.right_rows, self.bits)
+
+    @property
+    def least_bits(self) -> int:
+        """Bits that two signatures must share: one bit agrees with probability (1 + s) / 2."""
+        p = (1 + self.threshold) / 2
+        return math.floor(self.bits * p - 4 * math.sqrt(self.bits * p * (1 - p)))
+
+    @property
+    def payload(self) -> int:
+        return self.right + self.bits // 8
 
     def multipliers(self) -> np.ndarray:
         return np.random.default_rng(20_260_101).integers(0, 2**63, self.hashes, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -55,7 +82,13 @@ class Banding:
 def text_records(records: DataFrame) -> DataFrame:
     """records(record_kind, id, text) to (record_kind, id, text_key, plain), rows without words left out."""
     plain = records.where(F.col("id").isNotNull()).select("record_kind", "id", normalized(F.col("text")).alias("plain"))
-    return plain.where(F.col("plain") != "").withColumn("text_key", F.xxhash64("record_kind", "plain"))
+    return plain.where(F.col("plain") != "").withColumn("text_key", F.unhex(F.md5(F.concat_ws(" ", "record_kind", "plain"))))
+
+
+def distinct_texts(keyed: DataFrame) -> DataFrame:
+    """(k, text_key, plain), each text once: ``k`` is a short key, which two texts may share without harm."""
+    held = keyed.groupBy(F.xxhash64("text_key").alias("k")).agg(F.collect_set(F.struct("text_key", "plain")).alias("t"))
+    return held.select("k", F.inline("t"))
 
 
 def _half_keys(minima: np.ndarray, rows: int) -> np.ndarray:
@@ -69,60 +102,76 @@ def _half_keys(minima: np.ndarray, rows: int) -> np.ndarray:
 
 
 def sketch(raw: np.ndarray, offsets: np.ndarray, b: Banding, multipliers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a keys: left x texts, b keys: right x texts of 16 bits) of a slice of texts."""
+    """(a keys: left x texts, payload: texts x bytes, the b keys and then the signature) of a slice of texts."""
     x, first = shingle_hashes(raw, offsets, b.shingle)
     minima = np.empty((b.hashes, len(first)), np.uint64)
     for i, m in enumerate(multipliers):
         minima[i] = np.minimum.reduceat(x * m, first)
-    keys = _half_keys(minima, b.rows)
-    return keys[: b.left], (keys[b.left :] >> np.uint64(48)).astype(np.uint16)
+    split = b.left * b.left_rows
+    a_keys = _half_keys(minima[:split], b.left_rows)
+    b_keys = _half_keys(minima[split : split + b.right * b.right_rows], b.right_rows)
+    bits = np.packbits((mix(minima[: b.bits]) >> np.uint64(63)).astype(np.uint8), axis=0)
+    return a_keys, np.concatenate([(b_keys >> np.uint64(56)).astype(np.uint8), bits]).T
+
 
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """A binary column of equally long values, one a row of bytes."""
+    n, size = rows.shape
+    ends = pa.py_buffer((np.arange(n + 1, dtype=np.int32) * size).tobytes())
+    return pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
 
-def band_rows(texts: DataFrame, b: Banding) -> DataFrame:
-    """(a_key, text_key, b_keys): ``left`` rows per text; within a task each text is sketched once."""
+
+def _bytes_of(column: pa.Array, size: int) -> np.ndarray:
+    """The rows of bytes of a binary column of equally long values."""
+    return np.frombuffer(column.buffers()[2], np.uint8, len(column) * size, column.offset * size).reshape(-1, size)
+
+
+def band_rows(texts: DataFrame, b: Banding, hot: np.ndarray | None = None) -> DataFrame:
+    """(a_key, salt, k, payload) of texts(k, plain): ``left`` rows per text; salt is positive for a_keys in ``hot``."""
     ship(texts.sparkSession)
+    shared = texts.sparkSession.sparkContext.broadcast(np.sort(hot)) if hot is not None and len(hot) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        multipliers, seen = b.multipliers(), set()
+        multipliers = b.multipliers()
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            new = []
-            for i, k in enumerate(keys.tolist()):
-                if k not in seen:
-                    seen.add(k)
-                    new.append(i)
-            if not new:
-                continue
-            picked = batch.take(pa.array(new))
-            keys = picked.column(0).to_numpy()
-            for begin, end, raw, offsets in byte_slices(picked.column(1)):
-                a_keys, b_keys = sketch(raw, offsets, b, multipliers)
-                packed = np.ascontiguousarray(np.tile(b_keys.T, (b.left, 1)))
-                flat = pa.py_buffer(packed.tobytes())
-                at = pa.py_buffer((np.arange(len(packed) + 1, dtype=np.int32) * (2 * b.right)).tobytes())
+            for begin, end, raw, offsets in byte_slices(batch.column(1)):
+                a_keys, payload = sketch(raw, offsets, b, multipliers)
+                a, k = a_keys.ravel().view(np.int64), np.tile(keys[begin:end], b.left)
+                salt = np.zeros(len(a), np.int32)
+                if shared is not None:
+                    salt = np.where(np.isin(a, shared.value), (k % SALTS + 1).astype(np.int32), salt)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(a_keys.ravel().view(np.int64)),
-                        pa.array(np.tile(keys[begin:end], b.left)),
-                        pa.Array.from_buffers(pa.binary(), len(packed), [None, at, flat]),
-                    ],
-                    names=["a_key", "text_key", "b_keys"],
+                    [pa.array(a), pa.array(salt), pa.array(k), _fixed(np.tile(payload, (b.left, 1)))], names=["a_key", "salt", "k", "payload"]
                 )
 
-    return texts.select("text_key", "plain").mapInArrow(run, "a_key bigint, text_key bigint, b_keys binary")
+    return texts.select("k", "plain").mapInArrow(run, "a_key bigint, salt int, k bigint, payload binary")
+
+
+def hot_keys(records: DataFrame, b: Banding, run_rows: int = RUN_ROWS) -> np.ndarray:
+    """Half keys whose runs a sample of at most about ``SAMPLE_RECORDS`` records shows to be longer than ``run_rows``.
+
+    They are spread from the start; that a long run isn't found here costs time, not pairs. Their number is bounded by
+    the sample's.
+    """
+    n = records.count()
+    if n <= run_rows:
+        return np.empty(0, np.int64)
+    share = min(1.0, SAMPLE_RECORDS / n)
+    drawn = distinct_texts(text_records(records.sample(share, seed=1)))
+    seen = band_rows(drawn, b).groupBy("a_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(LEAST_SEEN, run_rows * share))
+    return np.array([r["a_key"] for r in seen.select("a_key").collect()], np.int64)
 
 
-def _pairs_of_groups(group: np.ndarray, member: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of different members within equal, adjacent group values."""
+def _pairs_of_groups(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places within equal, adjacent group values."""
     at, d = np.arange(len(group)), 1
     while True:
         at = at[at + d < len(group)]
         at = at[group[at + d] == group[at]]
         if not len(at):
             return
-        x, y = member[at], member[at + d]
-        keep = x != y
-        yield np.minimum(x, y)[keep], np.maximum(x, y)[keep]
+        yield at, at + d
         d += 1
 
 
@@ -133,19 +182,25 @@ def _unique_pairs(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return lo[fresh], hi[fresh]
 
 
-def _tensor(a: np.ndarray, text: np.ndarray, b_keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of rows sorted by a: those with the same a key and any equal b key."""
-    run = np.cumsum(np.r_[True, a[1:] != a[:-1]]) - 1
-    shared = np.bincount(run)[run] > 1
-    run, text, b_keys = run[shared], text[shared], b_keys[shared]
+def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits rows of 64-bit words agree."""
+    return 64 * x.shape[-1] - np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+
+
+def _tensor(run: np.ndarray, text: np.ndarray, payload: np.ndarray, b: Banding) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs of rows sorted by run: the same run, any equal b key and signatures that agree enough."""
+    signs = np.ascontiguousarray(payload[:, b.right :]).view(np.uint64)
     los, his, held = [], [], 0
-    for j in range(b_keys.shape[1]):
-        key = run.astype(np.int64) << 16 | b_keys[:, j]
+    for j in range(b.right):
+        key = run.astype(np.int64) << 8 | payload[:, j]
         order = np.argsort(key, kind="stable")
-        for lo, hi in _pairs_of_groups(key[order], text[order]):
-            los.append(lo)
-            his.append(hi)
-            held += len(lo)
+        for at, to in _pairs_of_groups(key[order]):
+            x, y = order[at], order[to]
+            near = (_agree(signs[x], signs[y]) >= b.least_bits) & (text[x] != text[y])
+            x, y = text[x[near]], text[y[near]]
+            los.append(np.minimum(x, y))
+            his.append(np.maximum(x, y))
+            held += len(x)
             if held > PAIRS_OUT:
                 yield _unique_pairs(np.concatenate(los), np.concatenate(his))
                 los, his, held = [], [], 0
@@ -153,37 +208,103 @@ def _tensor(a: np.ndarray, text: np.ndarray, b_keys: np.ndarray) -> Iterator[tup
         yield _unique_pairs(np.concatenate(los), np.concatenate(his))
 
 
-def candidate_pairs(bands: DataFrame, b: Banding) -> DataFrame:
-    """(lo, hi) text keys that share a table key, each pair once."""
+def _met(b: Banding, run_rows: int, chunk_rows: int):
+    """Pairs (lo, hi, null) of runs that meet in a task; rows of longer or salted runs as (a_key, k, payload)."""
+    Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+    names = ["lo", "hi", "payload"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def chunk(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            for lo, hi in _tensor(*(np.concatenate(x) for x in zip(*parts, strict=True))):
-                yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["lo", "hi"])
+    def passed_on(rows: Rows) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[2]), _fixed(rows[3])], names=names)
+
+    def whole(rows: Rows) -> Iterator[pa.RecordBatch]:
+        a, salt, text, payload = rows
+        if not len(a):
+            return
+        run = np.cumsum(np.r_[True, a[1:] != a[:-1]]) - 1
+        size = np.bincount(run)[run]
+        on = (size > run_rows) | (salt > 0)
+        if on.any():
+            yield passed_on(tuple(c[on] for c in rows))
+        keep = (size > 1) & ~on
+        for lo, hi in _tensor(run[keep], text[keep], payload[keep], b):
+            yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.nulls(len(lo), pa.binary())], names=names)
 
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        rows = 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Rows] = []
+        n, long = 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, text = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            packed = batch.column(2)
-            start = packed.offset * 2 * b.right
-            keys = np.frombuffer(packed.buffers()[2], np.uint16, batch.num_rows * b.right, start).reshape(-1, b.right)
-            if rows >= CHUNK_ROWS:
-                cut_at = int(np.searchsorted(a, held[-1][0][-1], side="right"))  # the run in hand is completed first
-                if cut_at < len(a):
-                    held.append((a[:cut_at], text[:cut_at], keys[:cut_at]))
-                    yield from chunk(held)
-                    held, rows = [], 0
-                    a, text, keys = a[cut_at:], text[cut_at:], keys[cut_at:]
-            held.append((a.copy(), text.copy(), keys.copy()))
-            rows += len(a)
+            a, salt, text = (batch.column(i).to_numpy() for i in range(3))
+            rows = (a.copy(), salt.copy(), text.copy(), _bytes_of(batch.column(3), b.payload).copy())
+            if long is not None:  # the long run goes on
+                more = int(np.searchsorted(rows[0], long, side="right"))
+                if more:
+                    yield passed_on(tuple(c[:more] for c in rows))
+                    rows = tuple(c[more:] for c in rows)
+                if not len(rows[0]):
+                    continue
+                long = None
+            held.append(rows)
+            n += len(rows[0])
+            if n < chunk_rows:
+                continue
+            rows = tuple(np.concatenate(c) for c in zip(*held, strict=True))
+            last = int(np.searchsorted(rows[0], rows[0][-1], side="left"))
+            yield from whole(tuple(c[:last] for c in rows))
+            rest = tuple(c[last:] for c in rows)
+            if len(rest[0]) > run_rows:
+                yield passed_on(rest)
+                long, held, n = rest[0][0], [], 0
+            else:
+                held, n = [rest], len(rest[0])
         if held:
-            yield from chunk(held)
+            yield from whole(tuple(np.concatenate(c) for c in zip(*held, strict=True)))
 
-    met = bands.repartition("a_key").sortWithinPartitions("a_key")
-    return met.mapInArrow(run, "lo bigint, hi bigint").distinct()
+    return run
+
+
+def _in_tables(rows: DataFrame, b: Banding, block_rows: int) -> DataFrame:
+    """(lo, hi) of rows(a_key, k, payload) by table keys written out, tables of many rows in blocks of ``block_rows``.
+
+    Every two blocks of a table meet in a task of their own, so a task holds two blocks, whatever the table's size.
+    """
+    keys = F.transform(F.sequence(F.lit(0), F.lit(b.right - 1)), lambda j: F.xxhash64("a_key", j, F.substring(F.col("payload"), j + 1, F.lit(1))))
+    keyed = rows.select("k", F.substring("payload", b.right + 1, b.bits // 8).alias("signs"), F.explode(keys).alias("tab"))
+    sizes = keyed.groupBy("tab").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = sizes.select("tab", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
+    dealt = keyed.join(sizes, "tab").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("tab", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "k", "signs")
+
+    def pair(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        text = pdf["k"].to_numpy()
+        signs = np.frombuffer(b"".join(pdf["signs"]), np.uint64).reshape(len(text), -1)
+        one = pdf["own"].to_numpy() == key[1]
+        first, second = np.flatnonzero(one), np.flatnonzero(one if key[1] == key[2] else ~one)
+        step = max(1, 2_000_000 // max(1, len(second)))
+        los, his = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for at in range(0, len(first), step):
+            some = first[at : at + step]
+            i, j = np.nonzero(_agree(signs[some][:, None, :], signs[second][None, :, :]) >= b.least_bits)
+            x, y = text[some[i]], text[second[j]]
+            los.append(np.minimum(x, y)[x != y])
+            his.append(np.maximum(x, y)[x != y])
+        lo, hi = _unique_pairs(np.concatenate(los), np.concatenate(his))
+        return pd.DataFrame({"lo": lo, "hi": hi})
+
+    return dealt.groupBy("tab", "x", "y").applyInPandas(pair, "lo bigint, hi bigint")
+
+
+def candidate_pairs(bands: DataFrame, b: Banding, run_rows: int = RUN_ROWS, block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(lo, hi) short keys of texts that share a table key and whose signatures agree enough, each pair once."""
+    met = bands.repartition("a_key", "salt").sortWithinPartitions("a_key")
+    found = cut(met.mapInArrow(_met(b, run_rows, chunk_rows), "lo bigint, hi bigint, payload binary"))
+    pairs = found.where("payload IS NULL").select("lo", "hi")
+    long = found.where("payload IS NOT NULL").select(F.col("lo").alias("a_key"), F.col("hi").alias("k"), "payload")
+    if not long.isEmpty():
+        pairs = pairs.unionByName(_in_tables(long, b, block_rows))
+    return pairs.distinct()
 
 
 def _verify(b: Banding):
@@ -222,34 +343,22 @@ def _verify(b: Banding):
     return run
 
 
-def text_links(texts: DataFrame, b: Banding) -> DataFrame:
-    """(lo, hi): pairs of different texts at least as similar as the threshold. texts(text_key, plain) may repeat."""
-    pairs = candidate_pairs(band_rows(texts, b), b)
-    once = texts.groupBy("text_key").agg(F.any_value("plain").alias("plain"))
-    lo = once.select(F.col("text_key").alias("lo"), F.col("plain").alias("plain_lo"))
-    hi = once.select(F.col("text_key").alias("hi"), F.col("plain").alias("plain_hi"))
-    return pairs.join(lo, "lo").join(hi, "hi").select("lo", "hi", "plain_lo", "plain_hi").mapInArrow(
-        _verify(b), "lo bigint, hi bigint"
-    )
-
+def text_links(records: DataFrame, keyed: DataFrame, b: Banding, run_rows: int = RUN_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(lo, hi): text keys of different texts at least as similar as the threshold; keyed are the records' texts."""
+    texts = distinct_texts(keyed)
+    pairs = candidate_pairs(band_rows(texts, b, hot_keys(records, b, run_rows)), b, run_rows, block_rows)
+    lo = texts.select(F.col("k").alias("lo_k"), F.col("text_key").alias("lo"), F.col("plain").alias("plain_lo"))
+    hi = texts.select(F.col("k").alias("hi_k"), F.col("text_key").alias("hi"), F.col("plain").alias("plain_hi"))
+    pairs = pairs.select(F.col("lo").alias("lo_k"), F.col("hi").alias("hi_k"))
+    return pairs.join(lo, "lo_k").join(hi, "hi_k").select("lo", "hi", "plain_lo", "plain_hi").mapInArrow(_verify(b), "lo binary, hi binary")
 
-def near_pairs(records: DataFrame, b: Banding = Banding(), full_copies: int | None = None, block: int = BLOCK_IDS) -> DataFrame:
-    """(record_kind, id_a, id_b), id_a < id_b, of records(record_kind, id, text) of one kind that are near duplicates.
 
-    All pairs, whatever the size of a group of copies. Only where ``full_copies`` is given, each record of a larger
-    group is paired with the group's smallest id alone, and links of its text are given for that id.
-    """
+def near_pairs(records: DataFrame, b: Banding = Banding(), block: int = BLOCK_IDS, run_rows: int = RUN_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(record_kind, id_a, id_b), id_a < id_b, of records(record_kind, id, text) of one kind that are near duplicates."""
     keyed = text_records(records)
-    links = text_links(keyed.select("text_key", "plain"), b)
+    links = text_links(records, keyed, b, run_rows, block_rows)
     members = keyed.select("record_kind", "text_key", "id").distinct()
-    if full_copies is None:
-        pairs = _expanded(members, links, block)
-    else:
-        groups = members.groupBy("text_key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
-        large = members.join(groups.where(F.col("n") > full_copies), "text_key", "left")
-        shown = large.where(F.col("first_id").isNull() | (F.col("first_id") == F.col("id"))).select("record_kind", "text_key", "id")
-        star = large.where(F.col("id") != F.col("first_id")).select("record_kind", F.col("first_id").alias("x"), F.col("id").alias("y"))
-        pairs = _expanded(shown, links, block).unionByName(star)
+    pairs = _expanded(members, links, block)
     return pairs.select("record_kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
@@ -332,7 +441,7 @@ def record_classes(records: DataFrame, b: Banding = Banding()) -> DataFrame:
     without words is a class of its own with no links.
     """
     keyed = text_records(records)
-    links = cut(text_links(keyed.select("text_key", "plain"), b))
+    links = cut(text_links(records, keyed, b))
     degree = links.select(F.explode(F.array("lo", "hi")).alias("text_key")).groupBy("text_key").agg(F.count(F.lit(1)).alias("links"))
     members = keyed.select("record_kind", "id", "text_key").distinct()
     placed = members.join(classes(links), "text_key", "left").join(degree, "text_key", "left").withColumn(

@@ -54,12 +54,41 @@ def test_equals_brute_force(spark):
     assert got == _brute(rows, 4, 0.7)
 
 
-def test_large_groups_of_copies_stay_linked_through_one_record(spark):
-    text = " ".join(f"w{i}" for i in range(40))
-    rows = [("node", f"c{i:03}", text) for i in range(30)] + [("node", "z", text + " more")]
+def test_long_runs_are_split_without_losing_pairs(spark):
+    """Texts that share a template: their runs are over every bound, so they go by sample, by passing on and by blocks."""
+    rnd = random.Random(5)
+    template = [f"t{i}" for i in range(60)]
+    rows = []
+    for i in range(90):
+        words = list(template)
+        for at in rnd.sample(range(60), rnd.randrange(7)):
+            words[at] = f"x{rnd.randrange(40)}"
+        rows.append(("node", f"d{i:03}", " ".join(words)))
+    rows += _corpus(30, 9)
     df = spark.createDataFrame(rows, "record_kind string, id string, text string")
-    got = {tuple(r)[1:] for r in N.near_pairs(df, B, full_copies=10).collect()}
-    assert got == {("c000", f"c{i:03}") for i in range(1, 30)} | {("c000", "z")}
+    want = _brute(rows, 4, 0.7)
+    for run_rows, block_rows in ((8_192, 4_096), (20, 4_096), (20, 16), (1, 2)):
+        assert {tuple(r) for r in N.near_pairs(df, B, run_rows=run_rows, block_rows=block_rows).collect()} == want
+    assert len(N.hot_keys(df, B, 20)) > 0
+
+
+def test_a_run_longer_than_a_chunk_is_passed_on(spark):
+    b, rng = N.Banding(), __import__("numpy").random.default_rng(1)
+    import pyarrow as pa
+
+    a = sorted([7] * 50 + [3, 3, 9, 9] + [8] * 2)
+    pay = rng.integers(0, 255, (len(a), b.payload)).astype("uint8")
+    pay[:] = pay[0]
+    batches = [
+        pa.RecordBatch.from_arrays(
+            [pa.array(a[i : i + 5], pa.int64()), pa.array([0] * len(a[i : i + 5]), pa.int32()), pa.array(range(i, min(i + 5, len(a))), pa.int64()), N._fixed(pay[i : i + 5])],
+            names=["a_key", "salt", "k", "payload"],
+        )
+        for i in range(0, len(a), 5)
+    ]
+    rows = [r for out in N._met(b, 10, 12)(iter(batches)) for r in out.to_pylist()]
+    assert sorted(r["hi"] for r in rows if r["payload"]) == [i for i, x in enumerate(a) if x == 7]
+    assert {(a[r["lo"]], a[r["hi"]]) for r in rows if not r["payload"]} == {(3, 3), (8, 8), (9, 9)}
 
 
 def test_groups_of_copies_of_any_size_come_out_whole(spark):
