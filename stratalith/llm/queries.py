@@ -94,8 +94,9 @@ SELECT c.record_kind, id_a, id_b FROM common c
 JOIN n x ON x.record_kind = c.record_kind AND x.id = id_a JOIN n y ON y.record_kind = c.record_kind AND y.id = id_b
 WHERE c >= 0.7 * (x.n + y.n - c) - 1e-9""",
     "p4_found": r"""
-SELECT DISTINCT profile_name, id AS node_id FROM nodes, chunking_profiles
-WHERE id IS NOT NULL AND greatest(
+WITH n AS (SELECT id, text FROM nodes WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC NULLS LAST) = 1)
+SELECT profile_name, id AS node_id FROM n, chunking_profiles
+WHERE greatest(
   ceil((length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g'))) / 3.6::DOUBLE),
   len(list_filter(regexp_split_to_array(text, '[\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda w: w <> ''))) > maximum_tokens""",
 }

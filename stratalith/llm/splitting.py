@@ -11,9 +11,10 @@ Places are counted in the measure that dominates the text (units or words); if t
 text mixes both kinds, in the sum over words of the larger of the two.
 
 Defined cases: null, empty and blank texts are never oversized; a text of just ``maximum`` isn't split; a text without
-any boundary is cut between characters, never within a surrogate pair, a CR LF or before a combining mark if that can
-be helped; repeated rows of an id are deliveries of one text, of which the latest counts; null ids are skipped; an empty
-table gives no rows; extra columns are ignored.
+any boundary is cut between characters, never within a surrogate pair, a CR LF or before a combining mark (only where a
+run of marks alone fills a piece is it cut inside); repeated rows of an id are deliveries of one text, of which the latest
+counts, be it short or null (of equal times that of the larger hash); null ids are skipped; an empty table gives no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ BOUNDARIES = (
     (5, re.compile(r"(?:\r?\n[^\S\r\n]*){2,}")),
 )
 WINDOW = 0.25
+#: Zero-width joiner and emoji presentation: they and, after a joiner, what follows belong to the character before.
+JOINERS = "\u200d\ufe0f"
 
 
 @dataclass(frozen=True)
@@ -81,21 +84,26 @@ class _Measured:
         blank = np.zeros(n, bool)
         for m in re.finditer(r"\s+", text):
             blank[m.start() : m.end()] = True
-        self.units = np.r_[0, np.cumsum(1 + (codes > 0xFFFF))]
+        self.units = np.zeros(n + 1, np.int32)
+        np.cumsum(1 + (codes > 0xFFFF), out=self.units[1:])
         self.word = ~blank
         begins = self.word & np.r_[True, blank[:-1]]
-        self.words = np.r_[0, np.cumsum(begins)]
+        self.words = np.zeros(n + 1, np.int32)
+        np.cumsum(begins, out=self.words[1:])
         self.strength = np.zeros(n + 1, np.int8)
         for level, pattern in BOUNDARIES:
             for m in pattern.finditer(text):
                 self.strength[m.end()] = level
-        for i in np.flatnonzero(codes >= 0x300):
-            c = text[i]
-            if unicodedata.combining(c) or c in "‍️" or (i and text[i - 1] == "‍"):
-                self.strength[i] = -1
+        if not text.isascii():
+            known, at = np.unique(codes, return_inverse=True)
+            marks = np.array([c >= 0x300 and (chr(c) in JOINERS or unicodedata.combining(chr(c)) > 0) for c in known.tolist()])
+            inside = marks[at] | np.r_[False, (codes == 0x200D)[:-1]]
+            self.strength[:-1][inside] = -1
         for m in re.finditer("\r\n", text):
             self.strength[m.start() + 1] = -1
         self.begins = begins
+        #: The last place up to each one that doesn't lie inside a character.
+        self.whole = np.maximum.accumulate(np.where(self.strength >= 0, np.arange(n + 1, dtype=np.int32), 0))
 
     def size(self, s: int, e: int) -> int:
         words = int(self.words[e] - self.words[s])
@@ -112,12 +120,10 @@ class _Measured:
         yield np.r_[0, np.cumsum(np.diff(units) * cost[which])]
 
 
-def _whole_character(m: _Measured, at: int, low: int, most: int = 32) -> int:
-    """Step back to the start of a character with its marks; a run of more than ``most`` marks is cut where it is."""
-    back = at
-    while back > low and m.strength[back] < 0 and at - back < most:
-        back -= 1
-    return back if m.strength[back] >= 0 else at
+def _whole_character(m: _Measured, at: int, low: int) -> int:
+    """Step back to the start of a character with its marks; if they reach back beyond ``low`` it is cut where it is."""
+    back = int(m.whole[at])
+    return back if back >= low else at
 
 
 def _snap(m: _Measured, place: np.ndarray, at: float, reach: float, low: int, high: int, least: int = 0) -> int:
@@ -209,7 +215,9 @@ def oversized_pieces(nodes: DataFrame, profiles: list[Limits], with_text: bool =
             names = ["profile_name", "node_id", "piece_no", "pieces", "start", "fresh", "end", "tokens", "boundary"]
             yield pd.DataFrame(rows, columns=names + ["text"] * with_text)
 
-    # A token takes at least two bytes (a word and white space), so most texts never leave the JVM.
-    long = nodes.where(F.col("id").isNotNull() & (F.octet_length("text") >= 2 * least)).select("id", "text", "indexed_at")
-    latest = long.groupBy("id").agg(F.max_by("text", F.struct("indexed_at", F.xxhash64("text"))).alias("text"))
+    # The latest delivery counts, then its size. A token takes at least two bytes (a word and white space), so of most
+    # texts only that they are short leaves the scan.
+    long = F.when(F.octet_length("text") >= 2 * least, F.col("text"))
+    sized = nodes.where(F.col("id").isNotNull()).select("id", long.alias("text"), F.struct("indexed_at", F.xxhash64("text")).alias("at"))
+    latest = sized.groupBy("id").agg(F.max_by("text", "at").alias("text")).where(F.col("text").isNotNull())
     return latest.mapInPandas(run, PIECE_COLUMNS + ", text string" * with_text)

@@ -52,5 +52,17 @@ def test_rows(spark):
     assert oversized_pieces(df.where("false"), [LIMITS]).count() == 0
 
 
+def test_the_latest_delivery_decides_even_if_it_is_short(spark):
+    long = "word " * 200
+    rows = [("late-short", long, 1), ("late-short", "short", 2), ("late-null", long, 1), ("late-null", None, 2), ("late-long", "short", 1), ("late-long", long, 2)]
+    got = oversized_pieces(spark.createDataFrame(rows, "id string, text string, indexed_at int"), [LIMITS], with_text=False)
+    assert {r.node_id for r in got.select("node_id").distinct().collect()} == {"late-long"}
+
+
+def test_a_character_keeps_its_marks_however_many():
+    text = ("e" + "\u0301" * 60) * 100
+    assert all(not p.start or text[p.start] == "e" for p in _check(text, Limits("m", 40, 60, 0)))
+
+
 def test_exact_limit_is_not_split():
     assert len(split("w " * 60, Limits("e", 40, 60, 5))) == 1 and len(split("w " * 61, Limits("e", 40, 60, 5))) > 1
