@@ -6,11 +6,16 @@ subordinating words) and the relative frequencies of plain lower-case words. The
 documents which of the two is harder (logistic loss on score differences, L2 penalty); isotonic regression (pool
 adjacent violators) maps scores to levels, interpolating between the pooled blocks.
 
-Everything but the fit covers all documents. The fit uses at most ``LABEL_BOUND`` graded documents, drawn by a hash of
-their key, and at most ``PAIR_BOUND`` pairs of them, so what the driver holds doesn't grow with the corpus.
+Whether a document without a language is English is learned too: from the words of at most ``LANGUAGE_DOCS`` documents of
+each language that is given (naive Bayes over words and single CJK characters, the ``LANGUAGE_WORDS`` most frequent of
+each language).
+
+Everything but the fits covers all documents. The fits use at most ``LABEL_BOUND`` graded documents, drawn by a hash of
+their key, at most ``PAIR_BOUND`` pairs and ``VOCABULARY_BOUND`` words of them, and the documents drawn for the languages,
+so what the driver holds doesn't grow with the corpus.
 
 Defined cases: a document without prose (null, empty or blank text, code, tables) has 0 words, language as given or
-null and no level; equal scores have equal levels; a repeated label counts once, of differing labels of a document the
+null and no level; without any document whose language is given only those given as English count; equal scores have equal levels; a repeated label counts once, of differing labels of a document the
 smallest; without any label or with labels of one level there is no ranking and each level is that one or null;
 documents of other languages have no level; very long texts are read whole; extra columns are ignored.
 """
@@ -24,23 +29,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalith.session import ship
+from stratalith.session import cut, ship
 
 LABEL_BOUND = 3_000
 PAIR_BOUND = 200_000
 VOCABULARY_BOUND = 6_000
 LEAST_WORDS = 60
+LANGUAGE_DOCS = 200
+LANGUAGE_WORDS = 2_000
 
-#: Frequent function words by which English is told from the other languages of the corpus.
-FUNCTION_WORDS = {
-    "en": frozenset("the of and to in is that for with as this it by are be on at from not was an has can its every each before when".split()),
-    "de": frozenset("der die das und den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass wird bei ein einer wenn vor über bitte erst nach".split()),
-    "fr": frozenset("le la les de des et en un une du que est pour qui dans par sur plus pas au avec se ce il sont ne aux avant quand dans".split()),
-    "es": frozenset("el la los las de del y en un una que es por con para se no su al lo como más o cuando antes hay sigue".split()),
-}
 #: Words that join or subordinate clauses.
 CLAUSE_WORDS = frozenset(
     "although because whereas while unless which whose that provided so if when whether consequently insofar until since "
@@ -51,6 +51,8 @@ _FENCE = re.compile(r"^\s*(```|~~~)")
 _ITEM = re.compile(r"^\s*(?:[-*+•]|\d{1,3}[.)])\s+")
 _TABLE = re.compile(r"^\s*\|.*\||^\s*\|?\s*:?-{3,}:?\s*\|")
 _RULE = re.compile(r"^\s*(?:-{3,}|={3,}|\*{3,}|_{3,})\s*$")
+#: A line of front matter: a key, an item, something indented, a comment or nothing.
+_SETTING = re.compile(r"^(?:[\w.\"'-][\w .\"'-]*:(?:\s|$)|\s*-\s|\s+\S|\s*#|\s*$|\s*[\]}])")
 _SPEAKER = re.compile(r"^[^\W\d_][\w'’-]*:\s+")
 _CODE = re.compile(
     r"[;{}]\s*$|^\s*(?:def |class |import |from \S+ import|return\b|const |let |var |export |function |SELECT |for \(|if \(|while \(|#\s|//|\$ )|\w+\([^)]*\)\s*[;:{]|--\w+"
@@ -62,6 +64,16 @@ _INVISIBLE = re.compile("[​‌‍⁠­﻿\x00-\x08\x0e-\x1f]")
 DENSE = ("words_per_sentence", "commas_per_sentence", "clauses_per_sentence", "letters_per_word", "share_7", "share_10", "share_13", "vowel_groups")
 
 
+def _front_matter(lines: list[str]) -> int:
+    """The first line after front matter that opens in line 0, or 0 if what follows isn't any, however long it is."""
+    for i in range(1, len(lines)):
+        if lines[i].strip() in ("---", "..."):
+            return i + 1
+        if not _SETTING.match(lines[i]):
+            return 0
+    return 0
+
+
 def prose_of(text: str | None) -> list[str]:
     """Paragraphs, list items and steps of a text, each as one line."""
     if not text or not text.strip():
@@ -69,8 +81,7 @@ def prose_of(text: str | None) -> list[str]:
     lines = _INVISIBLE.sub("", text).replace("\r\n", "\n").replace("\r", "\n").split("\n")
     begin = 0
     if lines[0].strip() == "---":
-        close = next((i for i in range(1, min(len(lines), 60)) if lines[i].strip() in ("---", "...")), 0)
-        begin = close + 1 if close else 0
+        begin = _front_matter(lines)
     out: list[str] = []
     block: list[str] = []
     item = False
@@ -117,12 +128,37 @@ def prose_of(text: str | None) -> list[str]:
     return out
 
 
-def is_english(words: list[str], text: str) -> bool:
-    if len(_CJK.findall(text)) * 4 > len(words):
-        return False
-    lower = Counter(w.lower() for w in words)
-    hits = {lang: sum(lower[w] for w in known) for lang, known in FUNCTION_WORDS.items()}
-    return hits["en"] > 0 and all(hits["en"] >= n for lang, n in hits.items())
+def language_words(text: str) -> Counter:
+    """What tells a language: lower-case words, and CJK characters one by one."""
+    found = Counter(_CJK.findall(text))
+    found.update(w.lower() for w in _WORD.findall(_CJK.sub(" ", text)))
+    return found
+
+
+@dataclass
+class Languages:
+    """Naive Bayes over words; words that no language knows tell nothing."""
+
+    names: list[str]
+    weights: dict[str, np.ndarray]
+
+    @classmethod
+    def learn(cls, counts: dict[str, Counter]) -> Languages:
+        names = sorted(counts)
+        known = sorted({w for c in counts.values() for w in c})
+        if not known:
+            return cls(names, {})
+        table = np.array([[counts[n][w] for n in names] for w in known], float) + 0.1
+        weights = np.log(table / table.sum(axis=0))
+        return cls(names, dict(zip(known, weights - weights.mean(axis=1, keepdims=True), strict=True)))
+
+    def tell(self, words: Counter) -> str | None:
+        """The likeliest language, or null if no word is known."""
+        hits = [(self.weights[w], c) for w, c in words.items() if w in self.weights]
+        if not hits:
+            return None
+        total = sum(v * c for v, c in hits)
+        return self.names[int(np.argmax(total))]
 
 
 @dataclass
@@ -148,7 +184,7 @@ def _vowel_groups(word: str) -> int:
     return n
 
 
-def features_of(text: str | None, lang: str | None) -> Features:
+def features_of(text: str | None, lang: str | None, languages: Languages | None = None) -> Features:
     if lang is not None and lang != "en":
         return Features(0, False)
     prose = prose_of(text)
@@ -157,7 +193,7 @@ def features_of(text: str | None, lang: str | None) -> Features:
     joined = "\n".join(prose)
     words = _WORD.findall(joined)
     n = sum(len(p.split()) for p in prose)
-    english = lang == "en" or is_english(words, joined)
+    english = lang == "en" or (languages is not None and languages.tell(language_words(joined)) == "en")
     if not english or not words:
         return Features(n, english)
     sentences = sum(max(1, len(_SENTENCE_END.findall(p))) for p in prose)
@@ -261,44 +297,88 @@ def fit(graded: list[tuple[Features, int]], penalty: float = 1e-3, steps: int =
     return ranker
 
 
-def graded_features(documents: DataFrame, labels: DataFrame, bound: int = LABEL_BOUND) -> list[tuple[Features, int]]:
-    """Features of at most ``bound`` graded documents, drawn by a hash of their key."""
+def learned(documents: DataFrame, labels: DataFrame, bound: int = LABEL_BOUND, per_language: int = LANGUAGE_DOCS) -> tuple[Languages, list[tuple[Features, int]]]:
+    """(languages, features of graded documents) from at most ``bound`` graded documents and ``per_language`` of each
+    given language, all drawn by a hash of their key; one pass over the texts."""
     ship(documents.sparkSession)
-    drawn = (
+    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
+    graded = (
         labels.where(F.col("doc_id").isNotNull() & F.col("reading_level").isNotNull())
         .groupBy("doc_id")
         .agg(F.min("reading_level").alias("reading_level"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .orderBy(*by_hash)
         .limit(bound)
     )
+    spoken = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select(
+        "doc_id", F.lit(True).alias("spoken"), F.row_number().over(Window.partitionBy("lang").orderBy(*by_hash)).alias("no")
+    )
+    drawn = (
+        graded.select("doc_id", "reading_level", F.lit(None).cast("boolean").alias("spoken"))
+        .unionByName(spoken.where(F.col("no") <= per_language).select("doc_id", F.lit(None).cast("int").alias("reading_level"), "spoken"))
+        .groupBy("doc_id")
+        .agg(F.max("reading_level").cast("int").alias("reading_level"), F.max("spoken").alias("spoken"))
+    )
     texts = documents.select("doc_id", "text", "lang").join(drawn, "doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc_id, text, lang, level in zip(pdf["doc_id"], pdf["text"], pdf["lang"], pdf["reading_level"], strict=True):
-                f = features_of(text, lang)
-                rows.append((doc_id, level, f.words, f.english, f.dense, list(f.plain), list(f.plain.values())))
-            yield pd.DataFrame(rows, columns=["doc_id", "level", "words", "english", "dense", "plain", "counts"])
-
-    schema = "doc_id bigint, level int, words int, english boolean, dense array<double>, plain array<string>, counts array<int>"
-    got = texts.mapInPandas(run, schema).collect()
+            for doc_id, text, lang, level, spoken in pdf[["doc_id", "text", "lang", "reading_level", "spoken"]].itertuples(index=False):
+                prose = "\n".join(prose_of(text))
+                if spoken is True or spoken == 1:
+                    counts = language_words(prose)
+                    rows.append((doc_id, None, lang, 0, [], list(counts), list(counts.values()), None))
+                if not pd.isna(level):
+                    f = features_of(text, "en" if lang is None else lang)
+                    told = None if lang is not None else language_words(prose)
+                    rows.append((doc_id, int(level), lang, f.words, f.dense, list(f.plain), list(f.plain.values()), None if told is None else sorted(told.elements())))
+            names = ["doc_id", "level", "lang", "words", "dense", "plain", "counts", "told"]
+            yield pd.DataFrame(rows, columns=names).astype({"level": "Int32"})
+
+    schema = "doc_id bigint, level int, lang string, words int, dense array<double>, plain array<string>, counts array<int>, told array<string>"
+    seen = cut(texts.mapInPandas(run, schema))
+    # Of each language only its most frequent words reach the driver.
+    words = seen.where("level IS NULL").select("lang", F.inline(F.arrays_zip(F.col("plain").alias("word"), F.col("counts").alias("n"))))
+    summed = words.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    ranked = summed.withColumn("no", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
+    counts: dict[str, Counter] = {}
+    for r in ranked.where(F.col("no") <= LANGUAGE_WORDS).collect():
+        counts.setdefault(r["lang"], Counter())[r["word"]] = r["n"]
+    languages = Languages.learn(counts)
+    got = seen.where("level IS NOT NULL").collect()
     got.sort(key=lambda r: r["doc_id"])
-    return [(Features(r.words, r.english, r.dense, Counter(dict(zip(r.plain, r["counts"], strict=True)))), r.level) for r in got]
+    return languages, [
+        (Features(r["words"], True, r["dense"], Counter(dict(zip(r["plain"], r["counts"], strict=True)))), r["level"])
+        for r in got
+        if r["lang"] == "en" or (r["told"] and languages.tell(Counter(r["told"])) == "en")
+    ]
+
+
+def cross_validated(graded: list[tuple[Features, int]], folds: int = 5, hard: int = 4) -> tuple[float, float]:
+    """(share of levels told right, share of documents told right as ``hard`` or not) on folds held out of the fit."""
+    graded = [(f, y) for f, y in graded if f.dense]
+    right = sides = 0
+    for k in range(folds):
+        ranker = fit([g for i, g in enumerate(graded) if i % folds != k])
+        for f, y in graded[k::folds]:
+            level = int(np.floor(ranker.level(ranker.score(f)) + 0.5)) if ranker is not None else None
+            right += level == y
+            sides += level is not None and (level >= hard) == (y >= hard)
+    return right / max(1, len(graded)), sides / max(1, len(graded))
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, words, score, level_value, level): level is 1 to 5 for English documents with prose, else null."""
+    """(doc_id, words, english, score, level_value, level): level is 1 to 5 for English documents with prose, else null."""
     spark = documents.sparkSession
-    ranker = fit(graded_features(documents, labels))
-    shared = spark.sparkContext.broadcast(ranker)
+    languages, graded = learned(documents, labels)
+    shared = spark.sparkContext.broadcast((fit(graded), languages))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
+        model, spoken = shared.value
         for pdf in batches:
             rows = []
             for doc_id, text, lang in zip(pdf["doc_id"], pdf["text"], pdf["lang"], strict=True):
-                f = features_of(text, lang)
+                f = features_of(text, lang, spoken)
                 score = model.score(f) if model is not None and f.dense else None
                 rows.append((doc_id, f.words, f.english, score, None if score is None else model.level(score)))
             yield pd.DataFrame(rows, columns=["doc_id", "words", "english", "score", "level_value"])

@@ -22,10 +22,24 @@ def test_prose_leaves_out_code_tables_headings_and_front_matter():
     assert R.prose_of(None) == R.prose_of("") == R.prose_of(" \n ") == []
 
 
+def test_front_matter_is_left_out_whole_and_only_if_it_is_any():
+    long = "---\n" + "".join(f"key{i}: value {i}.\n" for i in range(500)) + "---\nThe text begins here.\n"
+    assert R.prose_of(long) == ["The text begins here."]
+    assert R.prose_of("---\nThis is a sentence, no setting.\n\n---\nAnother one.\n") == ["This is a sentence, no setting.", "Another one."]
+
+
 def test_language():
-    assert R.features_of("Der Ordner wird vor dem nächsten Speicher von uns geprüft und die Prüfer sind nicht da.", None).english is False
-    assert R.features_of("The folder is checked by us before the next release and it was not there.", None).english is True
-    assert R.features_of("The folder is here.", "de").english is False
+    texts = {
+        "de": "Der Ordner wird vor dem nächsten Speicher von uns geprüft und die Prüfer sind nicht da.",
+        "en": "The folder is checked by us before the next release and it was not there.",
+        "zh": "这个文件夹在下次发布之前由我们检查。",
+    }
+    spoken = R.Languages.learn({k: R.language_words(t) for k, t in texts.items()})
+    assert R.features_of("Die Prüfer sind vor dem Ordner und der Speicher ist nicht da.", None, spoken).english is False
+    assert R.features_of("It was not the release that is there before us.", None, spoken).english is True
+    assert R.features_of("发布之前检查文件夹。", None, spoken).english is False
+    assert R.features_of("Qwxz vbnm.", None, spoken).english is False and R.features_of("The folder is there.", None).english is False
+    assert R.features_of("The folder is here.", "de", spoken).english is False
 
 
 def test_isotonic():
@@ -60,4 +74,11 @@ def test_without_labels(spark):
 def test_the_fit_sees_three_thousand_labels(spark):
     documents = spark.range(3_100).selectExpr("id AS doc_id", "'The text is short.' AS text", "'en' AS lang")
     labels = documents.selectExpr("doc_id", "1 AS reading_level")
-    assert len(R.graded_features(documents, labels)) == 3_000
+    assert len(R.learned(documents, labels)[1]) == 3_000
+
+
+def test_cross_validation():
+    rnd = random.Random(4)
+    graded = [(R.features_of(_text(level, rnd), "en"), level) for level in [2, 4] * 30]
+    levels, hard = R.cross_validated(graded)
+    assert levels > 0.95 and hard > 0.95
