@@ -17,8 +17,12 @@ from stratalith.constants import SHINGLE_WORDS, UNITS_PER_TOKEN
 BLANKS = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
 
 
+_BLANK_CHARS = " \t\n\x0b\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{BLANKS}|{BLANKS}$", "")
+    """Without white space at the ends."""
+    return F.btrim(c, F.lit(_BLANK_CHARS))
 
 
 @F.pandas_udf(T.StringType())

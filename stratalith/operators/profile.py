@@ -3,11 +3,13 @@
 Declarative constraints (null tokens, a pattern and an order per column) compile into one shared scan that leaves a
 mergeable state per (load, column, cell value): its count and whether it fits. States of partitions, files or loads
 merge by adding counts; every metric (null rate, distinct count, range, violations, distribution distance, median) is
-then a second, much smaller aggregate over states. Metrics of successive loads are held against control limits.
+then a second, much smaller aggregate over states. Recorded profiles enter that same aggregate as rows of their own, so
+they need no join. Metrics of successive loads are held against control limits.
 
 Defined cases: a repeated row (same build, table and row_no) counts once, by its latest ``loaded_at``; null, empty and
 null-token cells are nulls; a column without a fitting cell has null bounds and no median; an empty table gives no
-rows; a load without a recorded profile has no recorded findings; extra columns are ignored.
+rows; a load without a recorded profile has no recorded findings, a recorded profile without a load none at all; numbers
+are compared as doubles and, up to 26 digits before the point and 12 after it, as decimals; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from stratalith.functions.text import trimmed
 NULL_TOKENS = ("", "null", "n/a", "na")
 LOAD = ["build_id", "table_id"]
 NUMBER = "decimal(38,12)"
+#: From this distance of value shares on a load has drifted; what exact ties may miss it by.
+DISTANCE, TOLERANCE = 0.25, 1e-9
 
 
 @dataclass(frozen=True)
@@ -45,6 +49,12 @@ PRICE_LIST = (
 )
 
 
+def number_of(text: Column) -> Column:
+    """(double, decimal) of a number's text, compared in this order; the decimal is null where it has too many digits."""
+    value = text.try_cast("double")
+    return F.when(value.isNotNull(), F.struct(value.alias("value"), text.try_cast(NUMBER).alias("exact")))
+
+
 def fits(value: Column, rule: Constraint) -> Column:
     ok = value.rlike(rule.pattern)
     if rule.kind == "date":
@@ -76,12 +86,20 @@ def merge_states(*states: DataFrame) -> DataFrame:
     return whole.groupBy(*LOAD, "ordinal", "value", "fit").agg(F.sum("n").alias("n"))
 
 
-def column_metrics(states: DataFrame, rules: tuple[Constraint, ...] = PRICE_LIST) -> DataFrame:
-    """One row per load and column with all metrics; bounds as text and, for number columns, as numbers."""
+def column_metrics(states: DataFrame, rules: tuple[Constraint, ...] = PRICE_LIST, recorded: DataFrame | None = None) -> DataFrame:
+    """One row per load and column with all metrics; bounds as text and, for number columns, as numbers.
+
+    With ``recorded`` each row also has ``rec``, what was recorded of the column, or null.
+    """
     numeric = F.col("ordinal").isin(*[r.ordinal for r in rules if r.kind == "number"])
     fitting = F.when(F.col("fit"), F.col("value"))
-    number = F.when(F.col("fit") & numeric, F.col("value").try_cast(NUMBER))
-    return states.groupBy(*LOAD, "ordinal").agg(
+    number = F.when(F.col("fit") & numeric, number_of(F.col("value")))
+    more = []
+    if recorded is not None:
+        rec = F.struct("null_count", "distinct_estimate", "distinct_is_exact", "min_value", "max_value").alias("rec")
+        states = states.unionByName(recorded.select(*LOAD, "ordinal", rec), allowMissingColumns=True)
+        more = [F.max("rec").alias("rec")]
+    got = states.groupBy(*LOAD, "ordinal").agg(
         F.sum("n").alias("row_count"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
         F.count("value").alias("distinct_count"),
@@ -90,39 +108,51 @@ def column_metrics(states: DataFrame, rules: tuple[Constraint, ...] = PRICE_LIST
         F.max(F.when(~numeric, fitting)).alias("max_text"),
         F.min(number).alias("min_number"),
         F.max(number).alias("max_number"),
-        F.percentile(number.cast("double"), F.lit(0.5), F.col("n")).alias("median"),
+        F.percentile(number["value"], F.lit(0.5), F.coalesce("n", F.lit(0))).alias("median"),
+        *more,
     )
+    return got.where(F.col("row_count").isNotNull())
 
 
-def load_order(rows: DataFrame, builds: DataFrame) -> DataFrame:
-    """(build_id, table_id, load_no): the loads of each table by creation of their builds."""
+def in_order(metrics: DataFrame, builds: DataFrame) -> DataFrame:
+    """Metrics with ``load_no`` (the loads of a table by creation of their builds, from 1), the builds before and after,
+    null share and median of the load before."""
     created = builds.groupBy("build_id").agg(F.min("created_at").alias("created_at"))
-    loads = rows.select(*LOAD).distinct().join(created, "build_id", "left")
-    return loads.select(
-        *LOAD, F.row_number().over(Window.partitionBy("table_id").orderBy("created_at", "build_id")).alias("load_no")
+    w = Window.partitionBy("table_id", "ordinal").orderBy("created_at", "build_id")
+    share = metrics.join(created, "build_id", "left").withColumn("null_share", F.col("null_count") / F.col("row_count"))
+    return (
+        share.withColumn("load_no", F.row_number().over(w))
+        .withColumn("next_build", F.lead("build_id").over(w))
+        .withColumn("null_shift", F.abs(F.col("null_share") - F.lag("null_share").over(w)))
+        .withColumn("median_before", F.lag("median").over(w))
+        .withColumn("first_load", F.col("load_no") == 1)
+        .drop("created_at")
     )
 
 
-def share_distance(states: DataFrame, order: DataFrame, rules=PRICE_LIST) -> DataFrame:
-    """(table_id, load_no, ordinal, distance): half the sum of absolute share differences to the previous load.
+def share_distance(states: DataFrame, ordered: DataFrame, rules=PRICE_LIST) -> DataFrame:
+    """(build_id, table_id, ordinal, distance): half the sum of absolute share differences to the previous load.
 
     Each share is emitted with a plus for its own load and a minus for the next one, so one grouped sum gives the
-    differences without joining loads to each other. A column without any value has no shares.
+    differences without joining loads to each other. A column without any value has no shares; a first load no distance.
     """
-    watched = [r.ordinal for r in rules if r.drift == "shares"]
-    held = states.where(F.col("ordinal").isin(*watched) & F.col("value").isNotNull())
-    totals = held.groupBy(*LOAD, "ordinal").agg(F.sum("n").alias("total"))
-    shares = held.join(totals, [*LOAD, "ordinal"]).join(order, LOAD)
+    watched = F.col("ordinal").isin(*[r.ordinal for r in rules if r.drift == "shares"])
+    # Said of the count, the condition stays above the exchange of the states, which all branches share.
+    held = states.where(F.when(watched & F.col("value").isNotNull(), F.col("n")) > 0)
+    loads = ordered.select(*LOAD, "ordinal", "first_load", "next_build", (F.col("row_count") - F.col("null_count")).alias("total"))
     share = F.col("n") / F.col("total")
-    signed = F.array(
-        F.struct(F.col("load_no").alias("load_no"), share.alias("share")),
-        F.struct((F.col("load_no") + 1).alias("load_no"), (-share).alias("share")),
+    signed = F.array_compact(
+        F.array(
+            F.when(~F.col("first_load"), F.struct(F.col("build_id").alias("load"), share.alias("share"))),
+            F.when(F.col("next_build").isNotNull(), F.struct(F.col("next_build").alias("load"), (-share).alias("share"))),
+        )
     )
     return (
-        shares.select("table_id", "ordinal", "value", F.inline(signed))
-        .groupBy("table_id", "load_no", "ordinal", "value")
+        held.join(loads, [*LOAD, "ordinal"])
+        .select("table_id", "ordinal", "value", F.inline(signed))
+        .groupBy("load", "table_id", "ordinal", "value")
         .agg(F.abs(F.sum("share")).alias("d"))
-        .groupBy("table_id", "load_no", "ordinal")
+        .groupBy(F.col("load").alias("build_id"), "table_id", "ordinal")
         .agg((F.sum("d") / 2).alias("distance"))
     )
 
@@ -130,33 +160,20 @@ def share_distance(states: DataFrame, order: DataFrame, rules=PRICE_LIST) -> Dat
 def profile(rows: DataFrame, builds: DataFrame, rules: tuple[Constraint, ...] = PRICE_LIST, kept: DataFrame | None = None) -> DataFrame:
     """Metrics of every column of every load, with the change since the table's previous load.
 
-    ``null_shift`` and ``distance`` are absolute differences, ``median_ratio`` the larger by the smaller median; all
-    are null for a table's first load. ``kept`` holds the states of loads delivered before, whose rows aren't in
+    ``null_shift`` and ``distance`` are absolute differences, ``median_before`` is the median of the load before; all are
+    null for a table's first load. ``kept`` holds the states of loads delivered before, whose rows aren't in
     ``rows`` and aren't read again.
     """
     states = column_states(rows, rules)
     if kept is not None:
         states = merge_states(kept, states)
-    metrics = column_metrics(states, rules)
-    order = load_order(rows if kept is None else states, builds)
-    w = Window.partitionBy("table_id", "ordinal").orderBy("load_no")
-    null_share = F.col("null_count") / F.col("row_count")
-    joined = metrics.join(order, LOAD).join(
-        share_distance(states, order, rules), ["table_id", "load_no", "ordinal"], "left"
-    )
-    before = F.lag("median").over(w)
-    return (
-        joined.withColumn("null_share", null_share)
-        .withColumn("first_load", F.col("load_no") == 1)
-        .withColumn("null_shift", F.abs(F.col("null_share") - F.lag("null_share").over(w)))
-        .withColumn("distance", F.when(~F.col("first_load"), F.col("distance")))
-        .withColumn("median_before", before)
-    )
+    ordered = in_order(column_metrics(states, rules), builds)
+    return ordered.join(share_distance(states, ordered, rules), [*LOAD, "ordinal"], "left").drop("next_build")
 
 
-def drifted(rules: tuple[Constraint, ...] = PRICE_LIST, null_shift=0.15, distance=0.25, ratio=1.5) -> Column:
+def drifted(rules: tuple[Constraint, ...] = PRICE_LIST, null_shift=0.15, distance=DISTANCE, ratio=1.5) -> Column:
     """Whether a row of ``profile`` drifted; a tiny tolerance keeps exact ties on the reported side."""
-    eps = 1e-9
+    eps = TOLERANCE
     by_shares = F.col("ordinal").isin(*[r.ordinal for r in rules if r.drift == "shares"])
     by_median = F.col("ordinal").isin(*[r.ordinal for r in rules if r.drift == "median"])
     larger, smaller = F.greatest("median", "median_before"), F.least("median", "median_before")
@@ -171,20 +188,15 @@ def drifted(rules: tuple[Constraint, ...] = PRICE_LIST, null_shift=0.15, distanc
 
 def findings(rows: DataFrame, recorded: DataFrame, builds: DataFrame, rules=PRICE_LIST) -> DataFrame:
     """(build_id, table_id, ordinal, finding): where the recorded profile is wrong, cells don't fit or loads drift."""
-    actual = profile(rows, builds, rules)
-    noted = recorded.groupBy(*LOAD, "ordinal").agg(
-        F.max(
-            F.struct("null_count", "distinct_estimate", "distinct_is_exact", "min_value", "max_value")
-        ).alias("rec")
-    )
+    states = column_states(rows, rules)
+    metrics = column_metrics(states, rules, recorded)
     numeric = F.col("ordinal").isin(*[r.ordinal for r in rules if r.kind == "number"])
 
     def bound_differs(name: str) -> Column:
-        noted_value = F.col(f"rec.{name}_value")
-        as_number = noted_value.try_cast(NUMBER)
-        number = F.col(f"{name}_number")
-        wrong_number = ~as_number.eqNullSafe(number) | (noted_value.isNotNull() & as_number.isNull())
-        return F.when(numeric, wrong_number).otherwise(~noted_value.eqNullSafe(F.col(f"{name}_text")))
+        noted = F.col(f"rec.{name}_value")
+        as_number = number_of(noted)
+        wrong_number = ~as_number.eqNullSafe(F.col(f"{name}_number")) | (noted.isNotNull() & as_number.isNull())
+        return F.when(numeric, wrong_number).otherwise(~noted.eqNullSafe(F.col(f"{name}_text")))
 
     exact = F.coalesce(F.col("rec.distinct_is_exact"), F.lit(True))
     has = F.col("rec").isNotNull()
@@ -197,10 +209,14 @@ def findings(rows: DataFrame, recorded: DataFrame, builds: DataFrame, rules=PRIC
         "min_value": has & bound_differs("min"),
         "max_value": has & bound_differs("max"),
         "pattern": F.col("violations") > 0,
-        "drift": drifted(rules),
     }
     found = F.array_compact(F.array(*[F.when(t, F.lit(name)) for name, t in tests.items()]))
-    return actual.join(noted, [*LOAD, "ordinal"], "left").select(*LOAD, "ordinal", F.explode(found).alias("finding"))
+    wrong = metrics.select(*LOAD, "ordinal", F.explode(found).alias("finding"))
+    ordered = in_order(metrics, builds)
+    moved = ordered.withColumn("distance", F.lit(None).cast("double")).where(drifted(rules))
+    apart = share_distance(states, ordered, rules).where(F.col("distance") >= DISTANCE - TOLERANCE)
+    drift = moved.select(*LOAD, "ordinal").unionByName(apart.select(*LOAD, "ordinal")).distinct()
+    return wrong.unionByName(drift.withColumn("finding", F.lit("drift")))
 
 
 def control_limits(metrics: DataFrame, columns=("null_share", "distinct_count", "violations"), sigmas=3.0, least=3) -> DataFrame:
@@ -226,3 +242,8 @@ def control_limits(metrics: DataFrame, columns=("null_share", "distinct_count",
         *LOAD, "ordinal", "metric", "value", "mean", "spread",
         F.when(F.col("history") >= least, off).alias("anomaly"),
     )
+
+
+def anomalies(metrics: DataFrame, **limits) -> DataFrame:
+    """(build_id, table_id, ordinal, metric, value, mean, spread): the metrics outside their control limits."""
+    return control_limits(metrics, **limits).where("anomaly").drop("anomaly")

@@ -26,7 +26,7 @@ def p3_found(spark, d):
 def _metrics(profiled):
     return profiled.selectExpr(
         "build_id", "table_id", "ordinal", "row_count", "null_count", "distinct_count", "violations", "min_text",
-        "max_text", "cast(min_number as double) min_number", "cast(max_number as double) max_number",
+        "max_text", "min_number.value as min_number", "max_number.value as max_number",
         "floor(median * 10000 + 0.5) / 10000 as median",
     )
 
@@ -44,8 +44,17 @@ def p3_incremental(spark, d):
     return _metrics(P.profile(rows.where(new), builds, kept=kept))
 
 
+def _rounded(limits):
+    return limits.withColumns({c: F.floor(F.col(c) * 1e6 + 0.5) / 1e6 for c in ("value", "mean", "spread")})
+
+
 def p3_control_limits(spark, d):
-    return P.control_limits(P.profile(table(spark, d, "price_rows"), table(spark, d, "builds")))
+    return _rounded(P.control_limits(P.profile(table(spark, d, "price_rows"), table(spark, d, "builds"))))
+
+
+def p3_anomalies(spark, d):
+    """Metrics of loads outside the control limits of the loads before them."""
+    return _rounded(P.anomalies(P.profile(table(spark, d, "price_rows"), table(spark, d, "builds"))))
 
 
 def p5_found(spark, d):
@@ -56,7 +65,12 @@ def p5_valid(spark, d):
     return R.valid(table(spark, d, "segment_lines"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_intervals, p3_found, p3_profile, p3_incremental, p3_control_limits, p5_found, p5_valid)}
+def p5_faults(spark, d):
+    """Broken quotes as the parser of whole files meets and leaves them."""
+    return R.located_faults(table(spark, d, "segment_lines"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_intervals, p3_found, p3_profile, p3_incremental, p3_control_limits, p3_anomalies, p5_found, p5_valid, p5_faults)}
 
 _STATES = r"""
 sealed AS (SELECT build_id, row_number() OVER (ORDER BY created_at, build_id) AS ord FROM builds WHERE state = 'sealed'),
@@ -207,3 +221,16 @@ SELECT record_id, trim(f[seg], {_PAD}) AS segment, trim(f[nd], {_PAD}) AS need,
 FROM verdicts WHERE reason IS NULL""",
 }
 SQL["p3_incremental"] = SQL["p3_profile"]
+_LIMITS = f"""
+WITH {_PROFILE}, seen AS (
+  SELECT build_id, table_id, ordinal, load_no, unnest(['null_share', 'distinct_count', 'violations']) AS metric,
+         unnest([null_count / row_count, CAST(distinct_count AS DOUBLE), CAST(violations AS DOUBLE)]) AS value
+  FROM metrics JOIN loads USING (build_id, table_id)),
+judged_loads AS (
+  SELECT *, count(value) OVER w AS history, avg(value) OVER w AS mean, stddev_samp(value) OVER w AS spread FROM seen
+  WINDOW w AS (PARTITION BY table_id, ordinal, metric ORDER BY load_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+limits AS (
+  SELECT build_id, table_id, ordinal, metric, floor(value * 1e6 + 0.5) / 1e6 AS value, floor(mean * 1e6 + 0.5) / 1e6 AS mean,
+         floor(spread * 1e6 + 0.5) / 1e6 AS spread, CASE WHEN history >= 3 THEN abs(value - mean) > 3 * spread + 1e-12 END AS anomaly FROM judged_loads)"""
+SQL["p3_control_limits"] = f"{_LIMITS} SELECT * FROM limits"
+SQL["p3_anomalies"] = f"{_LIMITS} SELECT * EXCLUDE (anomaly) FROM limits WHERE anomaly"
