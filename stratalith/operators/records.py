@@ -8,20 +8,27 @@ Grammar, with D the delimiter of the file:
     quoted  = '"' { char-but-quote | '""' } '"'          followed by D or the end of the record
     bare    = { char-but-quote-but-D }
 
-A broken quote is reported with its offset, and parsing resumes at the next validated record-start anchor: an offset
-at which a record is known to begin (the start of a delivered raw record) or, in a stream without such marks, the next
-line start from which a whole record of the expected number of fields parses. So one bad quote never swallows its
-successors.
+A broken quote is reported with its offset, and parsing resumes at the next validated record-start anchor: the next line
+start from which a whole record of the expected number of fields, led by a filled field, parses. So one bad quote never
+swallows its successors.
+
+Delivered raw records are put together again into their files, in blocks of ``BLOCK_RECORDS`` record numbers, and each
+block is parsed as one text that says nothing of where records begin; what the parser finds there, recovering as it goes,
+is the result. A parsed record is laid against the delivered ones: where it covers just one of them its verdict stands;
+a delivered record that it doesn't cover (a quote that ran on, a line break in a bare field, a start passed over by the
+recovery) and every broken quote is checked once more within its own bounds.
 
 Each record comes out once: typed (segment, need, priority) or rejected with the first reason that holds of
 ``quoting``, ``column_count`` and ``value``. Defined cases: a null record, a header and a record of white space only are
 no records at all; repeated rows of one record_id come out once, by the latest ``received_at``; a file without a
-header takes the comma and the order segment, need, priority; extra columns are ignored.
+header takes the comma and the order segment, need, priority; null paths and numbers are a file and a block of their own;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +38,7 @@ from pyspark.sql import functions as F
 
 from stratalith.session import ship
 
+BLOCK_RECORDS = 4_096
 COLUMNS = ("segment", "need", "priority")
 DELIMITERS = ",;\t|"
 NULLS = {"", "null", "n/a", "na"}
@@ -57,24 +65,17 @@ class Record:
 
 
 class RecordParser:
-    """Recursive descent over one text. ``anchors``: offsets of known record starts, ascending; the first is 0."""
+    """Recursive descent over one text. With ``single`` the whole text is one record: line ends are ordinary characters."""
 
-    def __init__(self, text: str, delimiter: str, anchors: list[int] | None = None, width: int = len(COLUMNS)):
-        self.text, self.delimiter, self.width = text, delimiter, width
-        self.anchors = anchors
-        self.next_anchor = 0
-        self.limit = len(text)
-        self._special = re.compile(f'["{re.escape(delimiter)}]' if anchors is not None else f'["\n{re.escape(delimiter)}]')
+    def __init__(self, text: str, delimiter: str, width: int = len(COLUMNS), single: bool = False):
+        self.text, self.delimiter, self.width, self.single = text, delimiter, width, single
+        self.limit = len(text) - (single and text.endswith("\r"))
+        self.last_quote = text.rfind('"')
+        self._special = re.compile(f'["{re.escape(delimiter)}]' if single else f'["\n{re.escape(delimiter)}]')
 
     def records(self) -> Iterator[Record]:
         at = 0
-        while at < len(self.text) or (self.anchors is not None and self.next_anchor < len(self.anchors)):
-            if self.anchors is not None:
-                at = self.anchors[self.next_anchor]
-                self.next_anchor += 1
-                self.limit = self.anchors[self.next_anchor] - 1 if self.next_anchor < len(self.anchors) else len(self.text)
-                if self.limit > at and self.text[self.limit - 1] == "\r":
-                    self.limit -= 1
+        while at < self.limit:
             record = self.record(at)
             yield record
             at = record.end + 1
@@ -100,12 +101,12 @@ class RecordParser:
         if m and m[0] == '"':
             return "", end, SyntaxFault(end, "quote inside a bare field")
         value = self.text[at:end]
-        return (value[:-1] if self.anchors is None and value.endswith("\r") else value), end, None
+        return (value[:-1] if not self.single and value.endswith("\r") and self.ends_record(end) else value), end, None
 
     def quoted(self, at: int) -> tuple[str, int, SyntaxFault | None]:
         begin, parts, at = at, [], at + 1
         while True:
-            close = self.text.find('"', at, self.limit)
+            close = self.text.find('"', at, self.limit) if at <= self.last_quote else -1
             if close < 0:
                 return "", self.limit, SyntaxFault(begin, "quoted field isn't closed")
             parts.append(self.text[at:close])
@@ -114,16 +115,18 @@ class RecordParser:
                 parts.append('"')
                 at += 1
                 continue
-            if at >= self.limit or self.text[at] == self.delimiter or self.ends_line(at):
+            if at >= self.limit or self.text[at] == self.delimiter:
                 return "".join(parts), at, None
+            if not self.single and self.text.startswith(("\n", "\r\n"), at):
+                return "".join(parts), at + (self.text[at] == "\r"), None
             return "", at, SyntaxFault(at, "text after a closing quote")
 
-    def ends_line(self, at: int) -> bool:
-        return self.anchors is None and (self.text[at] == "\n" or self.text.startswith("\r\n", at))
+    def ends_record(self, at: int) -> bool:
+        return at >= self.limit or self.text[at] == "\n"
 
     def resume(self, start: int) -> int:
-        """The end of a broken record: just before the next anchor."""
-        if self.anchors is not None:
+        """The end of a broken record: just before the next validated anchor."""
+        if self.single:
             return self.limit
         at = self.text.find("\n", start)
         while at >= 0:
@@ -171,44 +174,113 @@ def judge(record: Record, order: tuple[int, ...]) -> tuple[str | None, str | Non
     return None, segment, need, priority, None
 
 
-def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _spans(raws: list[str]) -> tuple[list[int], str]:
+    """Where each raw record begins in the text they make together, one line end after each."""
+    starts, at = [], 0
+    for r in raws:
+        starts.append(at)
+        at += len(r) + 1
+    return starts, "\n".join(raws)
+
+
+def parse_block(raws: list[str], delimiter: str) -> tuple[list[Record], int]:
+    """The record of each raw record of a block, offsets from its own begin, and how many were checked by themselves."""
+    starts, text = _spans(raws)
+    out: list[Record | None] = [None] * len(raws)
+    for r in RecordParser(text, delimiter).records():
+        i = bisect_left(starts, r.start)
+        if r.fault is None and i < len(starts) and starts[i] == r.start and r.end == r.start + len(raws[i]):
+            out[i] = Record(0, len(raws[i]), r.fields, None)
+    checked = 0
+    for i, r in enumerate(out):
+        if r is None:
+            out[i] = RecordParser(raws[i], delimiter, single=True).record(0)
+            checked += 1
+    return out, checked
+
+
+def _blocks(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Whole blocks of rows that come sorted by ``keys``, whatever the batches' ends."""
+    held: list[pd.DataFrame] = []
+    last: tuple | None = None
     for pdf in batches:
+        if not len(pdf):
+            continue
+        for key, part in pdf.groupby(keys, sort=False, dropna=False):
+            key = tuple(None if pd.isna(k) else k for k in key)
+            if last is not None and key != last:
+                yield pd.concat(held)
+                held = []
+            held.append(part)
+            last = key
+    if held:
+        yield pd.concat(held)
+
+
+def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for block in _blocks(batches, ["file_path", "block"]):
+        header = block["header"].iloc[0]
+        delimiter, order = header_of(header if isinstance(header, str) else ",".join(COLUMNS))
+        found, _ = parse_block(block["raw_record"].tolist(), delimiter)
+        out = [(i, *judge(r, order)) for i, r in zip(block["record_id"].tolist(), found, strict=True)]
+        yield pd.DataFrame(out, columns=["record_id", "reason", "segment", "need", "priority", "fault_at"]).astype({"fault_at": "Int32"})
+
+
+def _fault_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for block in _blocks(batches, ["file_path", "block"]):
+        header = block["header"].iloc[0]
+        delimiter, _ = header_of(header if isinstance(header, str) else ",".join(COLUMNS))
+        numbers, (starts, text) = block["record_no"].tolist(), _spans(block["raw_record"].tolist())
         out = []
-        for header, part in pdf.groupby("header", sort=False, dropna=False):
-            delimiter, order = header_of(header if isinstance(header, str) else ",".join(COLUMNS))
-            raws, ids = part["raw_record"].tolist(), part["record_id"].tolist()
-            anchors, at = [], 0
-            for r in raws:
-                anchors.append(at)
-                at += len(r) + 1
-            parser = RecordParser("\n".join(raws), delimiter, anchors)
-            out += [(i, *judge(r, order)) for i, r in zip(ids, parser.records(), strict=True)]
-        yield pd.DataFrame(out, columns=["record_id", "reason", "segment", "need", "priority", "fault_at"]).astype(
-            {"fault_at": "Int32"}
-        )
-
-
-def parse_records(lines: DataFrame) -> DataFrame:
-    """(record_id, reason, segment, need, priority, fault_at) of every record; reason is null for valid rows."""
-    ship(lines.sparkSession)
-    headers = (
-        lines.where(F.col("record_no") == 1)
-        .groupBy("file_path")
-        .agg(F.max(F.struct("received_at", F.col("raw_record").alias("header")))["header"].alias("header"))
+        for r in RecordParser(text, delimiter).records():
+            if r.fault is not None:
+                first, fault, after = (bisect_left(starts, x + 1) - 1 for x in (r.start, r.fault.at, r.end))
+                out.append((block["file_path"].iloc[0], numbers[first], numbers[fault], r.fault.at - starts[fault], r.fault.what, after - first + 1))
+        yield pd.DataFrame(out, columns=["file_path", "record_no", "fault_record", "fault_at", "what", "records"]).astype({"record_no": "Int32", "fault_record": "Int32"})
+
+
+def in_files(lines: DataFrame, block: int = BLOCK_RECORDS) -> DataFrame:
+    """(record_id, file_path, block, record_no, raw_record, header): records in the order of their files.
+
+    Blocks lie whole and in order in one partition. A file of any size is spread by its blocks; the header, and how many
+    blocks there are, come from one aggregate a file.
+    """
+    number = F.floor(F.coalesce("record_no", F.lit(0)) / block).cast("bigint")
+    heads = lines.groupBy("file_path").agg(
+        F.max(F.when(F.col("record_no") == 1, F.struct("received_at", F.col("raw_record").alias("header"))))["header"].alias("header"),
+        F.collect_set(number).alias("blocks"),
     )
+    heads = heads.where(F.col("header").isNotNull()).select("file_path", "header", F.explode("blocks").alias("block"))
     once = (
         lines.where((F.coalesce("record_no", F.lit(0)) != 1) & F.col("raw_record").isNotNull())
         .groupBy("record_id")
-        .agg(F.max(F.struct("received_at", "file_path", "raw_record")).alias("r"))
-        .select("record_id", "r.file_path", "r.raw_record")
+        .agg(F.max(F.struct("received_at", "file_path", "record_no", "raw_record")).alias("r"))
+        .select("record_id", "r.file_path", "r.record_no", "r.raw_record")
         .where(F.col("raw_record").rlike(NOT_BLANK))
+        .withColumn("block", number)
     )
-    joined = once.join(headers, "file_path", "left").select("record_id", "raw_record", "header")
-    return joined.mapInPandas(
+    placed = once.repartition("file_path", "block").join(heads, ["file_path", "block"], "left")
+    return placed.sortWithinPartitions("file_path", "block", "record_no", "record_id")
+
+
+def parse_records(lines: DataFrame, block: int = BLOCK_RECORDS) -> DataFrame:
+    """(record_id, reason, segment, need, priority, fault_at) of every record; reason is null for valid rows."""
+    ship(lines.sparkSession)
+    return in_files(lines, block).mapInPandas(
         _parse_batches, "record_id bigint, reason string, segment string, need string, priority string, fault_at int"
     )
 
 
+def located_faults(lines: DataFrame, block: int = BLOCK_RECORDS) -> DataFrame:
+    """(file_path, record_no, fault_record, fault_at, what, records): broken quotes as the parser of whole files meets
+    them: the record it was reading, where the fault lies, and over how many delivered records it went until it had a
+    validated start to resume at."""
+    ship(lines.sparkSession)
+    return in_files(lines, block).mapInPandas(
+        _fault_batches, "file_path string, record_no int, fault_record int, fault_at int, what string, records int"
+    )
+
+
 def rejected(lines: DataFrame) -> DataFrame:
     return parse_records(lines).where(F.col("reason").isNotNull()).select("record_id", "reason")
 
