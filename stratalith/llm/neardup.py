@@ -81,8 +81,11 @@ class Banding:
 
 def text_records(records: DataFrame) -> DataFrame:
     """records(record_kind, id, text) to (record_kind, id, text_key, plain), rows without words left out."""
-    plain = records.where(F.col("id").isNotNull()).select("record_kind", "id", normalized(F.col("text")).alias("plain"))
-    return plain.where(F.col("plain") != "").withColumn("text_key", F.unhex(F.md5(F.concat_ws(" ", "record_kind", "plain"))))
+    # A text is normalized once: what comes out of an explode isn't computed anew by the conditions on it. The key is never
+    # null, else joins would say so in some branches of a plan only, and those couldn't share an exchange.
+    plain = records.where(F.col("id").isNotNull()).select("record_kind", "id", F.explode(F.array(normalized(F.col("text")))).alias("plain"))
+    key = F.coalesce(F.unhex(F.md5(F.concat_ws(" ", "record_kind", "plain"))), F.lit(b""))
+    return plain.where(F.col("plain") != "").withColumn("text_key", key)
 
 
 def distinct_texts(keyed: DataFrame) -> DataFrame:
@@ -299,12 +302,12 @@ def _in_tables(rows: DataFrame, b: Banding, block_rows: int) -> DataFrame:
 def candidate_pairs(bands: DataFrame, b: Banding, run_rows: int = RUN_ROWS, block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(lo, hi) short keys of texts that share a table key and whose signatures agree enough, each pair once."""
     met = bands.repartition("a_key", "salt").sortWithinPartitions("a_key")
-    found = cut(met.mapInArrow(_met(b, run_rows, chunk_rows), "lo bigint, hi bigint, payload binary"))
-    pairs = found.where("payload IS NULL").select("lo", "hi")
-    long = found.where("payload IS NOT NULL").select(F.col("lo").alias("a_key"), F.col("hi").alias("k"), "payload")
-    if not long.isEmpty():
-        pairs = pairs.unionByName(_in_tables(long, b, block_rows))
-    return pairs.distinct()
+    found = met.mapInArrow(_met(b, run_rows, chunk_rows), "lo bigint, hi bigint, payload binary")
+    # Pairs are made unique and rows passed on in one exchange, which both branches read; the second is empty as a rule.
+    once = found.groupBy("lo", "hi", F.col("payload").isNull().alias("is_pair")).agg(F.max("payload").alias("payload"))
+    pairs = once.where("payload IS NULL").select("lo", "hi")
+    long = once.where("payload IS NOT NULL").select(F.col("lo").alias("a_key"), F.col("hi").alias("k"), "payload")
+    return pairs.unionByName(_in_tables(long, b, block_rows)).distinct()
 
 
 def _verify(b: Banding):
