@@ -1,61 +1,52 @@
-"""The inverted index and weighted BM25 over it, for one query or for many at once.
+"""The inverted index: written once, then searched with weighted BM25, for one query or for many at once.
 
-Chunks come as (chunk_id, artifact_id, path, title, heading, body, ...). Postings hold one row per chunk and term with
-its frequency and positions in each column; statistics of chunks and terms are grouped sums. A batch of queries is an
-equi-join of its terms with the postings, so frequent terms are spread over tasks by chunk before anything is summed.
+Chunks come as (chunk_id, artifact_id, path, title, heading, body, ...). An index is four tables in one folder:
+
+* ``entries``: one row per term and chunk with the chunk's length, the term's weighted frequency and its places;
+* ``terms``: in how many chunks each term occurs, and how often;
+* ``lengths``: the length of each chunk in terms;
+* ``totals``: one row, the number of chunks and the sum of their lengths.
+
+Entries are dealt by chunk over shards and sorted by term within each, so a build moves every text once, a frequent term is
+spread over all shards, and a search reads of each shard only the pages of its own terms. What a search needs besides
+(document frequencies, totals) is read from the small tables; texts are never scanned.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalith.constants import BM25_B, BM25_K1, COLUMN_WEIGHTS, IDF_FLOOR
 from stratalith.functions.globs import sqlite_glob
-from stratalith.functions.text import fold_terms, index_terms, without_marks
-from stratalith.session import cut
+from stratalith.functions.text import fold_terms, index_terms
 
 COLUMNS = tuple(COLUMN_WEIGHTS)
+SHARDS = 4_096
+ROW_GROUP_BYTES = 8 * 1024 * 1024
+HITS = "key string, chunk_id string, dl int, tf double"
 
 
-def tokenized(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, path_terms, title_terms, heading_terms, body_terms); nulls count as empty."""
-    return chunks.select("chunk_id", *[index_terms(F.coalesce(c, F.lit(""))).alias(f"{c}_terms") for c in COLUMNS])
-
-
-def with_length(tokens: DataFrame) -> DataFrame:
-    return tokens.withColumn("dl", sum((F.size(f"{c}_terms") for c in COLUMNS), F.lit(0)))
-
-
-def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, col, positions): every occurrence, positions counted from 0 within the column."""
-    lists = F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"{c}_terms").alias("terms")) for c in COLUMNS])
-    return (
-        tokenized(chunks)
-        .select("chunk_id", F.inline(lists))
-        .select("chunk_id", "col", F.posexplode("terms").alias("at", "term"))
-        .groupBy("term", "chunk_id", "col")
-        .agg(F.array_sort(F.collect_list("at")).alias("positions"))
-    )
-
+def tokenized(chunks: DataFrame, *more: str) -> DataFrame:
+    """(chunk_id, more..., path_terms, title_terms, heading_terms, body_terms, dl); nulls count as empty."""
+    got = chunks.select("chunk_id", *more, *[index_terms(F.coalesce(c, F.lit(""))).alias(f"{c}_terms") for c in COLUMNS])
+    return got.withColumn("dl", sum((F.size(f"{c}_terms") for c in COLUMNS), F.lit(0)))
 
-def doc_stats(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, dl): length in terms over all columns."""
-    return with_length(tokenized(chunks)).select("chunk_id", "dl")
 
+def entries_of(chunks: DataFrame) -> DataFrame:
+    """(term, chunk_id, dl, tf, places array<struct<col, at>>); positions count from 0 within a column.
 
-def term_stats(chunks: DataFrame) -> DataFrame:
-    """(term, df, occurrences) over all chunks."""
-    every = F.flatten(F.array(*[F.col(f"{c}_terms") for c in COLUMNS]))
+    One exchange of the chunks; everything else stays within a shard.
+    """
+    lists = F.array(*[F.struct(F.lit(i).alias("col"), F.lit(w).alias("w"), F.col(f"{c}_terms").alias("terms")) for i, (c, w) in enumerate(COLUMN_WEIGHTS.items())])
+    dealt = chunks.select("chunk_id", *COLUMNS).withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(SHARDS))).repartition("shard")
+    every = tokenized(dealt, "shard").select("shard", "chunk_id", "dl", F.inline(lists)).select("shard", "chunk_id", "dl", "col", "w", F.posexplode("terms").alias("at", "term"))
     return (
-        tokenized(chunks)
-        .select(F.explode(every).alias("term"), "chunk_id")
-        .groupBy("term", "chunk_id")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("occurrences"))
+        every.groupBy("shard", "chunk_id", "dl", "term")
+        .agg(F.sum("w").alias("tf"), F.array_sort(F.collect_list(F.struct("col", "at"))).alias("places"))
+        .select("term", "chunk_id", "dl", "tf", "places")
     )
 
 
@@ -64,49 +55,6 @@ def query_phrases(query: str) -> list[list[str]]:
     return [p for p in (fold_terms(part) for part in query.split()) if p]
 
 
-def lined(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, path_line, ..., dl): each column's terms as one text with a space before and after every term.
-
-    The cheap form for counting: no array of terms is built. Terms are letters and numbers only, so a space parts them.
-    """
-    plain = [without_marks(F.coalesce(F.col(c), F.lit(""))).alias(f"{c}_line") for c in COLUMNS]
-    folded = chunks.select("chunk_id", *plain)
-    for c in COLUMNS:
-        spaced = F.regexp_replace(F.lower(f"{c}_line"), r"[^\p{L}\p{N}]+", " ")
-        folded = folded.withColumn(f"{c}_line", F.concat(F.lit(" "), F.trim(spaced), F.lit(" ")))
-    length = sum(
-        (F.when(F.col(f"{c}_line") == "  ", 0).otherwise(F.length(f"{c}_line") - F.length(F.replace(f"{c}_line", F.lit(" "), F.lit(""))) - 1) for c in COLUMNS),
-        F.lit(0),
-    )
-    return folded.withColumn("dl", length)
-
-
-def occurrences(line: Column, phrase: Sequence[str]) -> Column:
-    """How often the phrase occurs in a line of terms."""
-    return F.regexp_count(line, F.lit(f"(?= {' '.join(phrase)} )"))
-
-
-def weighted_counts(chunks: DataFrame, phrases: Sequence[Sequence[str]]) -> DataFrame:
-    """(chunk_id, dl, tf array<double>): weighted frequencies of the phrases in every chunk."""
-    tf = [sum((occurrences(F.col(f"{c}_line"), p) * F.lit(COLUMN_WEIGHTS[c]) for c in COLUMNS), F.lit(0.0)) for p in phrases]
-    return lined(chunks).select("chunk_id", "dl", F.array(*tf).cast("array<double>").alias("tf"))
-
-
-def _matching(counted: DataFrame, n: int, mode: str) -> DataFrame:
-    hits = F.aggregate("tf", F.lit(0), lambda a, x: a + (x > 0).cast("int"))
-    return counted.where(hits == n if mode == "all" else hits > 0)
-
-
-def match(chunks: DataFrame, query: str, mode: str = "all") -> DataFrame:
-    """(chunk_id, dl, tf array<double>) of chunks that hold all (or any) phrases of the query.
-
-    One pass over the chunks; ``tf`` are the weighted frequencies of the phrases, in the order of the query. A query
-    without terms matches nothing.
-    """
-    phrases = query_phrases(query)
-    return _matching(weighted_counts(chunks, phrases), len(phrases), mode) if phrases else weighted_counts(chunks, []).where("false")
-
-
 def idf(n: Column, df: Column) -> Column:
     raw = F.log((n - df + 0.5) / (df + 0.5))
     return F.when(raw > 0, raw).otherwise(IDF_FLOOR)
@@ -116,63 +64,140 @@ def term_score(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * dl / avgdl))
 
 
-def bm25(chunks: DataFrame, query: str, mode: str = "all", within: DataFrame | None = None) -> DataFrame:
-    """(chunk_id, bm25) of the matching chunks; negative, the best lowest. Terms add up in the query's order.
-
-    Texts are read once: their counts, a few numbers per chunk, are kept in a checkpoint, from which both the corpus
-    statistics (over all chunks) and the scores come. within(chunk_id) restricts what is scored.
-    """
-    phrases = query_phrases(query)
-    if not phrases:
-        return weighted_counts(chunks, []).where("false").select("chunk_id", F.lit(0.0).alias("bm25"))
-    counted = cut(weighted_counts(chunks, phrases))
-    dfs = F.array(*[F.count_if(F.get("tf", F.lit(i)) > 0) for i in range(len(phrases))])
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), dfs.alias("df")).first()
-    hits = _matching(counted, len(phrases), mode)
-    if within is not None:
-        hits = hits.join(within.select("chunk_id"), "chunk_id", "left_semi")
-    idfs = F.transform(F.array(*[F.lit(float(x)) for x in stats["df"]]), lambda df: idf(F.lit(float(stats["n"])), df))
-    parts = F.zip_with("tf", idfs, lambda tf, w: w * term_score(tf, F.col("dl"), F.lit(float(stats["avgdl"] or 1.0))))
-    return hits.select("chunk_id", (-F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)).alias("bm25"))
-
-
-def batch_bm25(chunks: DataFrame, queries: DataFrame, mode: str = "any") -> DataFrame:
-    """(query_id, chunk_id, bm25) for queries(query_id, query): all queries in one dataflow of equi-joins.
-
-    Every term counts by itself (a hyphenated part as its terms), each once per query. The terms of the chunks
-    are grouped before the join, and the join spreads by term; AQE splits a frequent term's partition.
-    """
-    terms = queries.select("query_id", F.explode(F.array_distinct(index_terms(F.col("query")))).alias("term"))
-    size = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
-    lists = F.array(
-        *[F.struct(F.lit(COLUMN_WEIGHTS[c]).alias("w"), F.col(f"{c}_terms").alias("terms")) for c in COLUMNS]
-    )
-    held = with_length(tokenized(chunks))
-    weighted = (
-        held.select("chunk_id", "dl", F.inline(lists))
-        .select("chunk_id", "dl", "w", F.explode("terms").alias("term"))
-        .join(terms.select("term").distinct(), "term", "left_semi")
-        .groupBy("term", "chunk_id", "dl")
-        .agg(F.sum("w").alias("tf"))
-    )
-    df = weighted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    corpus = held.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-    n, avgdl = F.lit(float(corpus["n"])), F.lit(float(corpus["avgdl"] or 1.0))
-    scored = (
-        weighted.join(df, "term")
-        .withColumn("part", idf(n, F.col("df")) * term_score(F.col("tf"), F.col("dl"), avgdl))
-        .select("term", "chunk_id", "part")
-    )
-    got = (
-        scored.join(terms, "term")
-        .groupBy("query_id", "chunk_id")
-        # Parts add up as integers of 1e-12, which no order of rows can change.
-        .agg(F.sum((F.col("part") * 1e12).cast("bigint")).alias("parts"), F.count(F.lit(1)).alias("hits"))
-        .withColumn("bm25", -F.col("parts") / F.lit(1e12))
-    )
-    if mode == "all":
-        got = got.join(size, "query_id").where(F.col("hits") == F.col("n_terms"))
-    return got.select("query_id", "chunk_id", "bm25")
+def _weight(col: str = "col") -> Column:
+    return F.element_at(F.array(*[F.lit(w) for w in COLUMN_WEIGHTS.values()]), F.col(col) + 1)
+
+
+class SearchIndex:
+    """An index that lies in a folder; every search reads it as it was written."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        totals = self.table("totals").first()
+        self.n, self.avgdl = float(totals["n"]), float(totals["length"] or 0) / max(1, totals["n"]) or 1.0
+
+    @staticmethod
+    def write(chunks: DataFrame, root: str) -> None:
+        """Write the index of a set of chunks; ``totals`` comes last and marks it as whole."""
+        spark, root = chunks.sparkSession, root.rstrip("/")
+
+        def put(df: DataFrame, name: str) -> DataFrame:
+            df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{root}/{name}.parquet")
+            return spark.read.parquet(f"{root}/{name}.parquet")
+
+        entries = put(entries_of(chunks).sortWithinPartitions("term", "chunk_id"), "entries")
+        put(entries.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.size("places")).alias("occurrences")).sort("term"), "terms")
+        held = entries.select("chunk_id", "dl").distinct()
+        # Chunks without a single term have no entry, but count.
+        lengths = put(chunks.select("chunk_id").distinct().join(held, "chunk_id", "left").select("chunk_id", F.coalesce("dl", F.lit(0)).alias("dl")), "lengths")
+        put(lengths.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("length")).coalesce(1), "totals")
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+
+    def postings(self) -> DataFrame:
+        """(term, chunk_id, col, positions): one row per term, chunk and column."""
+        def of(i: int) -> Column:
+            return F.transform(F.filter("places", lambda p: p["col"] == i), lambda p: p["at"])
+
+        per_column = F.array(*[F.struct(F.lit(c).alias("col"), of(i).alias("positions")) for i, c in enumerate(COLUMNS)])
+        return self.table("entries").select("term", "chunk_id", F.inline(per_column)).where(F.size("positions") > 0)
+
+    def _phrase_hits(self, wanted: DataFrame) -> DataFrame:
+        """Hits of phrases given as wanted(key, n, k, term): term k of n. A phrase occurs where its terms stand at
+        consecutive places of one column."""
+        met = self.table("entries").join(wanted, "term").select("key", "n", "k", "chunk_id", "dl", F.inline("places"))
+        starts = met.groupBy("key", "n", "chunk_id", "dl", "col", (F.col("at") - F.col("k")).alias("start")).agg(F.count(F.lit(1)).alias("terms"))
+        whole = starts.where(F.col("terms") == F.col("n"))
+        return whole.groupBy("key", "chunk_id", "dl").agg(F.sum(_weight()).alias("tf"))
+
+    def hits(self, phrases: Sequence[Sequence[str]]) -> DataFrame:
+        """(key, chunk_id, dl, tf): in which chunks each of the phrases occurs; ``key`` is its terms with spaces between."""
+        single = sorted({p[0] for p in phrases if len(p) == 1})
+        longer = sorted({tuple(p) for p in phrases if len(p) > 1})
+        got = self.table("entries").where(F.col("term").isin(*single)).select(F.col("term").alias("key"), "chunk_id", "dl", "tf")
+        if longer:
+            rows = [(" ".join(p), len(p), k, t) for p in longer for k, t in enumerate(p)]
+            got = got.unionByName(self._phrase_hits(self.spark.createDataFrame(rows, "key string, n int, k int, term string")))
+        return got
+
+    def _frequencies(self, phrases: Sequence[Sequence[str]], hits: DataFrame) -> dict[str, int]:
+        """In how many chunks each phrase occurs: terms as noted, longer phrases counted."""
+        single = sorted({p[0] for p in phrases if len(p) == 1})
+        out = {r["term"]: r["df"] for r in self.table("terms").where(F.col("term").isin(*single)).select("term", "df").collect()}
+        longer = sorted({" ".join(p) for p in phrases if len(p) > 1})
+        if longer:
+            counted = hits.where(F.col("key").isin(*longer)).groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+            out |= {r["key"]: r["df"] for r in counted.collect()}
+        return out
+
+    def _by_chunk(self, phrases: Sequence[Sequence[str]], hits: DataFrame, mode: str) -> tuple[DataFrame, list[str]]:
+        keys = list(dict.fromkeys(" ".join(p) for p in phrases))
+        tfs = [F.max(F.when(F.col("key") == k, F.col("tf"))).alias(f"tf{i}") for i, k in enumerate(keys)]
+        rows = hits.groupBy("chunk_id").agg(F.max("dl").alias("dl"), *tfs)
+        if mode == "all":
+            for i in range(len(keys)):
+                rows = rows.where(F.col(f"tf{i}").isNotNull())
+        return rows, keys
+
+    def match(self, query: str, mode: str = "all") -> DataFrame:
+        """(chunk_id) of chunks that hold all (or any) phrases of the query. A query without terms matches nothing."""
+        phrases = query_phrases(query)
+        if not phrases:
+            return self.table("lengths").where("false").select("chunk_id")
+        return self._by_chunk(phrases, self.hits(phrases), mode)[0].select("chunk_id")
+
+    def bm25(self, query: str, mode: str = "all", within: DataFrame | None = None) -> DataFrame:
+        """(chunk_id, bm25) of the matching chunks; negative, the best lowest. A phrase named twice counts twice.
+
+        within(chunk_id) restricts what is scored, not the statistics.
+        """
+        phrases = query_phrases(query)
+        if not phrases:
+            return self.table("lengths").where("false").select("chunk_id", F.lit(0.0).alias("bm25"))
+        hits = self.hits(phrases)
+        known = self._frequencies(phrases, hits)
+        rows, keys = self._by_chunk(phrases, hits, mode)
+        if within is not None:
+            rows = rows.join(within.select("chunk_id"), "chunk_id", "left_semi")
+        at = {k: i for i, k in enumerate(keys)}
+        total = F.lit(0.0)
+        for p in phrases:
+            key = " ".join(p)
+            part = idf(F.lit(self.n), F.lit(float(known.get(key, 0)))) * term_score(F.col(f"tf{at[key]}"), F.col("dl"), F.lit(self.avgdl))
+            total = total + F.coalesce(part, F.lit(0.0))
+        return rows.select("chunk_id", (-total).alias("bm25"))
+
+    def batch_bm25(self, queries: DataFrame, mode: str = "any") -> DataFrame:
+        """(query_id, chunk_id, bm25) for queries(query_id, query): all queries in one dataflow of equi-joins.
+
+        The same meaning as ``bm25``, phrases included. Only entries of the queries' terms are read; what a shard holds is
+        added up per query and chunk before anything is exchanged.
+        """
+        parts = queries.select("query_id", F.explode(F.split(F.trim("query"), r"\s+")).alias("part"))
+        terms = parts.select("query_id", index_terms(F.col("part")).alias("words")).where(F.size("words") > 0)
+        named = terms.groupBy("query_id", F.array_join("words", " ").alias("key"), "words").agg(F.count(F.lit(1)).alias("times"))
+        wanted = named.select("key", "words").distinct()
+        single = wanted.where(F.size("words") == 1).select(F.col("key").alias("term"))
+        longer = wanted.where(F.size("words") > 1).select("key", F.size("words").alias("n"), F.posexplode("words").alias("k", "term"))
+        hits = (
+            self.table("entries").join(single, "term", "left_semi").select(F.col("term").alias("key"), "chunk_id", "dl", "tf")
+            .unionByName(self._phrase_hits(longer))
+        )
+        df = self.table("terms").select(F.col("term").alias("key"), "df").join(single.withColumnRenamed("term", "key"), "key", "left_semi")
+        df = df.unionByName(self._phrase_hits(longer).groupBy("key").agg(F.count(F.lit(1)).alias("df")))
+        weights = named.join(df, "key").select("query_id", "key", (F.col("times") * idf(F.lit(self.n), F.col("df"))).alias("w"))
+        part = F.col("w") * term_score(F.col("tf"), F.col("dl"), F.lit(self.avgdl))
+        got = (
+            hits.join(weights, "key")
+            .groupBy("query_id", "chunk_id")
+            # Parts add up as integers of 1e-12, which no order of rows can change.
+            .agg(F.sum((part * 1e12).cast("bigint")).alias("parts"), F.count(F.lit(1)).alias("hits"))
+            .withColumn("bm25", -F.col("parts") / F.lit(1e12))
+        )
+        if mode == "all":
+            got = got.join(named.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id").where(F.col("hits") == F.col("n"))
+        return got.select("query_id", "chunk_id", "bm25")
 
 
 def filtered(

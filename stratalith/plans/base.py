@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalith import constants as C
-from stratalith.functions.hashing import artifact_id
+from stratalith.functions.hashing import artifact_id, sha256
 from stratalith.operators import lifecycle as L
+from stratalith.operators.index import SearchIndex
 from stratalith.operators.nodes import latest_nodes
-from stratalith.session import table
+from stratalith.session import exists, files_of, shared_folder, table
+
+_INDEXES: dict[str, SearchIndex] = {}
 
 
 def nodes(spark, d) -> DataFrame:
@@ -61,6 +64,20 @@ def chunks(spark, d) -> DataFrame:
     )
 
 
+def search_index(spark, d) -> SearchIndex:
+    """The index of the chunks, written when it is first asked for and read from then on; a change of the tables' files
+    gives another one. Beside its own tables it holds the chunks, sorted by id."""
+    seen = [files_of(spark, f"{d}/{name}.parquet") for name in ("nodes", "snapshot_artifacts", "builds")]
+    root = f"{shared_folder(spark)}/index-{sha256(repr(seen))[:24]}"
+    if root not in _INDEXES:
+        if not exists(spark, f"{root}/totals.parquet/_SUCCESS"):
+            held = chunks(spark, d).repartition("chunk_id").sortWithinPartitions("chunk_id")
+            held.write.mode("overwrite").option("parquet.block.size", 8 * 1024 * 1024).parquet(f"{root}/chunks.parquet")
+            SearchIndex.write(spark.read.parquet(f"{root}/chunks.parquet"), root)
+        _INDEXES[root] = SearchIndex(spark, root)
+    return _INDEXES[root]
+
+
 def superseded(spark, d) -> DataFrame:
     """Artifacts that an artifact of the last sealed build supersedes."""
     last = L.of_build(artifacts(spark, d), sealed_builds(spark, d)[-1])
@@ -123,7 +140,7 @@ CHUNKS = rf"""
 chunks AS (
   SELECT n.id AS chunk_id, n.artifact_id, regexp_replace(n.artifact_id, '^[^:]*:', '') AS path, n.title,
          array_to_string(heading_path, ' ') AS heading, n.text AS body, coalesce(b2.status, 'active') AS status,
-         coalesce(b2.authority, 50) AS authority
+         coalesce(b2.authority, 50) AS authority, heading_path
   FROM n LEFT JOIN b2 ON b2.id = n.artifact_id WHERE n.text <> ''),
 toks AS (
   SELECT chunk_id, artifact_id, path, status, {tokens_sql("coalesce(path, '')")} AS tp, {tokens_sql("coalesce(title, '')")} AS tt,

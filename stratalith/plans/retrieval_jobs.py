@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stratalith import constants as C
-from stratalith.functions.text import fold_terms, round6
+from stratalith.functions.text import round6
 from stratalith.operators import context as X
 from stratalith.operators import index as I
 from stratalith.operators import ranking as R
@@ -21,40 +22,50 @@ BUDGET = C.BUDGET_RANGE[0]
 
 
 def term_stats(spark, d):
-    return I.term_stats(B.chunks(spark, d))
+    return B.search_index(spark, d).table("terms")
 
 
 def doc_stats(spark, d):
-    return I.doc_stats(B.chunks(spark, d))
+    return B.search_index(spark, d).table("lengths")
 
 
 def postings(spark, d):
-    return I.postings(B.chunks(spark, d)).select("term", "chunk_id", "col", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
+    got = B.search_index(spark, d).postings()
+    return got.withColumn("positions", F.array_join(F.transform("positions", lambda p: p.cast("string")), ","))
+
+
+def corpus_totals(spark, d):
+    """What a search knows of the corpus besides its terms."""
+    return B.search_index(spark, d).table("totals")
 
 
 def match_all(spark, d):
-    return I.match(B.chunks(spark, d), ALL_QUERY, "all").select("chunk_id")
+    return B.search_index(spark, d).match(ALL_QUERY, "all")
 
 
 def match_any(spark, d):
-    return I.match(B.chunks(spark, d), ANY_QUERY, "any").select("chunk_id")
+    return B.search_index(spark, d).match(ANY_QUERY, "any")
 
 
 def match_phrase(spark, d):
-    return I.match(B.chunks(spark, d), PHRASE_QUERY, "all").select("chunk_id")
+    return B.search_index(spark, d).match(PHRASE_QUERY, "all")
+
+
+def _rounded(scores):
+    return scores.select("chunk_id", round6(F.col("bm25")).alias("bm25"))
 
 
 def bm25_scores(spark, d):
-    return I.bm25(B.chunks(spark, d), ANY_QUERY, "any").select("chunk_id", round6(F.col("bm25")).alias("bm25"))
+    return _rounded(B.search_index(spark, d).bm25(ANY_QUERY, "any"))
 
 
 def bm25_phrase(spark, d):
-    return I.bm25(B.chunks(spark, d), f"{PHRASE_QUERY} canonical", "any").select("chunk_id", round6(F.col("bm25")).alias("bm25"))
+    return _rounded(B.search_index(spark, d).bm25(f"{PHRASE_QUERY} canonical", "any"))
 
 
 def _filtered(spark, d, **where):
-    c = B.chunks(spark, d)
-    return I.bm25(c, ANY_QUERY, "any", I.filtered(c, **where)).select("chunk_id", round6(F.col("bm25")).alias("bm25"))
+    found = B.search_index(spark, d)
+    return _rounded(found.bm25(ANY_QUERY, "any", I.filtered(found.table("chunks"), **where)))
 
 
 def filter_path_glob(spark, d):
@@ -73,14 +84,24 @@ def filter_artifact(spark, d):
     return _filtered(spark, d, artifact="reference/release-ledger.md")
 
 
+def filter_task(spark, d):
+    """The filters a task brings along: any of its words, the first path, the first type, its statuses."""
+    return _filtered(spark, d, path="guides/*", extension=".md", statuses=["active", "draft"])
+
+
 def search_page(spark, d, query=SEARCH_QUERY, limit=PAGE):
-    """One search: match all terms (any, if none does), BM25 candidates, then the ranked page."""
-    c = B.chunks(spark, d)
-    scores = I.bm25(c, query, "all")
-    if len(fold_terms(query)) > 1 and scores.isEmpty():
-        scores = I.bm25(c, query, "any")
-    best = I.top_k(scores, R.candidate_count(limit))
-    rows = best.join(c, "chunk_id").select(
+    """One search: match all terms (any, if none does), BM25 candidates, then the ranked page.
+
+    Candidates are cut to their depth by score alone; only then are the texts of these few fetched.
+    """
+    found = B.search_index(spark, d)
+    depth = R.candidate_count(limit)
+    best = I.top_k(found.bm25(query, "all"), depth).collect()
+    if not best and len(I.query_phrases(query)) > 1:
+        best = I.top_k(found.bm25(query, "any"), depth).collect()
+    scores = spark.createDataFrame([(r["chunk_id"], r["bm25"]) for r in best], "chunk_id string, bm25 double")
+    held = found.table("chunks").where(F.col("chunk_id").isin([r["chunk_id"] for r in best]))
+    rows = scores.join(held, "chunk_id").select(
         F.lit("q").alias("query_id"), F.lit(query).alias("query"), "chunk_id", "artifact_id", F.col("path").alias("relative_path"),
         "title", "heading_path", F.col("body").alias("text"), "status", "authority", "bm25",
         F.lit(0).alias("estimated_tokens"), "line_start", "line_end",
@@ -90,8 +111,7 @@ def search_page(spark, d, query=SEARCH_QUERY, limit=PAGE):
 
 def search_bm25_topk(spark, d):
     """The flagship: one search, top 10 by BM25."""
-    c = B.chunks(spark, d)
-    return I.top_k(I.bm25(c, SEARCH_QUERY, "any"), PAGE).select("chunk_id", round6(F.col("bm25")).alias("bm25"))
+    return _rounded(I.top_k(B.search_index(spark, d).bm25(SEARCH_QUERY, "any"), PAGE))
 
 
 def ranked_search(spark, d):
@@ -101,9 +121,7 @@ def ranked_search(spark, d):
 def batch_search(spark, d):
     """Every task of the reports as a query at once: the ten best chunks of each."""
     tasks = table(spark, d, "dropped_hits").select(F.col("report_id").alias("query_id"), F.col("task_text").alias("query")).distinct()
-    scored = I.batch_bm25(B.chunks(spark, d), tasks).withColumn("bm25", round6(F.col("bm25")))
-    from pyspark.sql import Window
-
+    scored = B.search_index(spark, d).batch_bm25(tasks).withColumn("bm25", round6(F.col("bm25")))
     w = Window.partitionBy("query_id").orderBy("bm25", "chunk_id")
     return scored.withColumn("position", F.row_number().over(w)).where(F.col("position") <= PAGE)
 
@@ -181,8 +199,8 @@ def context_citations(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        search_bm25_topk, term_stats, doc_stats, postings, match_all, match_any, match_phrase, bm25_scores, bm25_phrase,
-        filter_path_glob, filter_extension, filter_status, filter_artifact, ranked_search, batch_search, score_components,
+        search_bm25_topk, term_stats, doc_stats, postings, corpus_totals, match_all, match_any, match_phrase, bm25_scores, bm25_phrase,
+        filter_path_glob, filter_extension, filter_status, filter_artifact, filter_task, ranked_search, batch_search, score_components,
         authority_multiplier, visibility_fallback, near_duplicate_pairs, greedy_duplicates, ranked_page, drop_reasons,
         artifact_cap, profile_budgets, context_bundle, context_omissions, context_totals, context_citations,
     )
@@ -278,8 +296,8 @@ walk AS (
 gone AS (SELECT query_id, unnest(lost) AS chunk_id FROM walk QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY k DESC) = 1)"""
 
 
-def _RANKED(limit: int) -> str:
-    return f"""{B.CANDIDATES}, {_SUPERSEDED}, {_scored_sql()}, {_SETS}, {_GREEDY},
+def _reasons(limit: int) -> str:
+    return f"""
 dup AS (SELECT vis.*, gone.chunk_id IS NOT NULL AS duplicate FROM vis LEFT JOIN gone USING (query_id, chunk_id)),
 cap AS (SELECT *, row_number() OVER (PARTITION BY query_id, shown AND NOT duplicate, artifact_id ORDER BY score DESC, relative_path, chunk_id) <= 3 AS in_cap FROM dup),
 pos AS (SELECT *, row_number() OVER (PARTITION BY query_id, shown AND NOT duplicate AND in_cap ORDER BY score DESC, relative_path, chunk_id) AS position FROM cap),
@@ -287,6 +305,10 @@ ranked AS (SELECT *, CASE WHEN NOT shown THEN CASE WHEN superseded THEN 'superse
   WHEN NOT in_cap THEN 'diversity' WHEN position > {limit} THEN 'budget' END AS reason FROM pos)"""
 
 
+def _RANKED(limit: int) -> str:
+    return f"{B.CANDIDATES}, {_SUPERSEDED}, {_scored_sql()}, {_SETS}, {_GREEDY}, {_reasons(limit)}"
+
+
 _BUNDLE = f"""
 kept AS (SELECT *, regexp_replace(regexp_extract(relative_path, '[^/]*$'), '[.][^.]+$', '') AS stem FROM ranked WHERE reason IS NULL),
 aim AS (
@@ -332,6 +354,7 @@ SQL = {
 WITH {B.CHUNKS}, t AS (SELECT chunk_id, unnest(list_concat(tp, tt, th, tb)) AS term FROM sized)
 SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS occurrences FROM t GROUP BY term""",
     "doc_stats": f"WITH {B.CHUNKS} SELECT chunk_id, dl FROM sized",
+    "corpus_totals": f"WITH {B.CHUNKS} SELECT count(*) AS n, sum(dl) AS length FROM sized",
     "postings": f"""
 WITH {B.CHUNKS}, c AS (SELECT chunk_id, 'path' AS col, tp AS l FROM sized UNION ALL SELECT chunk_id, 'title', tt FROM sized
   UNION ALL SELECT chunk_id, 'heading', th FROM sized UNION ALL SELECT chunk_id, 'body', tb FROM sized),
@@ -346,19 +369,29 @@ SELECT term, chunk_id, col, string_agg(CAST(place AS VARCHAR), ',' ORDER BY plac
     "filter_extension": f"WITH {_bm25_sql(ANY_QUERY, where='path ILIKE ' + repr('%.ts'))} {_SCORES}",
     "filter_status": f"WITH {_bm25_sql(ANY_QUERY, where='status IN (' + repr('draft') + ', ' + repr('archived') + ')')} {_SCORES}",
     "filter_artifact": f"WITH {_bm25_sql(ANY_QUERY, where='path = ' + repr('reference/release-ledger.md') + ' OR artifact_id = ' + repr('reference/release-ledger.md'))} {_SCORES}",
+    "filter_task": f"WITH {_bm25_sql(ANY_QUERY, where='path GLOB ' + repr('guides/*') + ' AND path ILIKE ' + repr('%.md') + ' AND status IN (' + repr('active') + ', ' + repr('draft') + ')')} {_SCORES}",
+    "ranked_search": f"""
+WITH RECURSIVE {_bm25_sql(SEARCH_QUERY, 'all')}, sup AS (SELECT DISTINCT unnest(supersedes) AS artifact_id FROM b2),
+cands AS (SELECT 'q' AS query_id, '{SEARCH_QUERY}' AS query, chunk_id, artifact_id, path AS relative_path, title, heading_path, body AS text,
+  status, authority, 0 AS estimated_tokens, bm25 FROM scores JOIN chunks USING (chunk_id) ORDER BY bm25, chunk_id LIMIT {R.candidate_count(PAGE)}),
+{_scored_sql()}, {_SETS}, {_GREEDY}, {_reasons(PAGE)}
+SELECT CAST(position AS INTEGER) AS position, chunk_id, score FROM ranked WHERE reason IS NULL""",
     "search_bm25_topk": f"WITH {_bm25_sql(SEARCH_QUERY)} {_SCORES} ORDER BY scores.bm25, chunk_id LIMIT {PAGE}",
     "batch_search": f"""
 WITH {B.CHUNKS}, tasks AS (SELECT DISTINCT report_id AS query_id, task_text FROM dropped_hits),
-qt AS (SELECT DISTINCT query_id, unnest({B.tokens_sql('task_text')}) AS term FROM tasks),
+parts AS (SELECT query_id, unnest(regexp_split_to_array(trim(task_text), '\\s+')) AS part FROM tasks),
+named AS (SELECT query_id, words, count(*) AS times FROM (SELECT query_id, {B.tokens_sql('part')} AS words FROM parts) WHERE len(words) > 0 GROUP BY ALL),
+wanted AS (SELECT DISTINCT words FROM named),
 c AS (SELECT chunk_id, dl, 4.0 AS w, tp AS l FROM sized UNION ALL SELECT chunk_id, dl, 6.0, tt FROM sized
   UNION ALL SELECT chunk_id, dl, 3.0, th FROM sized UNION ALL SELECT chunk_id, dl, 1.0, tb FROM sized),
-o AS (SELECT chunk_id, dl, w, unnest(l) AS term FROM c),
-tf AS (SELECT term, chunk_id, dl, CAST(sum(w) AS DOUBLE) AS tf FROM o WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
-df AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM tf GROUP BY term),
+o AS (SELECT chunk_id, dl, w, l, unnest(l) AS term, generate_subscripts(l, 1) AS place FROM c),
+tf AS (SELECT words, chunk_id, dl, CAST(sum(w) AS DOUBLE) AS tf FROM o JOIN wanted ON o.term = words[1]
+  WHERE len(words) = 1 OR l[place:place + len(words) - 1] = words GROUP BY ALL),
+df AS (SELECT words, CAST(count(*) AS DOUBLE) AS df FROM tf GROUP BY words),
 st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS avgdl FROM sized),
-sc AS (SELECT query_id, chunk_id, -sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END)
-    * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) ORDER BY term) AS bm25
-  FROM tf JOIN df USING (term) JOIN qt USING (term), st GROUP BY query_id, chunk_id),
+sc AS (SELECT query_id, chunk_id, -sum(times * (CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END)
+    * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) ORDER BY words) AS bm25
+  FROM tf JOIN df USING (words) JOIN named USING (words), st GROUP BY query_id, chunk_id),
 r AS (SELECT query_id, chunk_id, {_ROUND.format('bm25')} AS bm25 FROM sc)
 SELECT query_id, chunk_id, bm25, CAST(row_number() OVER (PARTITION BY query_id ORDER BY bm25, chunk_id) AS INTEGER) AS position FROM r
 QUALIFY position <= {PAGE}""",

@@ -24,32 +24,44 @@ def _chunks(spark, n=40, seed=3):
     return rows, spark.createDataFrame(rows, CHUNKS)
 
 
-@pytest.mark.parametrize("query", ["alpha", "alpha beta", "data-set cafe", "NAIVE index missing"])
-def test_bm25_equals_sqlite(spark, query):
+@pytest.fixture(scope="module")
+def searchable(spark, tmp_path_factory):
     rows, df = _chunks(spark)
+    root = str(tmp_path_factory.mktemp("index"))
+    index.SearchIndex.write(df, root)
+    return rows, index.SearchIndex(spark, root)
+
+
+@pytest.mark.parametrize("query", ["alpha", "alpha beta", "data-set cafe", "NAIVE index missing", "alpha alpha beta", "set-build-café data"])
+def test_bm25_equals_sqlite(searchable, query):
+    rows, found = searchable
     db = sqlite3.connect(":memory:")
     db.execute("CREATE VIRTUAL TABLE f USING fts5(id UNINDEXED, path, title, heading, body, tokenize = 'unicode61 remove_diacritics 2')")
     db.executemany("INSERT INTO f VALUES (?, ?, ?, ?, ?)", [(r[0], r[2], r[3], r[4], r[5]) for r in rows])
-    match = " OR ".join(f'"{t}"' for t in query.split())
-    want = dict(db.execute("SELECT id, bm25(f, 0, 4, 6, 3, 1) FROM f WHERE f MATCH ?", (match,)).fetchall())
-    got = {r.chunk_id: r.bm25 for r in index.bm25(df, query, "any").collect()}
-    assert set(got) == set(want)
-    assert all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
-
-
-def test_batch_equals_single(spark):
-    _, df = _chunks(spark)
-    queries = spark.createDataFrame([(1, "alpha beta"), (2, "rollback")], "query_id int, query string")
-    got = {(r.query_id, r.chunk_id): r.bm25 for r in index.batch_bm25(df, queries).collect()}
-    for k, q in ((1, "alpha beta"), (2, "rollback")):
-        one = {r.chunk_id: r.bm25 for r in index.bm25(df, q, "any").collect()}
+    for mode, glue in (("any", " OR "), ("all", " ")):
+        match = glue.join(f'"{t}"' for t in query.split())
+        want = dict(db.execute("SELECT id, bm25(f, 0, 4, 6, 3, 1) FROM f WHERE f MATCH ?", (match,)).fetchall())
+        got = {r.chunk_id: r.bm25 for r in found.bm25(query, mode).collect()}
+        assert set(got) == set(want) == {r.chunk_id for r in found.match(query, mode).collect()}
+        assert all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+
+
+@pytest.mark.parametrize("mode", ["any", "all"])
+def test_batch_equals_single(spark, searchable, mode):
+    _, found = searchable
+    asked = [(1, "alpha beta"), (2, "rollback"), (3, "data-set café"), (4, "alpha alpha"), (5, "—"), (6, None), (7, "missing-term beta")]
+    got = {(r.query_id, r.chunk_id): r.bm25 for r in found.batch_bm25(spark.createDataFrame(asked, "query_id int, query string"), mode).collect()}
+    for k, q in asked:
+        one = {r.chunk_id: r.bm25 for r in found.bm25(q or "", mode).collect()}
         assert {c for i, c in got if i == k} == set(one)
         assert all(abs(got[k, c] - v) < 1e-9 for c, v in one.items())
 
 
-def test_empty_query_and_corpus(spark):
+def test_empty_query_and_corpus(spark, searchable, tmp_path):
     _, df = _chunks(spark)
-    assert index.bm25(df, "—").count() == 0 and index.bm25(df.where("false"), "alpha").count() == 0
+    assert searchable[1].bm25("—").count() == 0 and searchable[1].match("").count() == 0
+    index.SearchIndex.write(df.where("false"), str(tmp_path))
+    assert index.SearchIndex(spark, str(tmp_path)).bm25("alpha").count() == 0
 
 
 CANDIDATES = (
