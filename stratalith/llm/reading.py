@@ -318,7 +318,8 @@ def learned(documents: DataFrame, labels: DataFrame, bound: int = LABEL_BOUND, p
         .groupBy("doc_id")
         .agg(F.max("reading_level").cast("int").alias("reading_level"), F.max("spoken").alias("spoken"))
     )
-    texts = documents.select("doc_id", "text", "lang").join(drawn, "doc_id")
+    # The drawn keys are bounded by the two numbers above, so the texts stay where they are.
+    texts = documents.select("doc_id", "text", "lang").join(F.broadcast(drawn), "doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
