@@ -130,16 +130,30 @@ def in_order(metrics: DataFrame, builds: DataFrame) -> DataFrame:
     )
 
 
-def share_distance(states: DataFrame, ordered: DataFrame, rules=PRICE_LIST) -> DataFrame:
+def _joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """left and right by load and ordinal, nulls being equal. Said so, the join lets no condition that keys aren't null
+    sink into one side's states, which all branches of a plan share."""
+    keys = [*LOAD, "ordinal"]
+    other = right.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return left.join(other, on, how).drop(*[f"_{k}" for k in keys])
+
+
+def share_distance(states: DataFrame, builds: DataFrame, rules=PRICE_LIST) -> DataFrame:
     """(build_id, table_id, ordinal, distance): half the sum of absolute share differences to the previous load.
 
     Each share is emitted with a plus for its own load and a minus for the next one, so one grouped sum gives the
     differences without joining loads to each other. A column without any value has no shares; a first load no distance.
     """
     watched = F.col("ordinal").isin(*[r.ordinal for r in rules if r.drift == "shares"])
-    # Said of the count, the condition stays above the exchange of the states, which all branches share.
+    # Said of the count, the conditions stay above the exchange of the states.
     held = states.where(F.when(watched & F.col("value").isNotNull(), F.col("n")) > 0)
-    loads = ordered.select(*LOAD, "ordinal", "first_load", "next_build", (F.col("row_count") - F.col("null_count")).alias("total"))
+    totals = states.where(F.when(watched, F.col("n")) > 0).groupBy(*LOAD, "ordinal").agg(
+        F.sum("n").alias("row_count"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("null_count"), F.lit(None).cast("double").alias("median")
+    )
+    loads = in_order(totals, builds).select(*LOAD, "ordinal", "first_load", "next_build", (F.col("row_count") - F.col("null_count")).alias("total"))
     share = F.col("n") / F.col("total")
     signed = F.array_compact(
         F.array(
@@ -148,7 +162,7 @@ def share_distance(states: DataFrame, ordered: DataFrame, rules=PRICE_LIST) -> D
         )
     )
     return (
-        held.join(loads, [*LOAD, "ordinal"])
+        _joined(held, loads, "inner")
         .select("table_id", "ordinal", "value", F.inline(signed))
         .groupBy("load", "table_id", "ordinal", "value")
         .agg(F.abs(F.sum("share")).alias("d"))
@@ -157,6 +171,12 @@ def share_distance(states: DataFrame, ordered: DataFrame, rules=PRICE_LIST) -> D
     )
 
 
+def changes(states: DataFrame, builds: DataFrame, rules=PRICE_LIST, recorded: DataFrame | None = None) -> DataFrame:
+    """Metrics of every column of every load with the change since the table's previous load."""
+    ordered = in_order(column_metrics(states, rules, recorded), builds)
+    return _joined(ordered, share_distance(states, builds, rules), "left").drop("next_build")
+
+
 def profile(rows: DataFrame, builds: DataFrame, rules: tuple[Constraint, ...] = PRICE_LIST, kept: DataFrame | None = None) -> DataFrame:
     """Metrics of every column of every load, with the change since the table's previous load.
 
@@ -167,8 +187,7 @@ def profile(rows: DataFrame, builds: DataFrame, rules: tuple[Constraint, ...] =
     states = column_states(rows, rules)
     if kept is not None:
         states = merge_states(kept, states)
-    ordered = in_order(column_metrics(states, rules), builds)
-    return ordered.join(share_distance(states, ordered, rules), [*LOAD, "ordinal"], "left").drop("next_build")
+    return changes(states, builds, rules)
 
 
 def drifted(rules: tuple[Constraint, ...] = PRICE_LIST, null_shift=0.15, distance=DISTANCE, ratio=1.5) -> Column:
@@ -188,8 +207,6 @@ def drifted(rules: tuple[Constraint, ...] = PRICE_LIST, null_shift=0.15, distanc
 
 def findings(rows: DataFrame, recorded: DataFrame, builds: DataFrame, rules=PRICE_LIST) -> DataFrame:
     """(build_id, table_id, ordinal, finding): where the recorded profile is wrong, cells don't fit or loads drift."""
-    states = column_states(rows, rules)
-    metrics = column_metrics(states, rules, recorded)
     numeric = F.col("ordinal").isin(*[r.ordinal for r in rules if r.kind == "number"])
 
     def bound_differs(name: str) -> Column:
@@ -209,14 +226,10 @@ def findings(rows: DataFrame, recorded: DataFrame, builds: DataFrame, rules=PRIC
         "min_value": has & bound_differs("min"),
         "max_value": has & bound_differs("max"),
         "pattern": F.col("violations") > 0,
+        "drift": drifted(rules),
     }
     found = F.array_compact(F.array(*[F.when(t, F.lit(name)) for name, t in tests.items()]))
-    wrong = metrics.select(*LOAD, "ordinal", F.explode(found).alias("finding"))
-    ordered = in_order(metrics, builds)
-    moved = ordered.withColumn("distance", F.lit(None).cast("double")).where(drifted(rules))
-    apart = share_distance(states, ordered, rules).where(F.col("distance") >= DISTANCE - TOLERANCE)
-    drift = moved.select(*LOAD, "ordinal").unionByName(apart.select(*LOAD, "ordinal")).distinct()
-    return wrong.unionByName(drift.withColumn("finding", F.lit("drift")))
+    return changes(column_states(rows, rules), builds, rules, recorded).select(*LOAD, "ordinal", F.explode(found).alias("finding"))
 
 
 def control_limits(metrics: DataFrame, columns=("null_share", "distinct_count", "violations"), sigmas=3.0, least=3) -> DataFrame:
