@@ -31,8 +31,9 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -199,44 +200,66 @@ def parse_block(raws: list[str], delimiter: str) -> tuple[list[Record], int]:
     return out, checked
 
 
-def _blocks(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Whole blocks of rows that come sorted by ``keys``, whatever the batches' ends."""
-    held: list[pd.DataFrame] = []
-    last: tuple | None = None
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        for key, part in pdf.groupby(keys, sort=False, dropna=False):
-            key = tuple(None if pd.isna(k) else k for k in key)
-            if last is not None and key != last:
-                yield pd.concat(held)
-                held = []
-            held.append(part)
-            last = key
-    if held:
-        yield pd.concat(held)
-
-
-def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for block in _blocks(batches, ["file_path", "block"]):
-        header = block["header"].iloc[0]
-        delimiter, order = header_of(header if isinstance(header, str) else ",".join(COLUMNS))
-        found, _ = parse_block(block["raw_record"].tolist(), delimiter)
-        out = [(i, *judge(r, order)) for i, r in zip(block["record_id"].tolist(), found, strict=True)]
-        yield pd.DataFrame(out, columns=["record_id", "reason", "segment", "need", "priority", "fault_at"]).astype({"fault_at": "Int32"})
-
-
-def _fault_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for block in _blocks(batches, ["file_path", "block"]):
-        header = block["header"].iloc[0]
-        delimiter, _ = header_of(header if isinstance(header, str) else ",".join(COLUMNS))
-        numbers, (starts, text) = block["record_no"].tolist(), _spans(block["raw_record"].tolist())
-        out = []
-        for r in RecordParser(text, delimiter).records():
-            if r.fault is not None:
-                first, fault, after = (bisect_left(starts, x + 1) - 1 for x in (r.start, r.fault.at, r.end))
-                out.append((block["file_path"].iloc[0], numbers[first], numbers[fault], r.fault.at - starts[fault], r.fault.what, after - first + 1))
-        yield pd.DataFrame(out, columns=["file_path", "record_no", "fault_record", "fault_at", "what", "records"]).astype({"record_no": "Int32", "fault_record": "Int32"})
+@dataclass
+class Block:
+    """Consecutive records of one file."""
+
+    file_path: str | None
+    header: str | None
+    ids: list[int]
+    numbers: list[int | None]
+    raws: list[str]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """Whole blocks of rows that come sorted by file and block, whatever the batches' ends."""
+    last, held = None, None
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("file_path", "block", "header", "record_id", "record_no", "raw_record")]
+        for path, block, header, record, number, raw in zip(*columns, strict=True):
+            if held is None or last != (path, block):
+                if held is not None:
+                    yield held
+                last, held = (path, block), Block(path, header, [], [], [])
+            held.ids.append(record)
+            held.numbers.append(number)
+            held.raws.append(raw)
+    if held is not None:
+        yield held
+
+
+def _in_batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 10_000) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
+
+
+_PARSED = pa.schema([("record_id", pa.int64()), *((c, pa.string()) for c in ("reason", *COLUMNS)), ("fault_at", pa.int32())])
+_FAULTS = pa.schema(
+    [("file_path", pa.string()), ("record_no", pa.int32()), ("fault_record", pa.int32()), ("fault_at", pa.int32()), ("what", pa.string()), ("records", pa.int32())]
+)
+
+
+def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple]:
+        for b in _blocks(batches):
+            delimiter, order = header_of(b.header if b.header is not None else ",".join(COLUMNS))
+            for i, r in zip(b.ids, parse_block(b.raws, delimiter)[0], strict=True):
+                yield i, *judge(r, order)
+
+    yield from _in_batches(rows(), _PARSED)
+
+
+def _fault_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple]:
+        for b in _blocks(batches):
+            delimiter, _ = header_of(b.header if b.header is not None else ",".join(COLUMNS))
+            starts, text = _spans(b.raws)
+            for r in RecordParser(text, delimiter).records():
+                if r.fault is not None:
+                    first, fault, after = (bisect_left(starts, x + 1) - 1 for x in (r.start, r.fault.at, r.end))
+                    yield b.file_path, b.numbers[first], b.numbers[fault], r.fault.at - starts[fault], r.fault.what, after - first + 1
+
+    yield from _in_batches(rows(), _FAULTS)
 
 
 def in_files(lines: DataFrame, block: int = BLOCK_RECORDS) -> DataFrame:
@@ -266,7 +289,7 @@ def in_files(lines: DataFrame, block: int = BLOCK_RECORDS) -> DataFrame:
 def parse_records(lines: DataFrame, block: int = BLOCK_RECORDS) -> DataFrame:
     """(record_id, reason, segment, need, priority, fault_at) of every record; reason is null for valid rows."""
     ship(lines.sparkSession)
-    return in_files(lines, block).mapInPandas(
+    return in_files(lines, block).mapInArrow(
         _parse_batches, "record_id bigint, reason string, segment string, need string, priority string, fault_at int"
     )
 
@@ -276,7 +299,7 @@ def located_faults(lines: DataFrame, block: int = BLOCK_RECORDS) -> DataFrame:
     them: the record it was reading, where the fault lies, and over how many delivered records it went until it had a
     validated start to resume at."""
     ship(lines.sparkSession)
-    return in_files(lines, block).mapInPandas(
+    return in_files(lines, block).mapInArrow(
         _fault_batches, "file_path string, record_no int, fault_record int, fault_at int, what string, records int"
     )
 
