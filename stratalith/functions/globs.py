@@ -133,3 +133,28 @@ def pruning_rule(path: Column, rules: Sequence[IgnoreRule]) -> Column:
         return last
 
     return F.element_at(F.concat(F.filter(F.transform(dirs, decide), lambda i: i >= 0), F.array(F.lit(None).cast("int"))), 1)
+
+
+class Decider:
+    """The same decisions on the driver, for a walk that doesn't enter skipped directories."""
+
+    def __init__(self, rules: Sequence[IgnoreRule]):
+        self.rules = list(rules)
+        self.whole = [re.compile(ignore_regex(r.pattern)) for r in rules]
+        self.dirs = [re.compile(x) if (x := ignore_regex(r.pattern, directory=True)) else None for r in rules]
+
+    def skips(self, directory: str) -> int | None:
+        """Index of the rule by which a directory isn't entered, or null."""
+        last = None
+        for i, (rule, regex) in enumerate(zip(self.rules, self.dirs, strict=True)):
+            if regex is not None and regex.match(directory):
+                last = None if rule.negated else i
+        return last
+
+    def excludes(self, path: str) -> int | None:
+        """Index of the rule that excludes a file of a directory that is entered, or null."""
+        last = None
+        for i, (rule, regex) in enumerate(zip(self.rules, self.whole, strict=True)):
+            if regex.match(path):
+                last = None if rule.negated else i
+        return last

@@ -9,8 +9,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HASH_CLASSES = 256
-
 
 def canonical(value: object) -> str:
     """An unambiguous text of a nested value: lengths before strings and numbers, counts before lists and maps."""
@@ -43,24 +41,20 @@ def hash_root(members: Sequence[str]) -> str:
 def hash_roots(members: DataFrame, hash_column: str = "member_hash", by: Sequence[str] = ()) -> DataFrame:
     """(by..., n, root): the root of each group's hashes; equal hashes count as often as they occur.
 
-    Members are first folded by the two leading hex digits of their hash, so that the last step of a group handles
-    at most 256 sorted strings, and no list of all rows exists. A root is the hash of ``r<count>:`` and these class
-    digests in order; a group of one class or less than ``HASH_CLASSES`` rows still folds the same way, so a root
-    doesn't depend on how rows are spread.
+    A tree of SHA-256 over hex digests: members of one class (their first four digits) are sorted, each with its number,
+    and hashed; classes of one branch (the first two digits) likewise, then the branches. A list holds a 65,536th of a
+    group's members or 256 digests, and a root doesn't depend on how rows are spread.
     """
     h = F.col(hash_column)
-    counted = members.where(h.isNotNull()).groupBy(*by, hash_column).agg(F.count(F.lit(1)).alias("n"))
-    # Within a class an order-free digest: 128 bits of sums of two independent 64-bit hashes of (hash, multiplicity).
-    pieces = counted.groupBy(*by, F.substring(h, 1, 2).alias("cls")).agg(
-        F.sum("n").alias("n"),
-        F.sum(F.xxhash64(h, F.col("n")).cast("decimal(38,0)")).alias("a"),
-        F.sum(F.xxhash64(F.lit("second"), h, F.col("n")).cast("decimal(38,0)")).alias("b"),
-    )
-    digest = F.concat_ws(":", "cls", "n", "a", "b")
-    rows = pieces.groupBy(*by).agg(
-        F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(digest)), ","), 256).alias("root")
-    )
-    return rows
+    counted = members.where(h.isNotNull()).groupBy(*by, h.alias("h")).agg(F.count(F.lit(1)).alias("n"))
+
+    def digest(*parts: str) -> Column:
+        lines = F.transform(F.array_sort(F.collect_list(F.struct(*parts))), lambda x: F.concat_ws(":", *[x[p].cast("string") for p in parts]))
+        return F.sha2(F.array_join(lines, ","), 256).alias("d")
+
+    level = counted.groupBy(*by, F.substring("h", 1, 4).alias("c")).agg(F.sum("n").alias("n"), digest("h", "n"))
+    level = level.groupBy(*by, F.substring("c", 1, 2).alias("c")).agg(F.sum("n").alias("n"), digest("c", "d"))
+    return level.groupBy(*by).agg(F.sum("n").alias("n"), digest("c", "d").alias("root"))
 
 
 def small_roots(members: DataFrame, hash_column: str = "member_hash", by: Sequence[str] = ()) -> DataFrame:

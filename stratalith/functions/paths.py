@@ -38,6 +38,14 @@ def canonical_path(path: str) -> str:
     return "/".join(parts)
 
 
+def is_canonical(path: str) -> bool:
+    """Whether a relative path is safe and already in its canonical form."""
+    try:
+        return canonical_path(path) == path
+    except ValueError:
+        return False
+
+
 def redact(message: str) -> str:
     """A message without what looks like a credential."""
     for pattern in _SECRETS:

@@ -116,3 +116,25 @@ def cyclic(edges: DataFrame, rounds: int | None = None) -> DataFrame:
             break
         n = now
     return left.select(F.explode(F.array("artifact_id", "superseded_id")).alias("artifact_id")).distinct()
+
+
+def cycle(edges: DataFrame) -> list[str]:
+    """The artifacts of one cycle in its order, from the smallest id on; empty if there is none.
+
+    Only what is left after peeling comes to the driver, and there only one edge of each artifact: in what is left each
+    has a successor within it, so following one from anywhere ends in a loop.
+    """
+    left = cyclic(edges)
+    inside = edges.join(left, "artifact_id", "left_semi").join(left.withColumnRenamed("artifact_id", "superseded_id"), "superseded_id", "left_semi")
+    after = {r["artifact_id"]: r["next"] for r in inside.groupBy("artifact_id").agg(F.min("superseded_id").alias("next")).collect()}
+    if not after:
+        return []
+    seen: dict[str, int] = {}
+    # A node between two cycles has a successor too, so every walk ends in a loop.
+    at = min(after)
+    while at not in seen:
+        seen[at] = len(seen)
+        at = after[at]
+    loop = [n for n, i in seen.items() if i >= seen[at]]
+    first = loop.index(min(loop))
+    return loop[first:] + loop[:first]

@@ -300,6 +300,11 @@ WHERE EXISTS (SELECT 1 FROM on_cycle c WHERE c.a = x.id OR (EXISTS (SELECT 1 FRO
     "hash_roots": f"""
 WITH {B.ARTIFACTS}, m AS (SELECT build_id, sha256(concat_ws(' ', relative_path, content_hash)) AS h FROM arts)
 SELECT build_id, count(*) AS n, sha256('r' || count(*) || ':' || string_agg(h, '' ORDER BY h)) AS root FROM m GROUP BY 1""",
+    "tree_roots": f"""
+WITH {B.NODES}, m AS (SELECT artifact_id, revision_hash AS h, count(*) AS n FROM n WHERE revision_hash IS NOT NULL GROUP BY ALL),
+l1 AS (SELECT artifact_id, h[1:4] AS c, sum(n) AS n, sha256(string_agg(h || ':' || n, ',' ORDER BY h, n)) AS d FROM m GROUP BY ALL),
+l2 AS (SELECT artifact_id, c[1:2] AS c, sum(n) AS n, sha256(string_agg(c || ':' || d, ',' ORDER BY c)) AS d FROM l1 GROUP BY artifact_id, l1.c[1:2])
+SELECT artifact_id, sum(n) AS n, sha256(string_agg(c || ':' || d, ',' ORDER BY c)) AS root FROM l2 GROUP BY artifact_id""",
     "diff_artifacts": f"""
 {_COMPARED}, gone AS (SELECT h1 AS h, max(relative_path) AS twin FROM cmp WHERE change = 'removed' GROUP BY 1),
 came AS (SELECT h2 AS h, max(relative_path) AS twin FROM cmp WHERE change = 'added' GROUP BY 1)

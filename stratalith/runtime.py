@@ -1,11 +1,12 @@
-"""The seven read capabilities over a sealed build: describe, search, context, read, list, describe and query tables.
+"""The seven read capabilities over a sealed build: describe, search, context, read, list, describe and query tables; and
+views for inspecting one.
 
 Every call resolves the active build once and reads only from it; each answer carries the build's id.
 """
 
 from __future__ import annotations
 
-import json
+from collections import Counter
 from collections.abc import Sequence
 from pathlib import Path
 
@@ -21,9 +22,24 @@ from stratalith.operators import tables as T
 from stratalith.plans.sqlsurface import execute
 
 
+#: Views for inspection: entity, columns shown, order.
+VIEWS = {
+    "artifacts": ("artifacts", "artifact_id relative_path parser status authority byte_size content_hash", "artifact_id"),
+    "nodes": ("nodes", "artifact_id seq id kind title heading_path line_start line_end revision_hash", "artifact_id seq"),
+    "chunks": ("chunks", "artifact_id chunk_no chunk_id heading_path estimated_tokens line_start line_end", "artifact_id chunk_no"),
+    "tables": ("tables", "artifact_id table_id table_name sheet cell_range sql_name row_count", "table_id"),
+    "columns": ("columns", "table_id ordinal column_name sql_name type nullable null_count distinct_estimate distinct_is_exact min_value max_value", "table_id ordinal"),
+    "warnings": ("warnings", "code class path message", "code path"),
+    "objects": ("objects", "hash body", "hash"),
+}
+#: Indexes kept open by a runtime; a build never changes, so what is known of it doesn't either.
+OPEN_INDEXES = 8
+
+
 class Runtime:
     def __init__(self, spark: SparkSession, state: State | str | Path):
-        self.spark, self.state = spark, state if isinstance(state, State) else State(state)
+        self.spark, self.state = spark, state if isinstance(state, State) else State(state, spark)
+        self._indexes: dict[str, I.SearchIndex] = {}
 
     def _build(self) -> str:
         build = self.state.active()
@@ -34,44 +50,53 @@ class Runtime:
     def _read(self, build: str, entity: str) -> DataFrame:
         return read(self.spark, self.state, build, entity)
 
+    def _index(self, build: str) -> I.SearchIndex:
+        if build not in self._indexes:
+            while len(self._indexes) >= OPEN_INDEXES:
+                self._indexes.pop(next(iter(self._indexes)))
+            self._indexes[build] = I.SearchIndex(self.spark, self.state.url(build))
+        return self._indexes[build]
+
     def describe_build(self) -> dict:
         build = self._build()
-        manifest = json.loads((self.state.path(build) / "manifest.json").read_text("utf-8"))
+        manifest = self.state.manifest(build)
         warned = self._read(build, "warnings").groupBy("code").count().orderBy("code").collect()
         return {"build_id": build, "counts": manifest["counts"], "capabilities": manifest["capabilities"], "warnings": {r["code"]: r["count"] for r in warned}}
 
+    def inspect(self, view: str, artifact: str | None = None, limit: int = 100) -> dict:
+        """Rows of one of ``VIEWS`` of the active build or of the rules' results, of one artifact (id or path) if named."""
+        build = self._build()
+        if view == "supersessions":
+            over = self._read(build, "supersessions")
+            rows = over.groupBy("artifact_id").agg(F.array_join(F.array_sort(F.collect_set("superseded_id")), ",").alias("supersedes"))
+            order = "artifact_id"
+        elif view == "rules":
+            declared = (F.col("status") != C.DEFAULT_STATUS) | (F.col("authority") != C.DEFAULT_AUTHORITY)
+            rows, order = self._read(build, "artifacts").where(declared).select("artifact_id", "relative_path", "status", "authority"), "artifact_id"
+        elif view in VIEWS:
+            entity, columns, order = VIEWS[view]
+            rows = self._read(build, entity).select(*columns.split())
+            if entity == "objects":
+                rows = rows.select("hash", F.octet_length("body").alias("bytes"))
+        else:
+            raise LookupError(f"{view!r} is no view; there are {', '.join(sorted([*VIEWS, 'rules', 'supersessions']))}")
+        if artifact is not None and "artifact_id" in rows.columns:
+            ids = self._read(build, "artifacts").where((F.col("artifact_id") == artifact) | (F.col("relative_path") == artifact)).select("artifact_id")
+            rows = rows.join(ids, "artifact_id", "left_semi")
+        got = rows.orderBy(*order.split()).limit(limit + 1).collect()
+        return {"build_id": build, "view": view, "rows": [r.asDict() for r in got[:limit]], "truncated": len(got) > limit}
+
     def _candidates(self, build: str, query: str, depth: int, path, extension, artifact, statuses) -> DataFrame:
-        """Weighted BM25 from the stored postings: only the query's terms are read."""
+        """The best chunks by weighted BM25 as the index tells them; the texts of these few are fetched last."""
+        index = self._index(build)
         chunks = self._read(build, "chunks")
-        phrases = I.query_phrases(query)
-        terms = sorted({t for p in phrases for t in p})
-        stats = self._read(build, "doc_stats")
-        corpus = stats.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-        held = self._read(build, "postings").where(F.col("term").isin(*terms))
-        weights = F.element_at(F.create_map(*[F.lit(x) for c in C.COLUMN_WEIGHTS.items() for x in c]), F.col("col"))
-        per_phrase = None
-        for i, p in enumerate(phrases):
-            # A phrase occurs where its terms stand at consecutive places of one column.
-            moved = None
-            for k, term in enumerate(p):
-                one = held.where(F.col("term") == term).select("chunk_id", "col", F.transform("positions", lambda x, k=k: x - k).alias("at"))
-                moved = one if moved is None else moved.join(one.withColumnRenamed("at", "more"), ["chunk_id", "col"]).select("chunk_id", "col", F.array_intersect("at", "more").alias("at"))
-            counted = moved.where(F.size("at") > 0).groupBy("chunk_id").agg(F.sum(F.size("at") * weights).alias("tf")).withColumn("phrase", F.lit(i))
-            per_phrase = counted if per_phrase is None else per_phrase.unionByName(counted)
-        if per_phrase is None or not corpus["n"]:
-            return chunks.where("false").withColumn("bm25", F.lit(0.0))
-        df = per_phrase.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-        part = I.idf(F.lit(float(corpus["n"])), F.col("df")) * I.term_score(F.col("tf"), F.col("dl"), F.lit(float(corpus["avgdl"])))
-        scored = (
-            per_phrase.join(df, "phrase").join(stats, "chunk_id").withColumn("part", part).groupBy("chunk_id")
-            .agg(F.array_sort(F.collect_list(F.struct("phrase", "part"))).alias("p"))
-            .select("chunk_id", F.size("p").alias("hits"), (-F.aggregate("p", F.lit(0.0), lambda a, x: a + x["part"])).alias("bm25"))
-        )
-        kept = scored.join(I.filtered(chunks, path, extension, artifact, statuses), "chunk_id")
-        whole = kept.where(F.col("hits") == len(phrases)).orderBy("bm25", "chunk_id").limit(depth)
-        if len(phrases) > 1 and whole.isEmpty():
-            whole = kept.orderBy("bm25", "chunk_id").limit(depth)
-        return whole
+        where = (path, extension, artifact, statuses)
+        within = I.filtered(chunks, *where) if any(x is not None for x in where) else None
+        best = I.top_k(index.bm25(query, "all", within), depth).collect()
+        if not best and len(I.query_phrases(query)) > 1:
+            best = I.top_k(index.bm25(query, "any", within), depth).collect()
+        scores = self.spark.createDataFrame([(r["chunk_id"], r["bm25"]) for r in best], "chunk_id string, bm25 double")
+        return chunks.where(F.col("chunk_id").isin([r["chunk_id"] for r in best])).join(scores, "chunk_id")
 
     def _ranked(self, build: str, query: str, limit: int, depth: int, **where) -> DataFrame:
         rows = self._candidates(build, query, depth, where.get("path"), where.get("extension"), where.get("artifact"), where.get("statuses")).select(
@@ -112,9 +137,10 @@ class Runtime:
             raise LookupError(f"{artifact!r} isn't in the build")
         art = arts[0]
         if from_line is None and to_line is None and not heading:
-            body = self._read(build, "objects").where(F.col("hash") == art["object_hash"]).select("body").first()
-            text = body["body"] if body else ""
-            return {"build_id": build, "artifact_id": art["artifact_id"], "text": text[: C.READ_CHARACTERS], "truncated": len(text) > C.READ_CHARACTERS}
+            # Of a body only what is shown, and its length, come to the driver.
+            shown = F.substring("body", 1, C.READ_CHARACTERS).alias("text")
+            body = self._read(build, "objects").where(F.col("hash") == art["object_hash"]).select(shown, (F.length("body") > C.READ_CHARACTERS).alias("truncated")).first()
+            return {"build_id": build, "artifact_id": art["artifact_id"], "text": body["text"] if body else "", "truncated": bool(body and body["truncated"])}
         nodes = self._read(build, "nodes").where(F.col("artifact_id") == art["artifact_id"])
         got = ranges.read_ranges(nodes, from_line=from_line, to_line=to_line, heading=heading).first()
         if got is None:
@@ -149,7 +175,8 @@ class Runtime:
         build = self._build()
         entry, columns = self._table(build, table_id)
         frame = self.table_frame(build, entry, columns).drop("row_no")
-        return {"build_id": build, "table_id": entry["table_id"], **execute(frame, entry["sql_name"], sql, limit)}
+        labels = {c["sql_name"]: c["column_name"] for c in columns}
+        return {"build_id": build, "table_id": entry["table_id"], **execute(frame, entry["sql_name"], sql, limit, labels=labels)}
 
 
 def render_bundle(bundle: dict) -> str:
@@ -161,9 +188,10 @@ def render_bundle(bundle: dict) -> str:
             for item in bundle[key]:
                 labels = f" ({', '.join(item['labels'])})" if item["labels"] else ""
                 out += ["", f"### {item['relative_path']}{labels}", "", item["text"]]
-    reasons: dict[str, int] = {}
-    for item in bundle["omitted"]:
-        reasons[item["reason"]] = reasons.get(item["reason"], 0) + 1
+    sources = Counter(item["relative_path"] for key in ("overview", "selected") for item in bundle[key])
+    if sources:
+        out += ["", "## Sources", "", *[f"- {path}: {n}" for path, n in sorted(sources.items())]]
+    reasons = Counter(item["reason"] for item in bundle["omitted"])
     if reasons:
         out += ["", "## Omitted", "", *[f"- {n} for {reason}" for reason, n in sorted(reasons.items())]]
     return "\n".join(out) + "\n"

@@ -1,77 +1,122 @@
 """From a directory (or rows of bytes) to nodes, tables and warnings.
 
-Discovery lists paths with Spark's binary source, leaves out what ignore rules or missing formats exclude before any
-content is read for parsing, and hashes contents where they lie. Each file is parsed by one task.
+Discovery walks a source without entering directories that a rule skips, and decides on every file by its path and size;
+the limits of an envelope are checked then. Only contents of files that are left are read, where they lie: hashed and
+classified by one job, whose result is kept, and parsed by another, each file by one task.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from stratalith import constants as C
-from stratalith.functions.globs import IgnoreRule, deciding_rule
-from stratalith.functions.text import nfc
+from stratalith.functions.globs import Decider, IgnoreRule
+from stratalith.functions.paths import is_canonical
 from stratalith.session import ship
 from stratalith.sources import formats
 from stratalith.sources.delimited import parse_delimited
+from stratalith.sources.folders import LocalFolder, SharedFolder
 from stratalith.sources.html import decode_html, parse_html
 from stratalith.sources.markdown import parse_markdown
 from stratalith.sources.office import parse_docx, sheets_of
 from stratalith.sources.tree import NODE_SCHEMA, Tree
 
-DEFAULT_RULES = tuple(IgnoreRule(p, source="built-in") for p in C.ALWAYS_EXCLUDE)
+DEFAULT_RULES = tuple(IgnoreRule(p, source="built-in") for p in (*C.ALWAYS_EXCLUDE, *(p for p in C.SECRET_SHAPED if p not in C.ALWAYS_EXCLUDE)))
 
 
-def discover(spark: SparkSession, root: str, source: str = "src", rules: Sequence[IgnoreRule] = ()) -> DataFrame:
-    """(artifact_id, source, relative_path, byte_size, content_hash, parser, media_type, rule, content) of every file.
+LISTED = (
+    "artifact_id string, source string, relative_path string, url string, byte_size bigint, modified bigint, parser string, media_type string, "
+    "rule int, problem string"
+)
+
+
+def discover(spark: SparkSession, folder: LocalFolder | SharedFolder, source: str = "src", rules: Sequence[IgnoreRule] = (), most: int = C.MAX_SOURCE_FILES) -> list[Row]:
+    """Rows of ``LISTED`` for every file, in canonical order, without reading any.
 
-    ``rule`` is the index of the rule that excludes a file, or null. Files over 64 MiB are dropped by the reader's
-    caller through ``byte_size``.
+    ``rule`` is the index of the rule that excludes a file or, with a path that ends in ``/``, skips a directory;
+    ``problem`` the code of the warning of a file that can't be read. More than ``most`` files that would be read are
+    refused, so the list is bounded.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/") + "/"
-    path = nfc(F.substring_index(F.regexp_replace("path", "^[a-z]+:/*", "/"), base, -1))
-    files = raw.withColumn("relative_path", path)
-    all_rules = [*DEFAULT_RULES, *rules]
-    return files.select(
-        F.concat_ws(":", F.lit(source), "relative_path").alias("artifact_id"),
-        F.lit(source).alias("source"),
-        "relative_path",
-        F.col("length").alias("byte_size"),
-        F.sha2("content", 256).alias("content_hash"),
-        formats.parser_of(F.col("relative_path")).alias("parser"),
-        formats.media_type_of(F.col("relative_path")).alias("media_type"),
-        deciding_rule(F.col("relative_path"), all_rules).alias("rule"),
-        "content",
-    )
+    decider = Decider([*DEFAULT_RULES, *rules])
+    out, usable = [], 0
+    for e in folder.walk(lambda d: decider.skips(d) is not None):
+        plain = unicodedata.normalize("NFC", e.path)
+        parser = formats.parser_for(plain)
+        problem = None
+        if e.reason == "skipped":
+            rule = decider.skips(plain.rstrip("/"))
+        else:
+            rule = decider.excludes(plain)
+            if e.reason is not None:
+                problem = "symlink-not-followed" if e.reason == "symlink" else "special-file"
+            elif not is_canonical(plain):
+                problem = "unsafe-path"
+            elif parser is None:
+                problem = "unsupported-format"
+            elif e.size > C.MAX_ARTIFACT_BYTES:
+                problem = "file-too-large"
+            usable += rule is None and problem is None
+            if usable > most:
+                raise ValueError(f"the source {source!r} holds more than {most} files")
+        out.append(Row(f"{source}:{plain}", source, plain, e.url, e.size, e.modified, parser, formats.media_type_for(plain), rule, None if rule is not None else problem))
+    return out
+
+
+def _contents(spark: SparkSession, listed: DataFrame, urls: Sequence[str]) -> DataFrame:
+    """Rows of ``listed`` with the contents of the named files, which are few enough to be named."""
+    if not urls:
+        return listed.where("false").withColumn("content", F.lit(None).cast("binary"))
+    named = [re.sub(r"([\[\]{}*?\\])", r"\\\1", u) for u in urls]
+    raw = spark.read.format("binaryFile").load(named).select(F.regexp_replace("path", "^file:/+", "file:/").alias("url"), "content")
+    return listed.withColumn("url", F.regexp_replace("url", "^file:/+", "file:/")).join(raw, "url")
+
+
+def facts(spark: SparkSession, found: Sequence[Row]) -> DataFrame:
+    """Files that can be read, with ``content_hash`` and ``text_class``; contents go no further than this job."""
+    use = [r for r in found if r[8] is None and r[9] is None]
+    listed = spark.createDataFrame(use, LISTED)
+    whole = _contents(spark, listed, [r[3] for r in use])
+    return whole.withColumn("content_hash", F.sha2("content", 256)).withColumn("text_class", formats.text_class(F.col("content"), F.col("parser"))).drop("content")
 
 
 def readable(files: DataFrame) -> DataFrame:
-    """Files that are parsed: not excluded, of a known format, not too large, and text where they should be."""
-    return (
-        files.where(F.col("rule").isNull() & F.col("parser").isNotNull() & (F.col("byte_size") <= C.MAX_ARTIFACT_BYTES))
-        .withColumn("text_class", formats.text_class(F.col("content"), F.col("parser")))
-        .where(F.col("text_class").isin("text", "bytes") | (F.col("parser") == "html"))
-    )
-
-
-def discovery_warnings(files: DataFrame) -> DataFrame:
-    """(code, class, path, message) of files that can't be read."""
-    kind = formats.text_class(F.col("content"), F.col("parser"))
-    code = (
-        F.when(F.col("parser").isNull(), "unsupported-format")
-        .when(F.col("byte_size") > C.MAX_ARTIFACT_BYTES, "file-too-large")
-        .when(kind.isin("utf-16", "binary", "invalid-utf8") & (F.col("parser") != "html"), "undecodable-content")
-    )
-    return (
-        files.where("rule IS NULL")
-        .select(code.alias("code"), F.lit("unsupported-file").alias("class"), F.col("relative_path").alias("path"), F.concat(F.lit("the file was left out: "), code).alias("message"))
-        .where("code IS NOT NULL")
-    )
+    """Of ``facts`` the files that are parsed: text where they should be."""
+    return files.where(F.col("text_class").isin("text", "bytes") | (F.col("parser") == "html"))
+
+
+def with_content(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Files of ``facts`` with their contents, for parsing; the list of their places is bounded by the envelope."""
+    return _contents(spark, files, [r["url"] for r in files.select("url").collect()])
+
+
+def discovery_warnings(spark: SparkSession, found: Sequence[Row], files: DataFrame, most_bytes: int = C.MAX_TOTAL_BYTES) -> DataFrame:
+    """(code, class, path, message) of files that can't be read, and of a source that is very large."""
+    schema = "code string, class string, path string, message string"
+    rows = [(r[9], "unsupported-file" if r[9] == "unsupported-format" else "parser", r[2], f"the file was left out: {r[9]}") for r in found if r[9] is not None]
+    total = sum(r[4] for r in found if r[8] is None and r[9] is None)
+    if total > most_bytes:
+        rows.append(("source-very-large", "parser", "", f"the sources hold {total} bytes, over {most_bytes}"))
+    undecodable = files.where(~F.col("text_class").isin("text", "bytes") & (F.col("parser") != "html")).select(
+        F.lit("undecodable-content").alias("code"), F.lit("unsupported-file").alias("class"), F.col("relative_path").alias("path"),
+        F.concat(F.lit("the file was left out: "), F.col("text_class")).alias("message"),
+    )
+    return spark.createDataFrame(rows, schema).unionByName(undecodable)
+
+
+def exclusion_report(found: Sequence[Row], rules: Sequence[IgnoreRule], sample: int = C.EXCLUSION_SAMPLE) -> list[dict]:
+    """What each rule kept out: its pattern and layer, how many files and skipped directories, the first few of them."""
+    every = [*DEFAULT_RULES, *rules]
+    kept_out: dict[int, list[str]] = {}
+    for r in found:
+        if r[8] is not None:
+            kept_out.setdefault(r[8], []).append(r[2])
+    return [{"pattern": every[i].pattern, "source": every[i].source, "files": len(p), "sample": sorted(p)[:sample]} for i, p in sorted(kept_out.items())]
 
 
 def parse_plain(text: str, name: str, code: bool = False) -> Tree:

@@ -29,22 +29,29 @@ def media_type_of(path: Column) -> Column:
     return _choose(path, 1)
 
 
-def parser_for(path: str) -> str | None:
+def _entry_for(path: str) -> tuple | None:
     name = path.rsplit("/", 1)[-1].lower()
-    for parser, _, extensions, names in FORMATS:
-        if name in names or any(name.endswith(e) for e in extensions):
-            return parser
-    return None
+    return next((f for f in FORMATS if name in f[3] or any(name.endswith(e) for e in f[2])), None)
+
+
+def parser_for(path: str) -> str | None:
+    found = _entry_for(path)
+    return found[0] if found else None
+
+
+def media_type_for(path: str) -> str | None:
+    found = _entry_for(path)
+    return found[1] if found else None
 
 
 def text_class(content: Column, parser: Column) -> Column:
     """``text``, ``utf-16`` (by its byte order mark), ``binary`` (a NUL byte) or ``invalid-utf8``; formats that read
-    bytes are exempt. The NUL test is on whole bytes of the hex form."""
+    bytes are exempt."""
     head = F.hex(F.substring(content, 1, 2))
     return (
         F.when(parser.isin(*BYTE_PARSERS), "bytes")
         .when(head.isin("FFFE", "FEFF"), "utf-16")
-        .when(F.hex(content).rlike("^(..)*00"), "binary")
+        .when(F.locate("\0", content.cast("string")) > 0, "binary")
         .when(~F.is_valid_utf8(content.cast("string")), "invalid-utf8")
         .otherwise("text")
     )
