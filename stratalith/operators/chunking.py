@@ -11,6 +11,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,23 +53,36 @@ def with_runs(nodes: DataFrame) -> DataFrame:
 
 def cut_places(text: str, budget: int, overlap: int, real_overlap: bool = False) -> Iterator[tuple[int, int]]:
     """Begin and end of the pieces of an oversized text: back to the last blank line, line end or space past the
-    middle of a full piece. Pieces don't overlap unless ``real_overlap`` is asked for."""
+    middle of a full piece. Sizes count UTF-16 units, places are characters, so no character is cut in two. Pieces don't
+    overlap unless ``real_overlap`` is asked for."""
     most = math.floor(budget * UNITS_PER_TOKEN)
     shared = math.floor(min(overlap, budget / 2) * UNITS_PER_TOKEN) if real_overlap else 0
+    units = None
+    if not text.isascii():
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        units = np.r_[0, np.cumsum(1 + (codes > 0xFFFF))] if (codes > 0xFFFF).any() else None
+
+    def unit(i: int) -> int:
+        return i if units is None else int(units[i])
+
+    def place(u: int) -> int:
+        """The last character that begins at or before unit u."""
+        return u if units is None else int(np.searchsorted(units, u, side="right")) - 1
+
     start = 0
     while start < len(text):
-        end = min(len(text), start + most)
+        end = min(len(text), max(start + 1, place(min(unit(len(text)), unit(start) + most))))
         if end < len(text):
-            middle = start + (end - start) // 2
+            middle = unit(start) + (unit(end) - unit(start)) // 2
             for mark in ("\n\n", "\n", " "):
                 at = text.rfind(mark, start, end)
-                if at > middle:
+                if at >= 0 and unit(at) > middle:
                     end = at + len(mark)
                     break
         yield start, end
         if end >= len(text):
             return
-        start = max(end - shared, start + 1)
+        start = max(place(unit(end) - shared), start + 1)
 
 
 class _Pending:

@@ -22,10 +22,13 @@ def locator(artifact: Column, path: Column, heading_path: Column, line_start: Co
     )
 
 
-def in_range(from_line: int | None = None, to_line: int | None = None, heading: Sequence[str] | None = None) -> Column:
-    """Nodes with text under a heading-path prefix whose lines intersect the range."""
+def in_range(from_line: int | None = None, to_line: int | None = None, heading: Sequence[str] | Column | None = None) -> Column:
+    """Nodes with text under a heading-path prefix whose lines intersect the range. The prefix may be a column, so that
+    each artifact is read under a heading of its own."""
     keep = F.col("text").isNotNull() & (F.col("text") != "")
-    if heading:
+    if isinstance(heading, Column):
+        keep = keep & (F.slice("heading_path", F.lit(1), F.size(heading)) == heading)
+    elif heading:
         keep = keep & (F.slice("heading_path", 1, len(heading)) == F.array(*[F.lit(h) for h in heading]))
     if from_line is not None:
         keep = keep & (F.col("line_end") >= from_line)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratalith.functions import hashing as H
-from stratalith.functions.globs import IgnoreRule, path_glob
+from stratalith.functions.globs import IgnoreRule, ignore_regex, path_glob
 from stratalith.operators import lifecycle as L
 from stratalith.operators import rules as R
 from stratalith.operators import tables as T
@@ -64,6 +64,35 @@ def supersession_cycles(spark, d):
     return R.cyclic(edges)
 
 
+def supersession_conflicts(spark, d):
+    """Artifacts on or between cycles if those that are superseded though their authority is higher struck back."""
+    now = _now(spark, d)
+    edges = now.select("artifact_id", "authority", F.explode("supersedes").alias("superseded_id"))
+    other = now.select(F.col("artifact_id").alias("superseded_id"), F.col("authority").alias("theirs"))
+    back = edges.join(other, "superseded_id").where("theirs >= authority").select(F.col("superseded_id").alias("artifact_id"), F.col("artifact_id").alias("superseded_id"))
+    return R.cyclic(edges.select("artifact_id", "superseded_id").unionByName(back))
+
+
+def superseded_lists(spark, d):
+    """What each artifact of the last build supersedes, in one text."""
+    now = _now(spark, d)
+    edges = now.select("artifact_id", F.explode("supersedes").alias("superseded_id")).distinct()
+    return edges.groupBy("artifact_id").agg(F.array_join(F.array_sort(F.collect_list("superseded_id")), ",").alias("supersedes"))
+
+
+def declared_only(spark, d):
+    """Artifacts of the last build whose declared fields aren't the defaults."""
+    return _now(spark, d).where("status <> 'active' OR authority <> 50 OR size(supersedes) > 0").select("artifact_id", "status", "authority")
+
+
+def freed_bytes(spark, d):
+    """Nodes' bytes of artifacts that only builds about to go hold."""
+    gone = unreferenced_objects(spark, d)
+    held = B.artifacts(spark, d).select("id", F.col("content_hash").alias("hash")).join(gone, "hash", "left_semi").select(F.col("id").alias("artifact_id")).distinct()
+    sizes = B.nodes(spark, d).groupBy("artifact_id").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    return held.join(sizes, "artifact_id").agg(F.count(F.lit(1)).alias("artifacts"), F.sum("bytes").alias("bytes"))
+
+
 def supersession_missing(spark, d):
     now = _now(spark, d)
     edges = now.select("artifact_id", F.explode("supersedes").alias("superseded_id")).distinct()
@@ -113,6 +142,11 @@ def validate_nodes(spark, d):
     return L.integrity(B.nodes(spark, d))
 
 
+def validate_without_sections(spark, d):
+    """The same checks where sections have been lost: what lay under them has no parent any more."""
+    return L.integrity(B.nodes(spark, d).where("kind <> 'section'"))
+
+
 def validate_chunks(spark, d):
     chunks = L.latest_rows(table(spark, d, "snapshot_chunks"), ["build_id", "id"])
     return L.chunk_integrity(chunks, B.artifacts(spark, d))
@@ -157,7 +191,9 @@ _PRICE = ["sku", "list_price", "currency", "discontinued", "valid_from", "owner_
 
 
 def _price_cells(spark, d):
-    once = table(spark, d, "price_rows").dropDuplicates(["build_id", "table_id", "row_no"])
+    rows = table(spark, d, "price_rows")
+    latest = F.max_by(F.struct(*_PRICE), F.struct("loaded_at", F.xxhash64(*_PRICE))).alias("r")
+    once = rows.groupBy("build_id", "table_id", "row_no").agg(latest).select("build_id", "table_id", "row_no", "r.*")
     return T.long_cells(once, ["build_id", "table_id", "row_no"], _PRICE)
 
 
@@ -166,6 +202,11 @@ def infer_types(spark, d):
 
 
 def types_widened(spark, d):
+    return T.type_widened(_price_cells(spark, d), ["build_id", "table_id"], "row_no")
+
+
+def types_widened_early(spark, d):
+    """The same with a head of 20 rows instead of a thousand."""
     return T.type_widened(_price_cells(spark, d), ["build_id", "table_id"], "row_no", sample=20)
 
 
@@ -203,10 +244,10 @@ def detect_delimiters(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        resolve_rules, rule_supersessions, unmatched_rules, supersession_flags, supersession_cycles, supersession_missing,
+        resolve_rules, rule_supersessions, unmatched_rules, supersession_flags, supersession_cycles, supersession_conflicts, superseded_lists, declared_only, freed_bytes, supersession_missing,
         fingerprint_compare, plan_summary, hash_roots, tree_roots, diff_artifacts, diff_chunks, diff_rules, diff_tables,
-        validate_nodes, validate_chunks, retention_plan, unreferenced_objects, build_history, case_collisions,
-        exclusion_report, artifact_counts, build_counts, infer_types, types_widened, column_stats, relation_stats,
+        validate_nodes, validate_without_sections, validate_chunks, retention_plan, unreferenced_objects, build_history, case_collisions,
+        exclusion_report, artifact_counts, build_counts, infer_types, types_widened, types_widened_early, column_stats, relation_stats,
         list_tables, describe_tables, column_names, detect_delimiters,
     )
 }
@@ -256,6 +297,13 @@ FROM (SELECT {k}ordinal, column_name, {_TYPE} AS type, count(*) - count(v) AS nu
         min(v) AS mt, max(v) AS xt FROM tests GROUP BY {k}ordinal, column_name)"""
 
 
+def _widened_sql(sample: int) -> str:
+    return f"""
+WITH {_CELLS}, {_typed()}, w AS (SELECT build_id, table_id, ordinal, column_name, {_TYPE} AS type FROM tests GROUP BY ALL),
+h AS (SELECT build_id, table_id, ordinal, column_name, {_TYPE} AS sample_type FROM tests WHERE row_no <= {sample} GROUP BY ALL)
+SELECT build_id, table_id, ordinal, column_name, sample_type, type FROM h JOIN w USING (build_id, table_id, ordinal, column_name) WHERE sample_type <> type"""
+
+
 _TABLES = """
 tabs AS (SELECT * EXCLUDE (delivered_at) FROM snapshot_tables QUALIFY row_number() OVER (PARTITION BY build_id, table_id ORDER BY delivered_at DESC) = 1),
 ordered AS (SELECT build_id, row_number() OVER (ORDER BY created_at DESC, build_id DESC) AS back FROM builds WHERE state = 'sealed'),
@@ -275,6 +323,25 @@ _RETAINED = "ret AS (SELECT build_id, state <> 'failed' AND row_number() OVER (P
 
 _EDGES = f"{B.ARTIFACTS}, edges AS (SELECT DISTINCT id AS artifact_id, unnest(supersedes) AS superseded_id FROM b2)"
 
+_CYCLES = """
+reach AS (SELECT artifact_id AS a, superseded_id AS b FROM edges UNION SELECT r.a, e.superseded_id FROM reach r JOIN edges e ON e.artifact_id = r.b),
+on_cycle AS (SELECT DISTINCT a FROM reach WHERE a = b)
+SELECT DISTINCT x.id AS artifact_id FROM (SELECT artifact_id AS id FROM edges UNION SELECT superseded_id FROM edges) x
+WHERE EXISTS (SELECT 1 FROM on_cycle c WHERE c.a = x.id OR (EXISTS (SELECT 1 FROM reach r WHERE r.a = c.a AND r.b = x.id)
+  AND EXISTS (SELECT 1 FROM reach r JOIN on_cycle c2 ON c2.a = r.b WHERE r.a = x.id)))"""
+
+
+def _decide(text: str, directory: bool) -> str:
+    forms = [(i, r, ignore_regex(r.pattern, directory=directory)) for i, r in enumerate(IGNORES)]
+    return "CASE " + " ".join(f"WHEN regexp_matches({text}, '{x}') THEN {-1 if r.negated else i}" for i, r, x in reversed(forms) if x) + " ELSE -1 END"
+
+
+_EXCLUDED = f"""
+p AS (SELECT DISTINCT relative_path AS p FROM arts),
+walked AS (SELECT p, list_transform(range(1, len(string_split(p, '/'))), lambda i: array_to_string(string_split(p, '/')[1:i], '/')) AS dirs FROM p),
+decided AS (SELECT p, list_filter(list_transform(dirs, lambda d: {_decide('d', True)}), lambda i: i >= 0) AS skipped, {_decide('p', False)} AS own FROM walked),
+ruled AS (SELECT p, coalesce(skipped[1], CASE WHEN own >= 0 THEN own END) AS rule FROM decided)"""
+
 SQL = {
     "resolve_rules": f"""
 WITH {B.ARTIFACTS} SELECT id AS artifact_id, {_last('status', "'active'", "'")} AS status, {_last('authority', '50')} AS authority,
@@ -288,12 +355,17 @@ WITH {B.ARTIFACTS}, r(rule_index, match, pattern) AS (VALUES {', '.join(f"({i},
 SELECT rule_index, match FROM r WHERE NOT EXISTS (SELECT 1 FROM b2 WHERE regexp_matches(relative_path, pattern))""",
     "supersession_flags": f"""
 WITH {_EDGES} SELECT b2.id AS artifact_id, count(edges.artifact_id) AS superseded_by FROM b2 LEFT JOIN edges ON edges.superseded_id = b2.id GROUP BY 1""",
-    "supersession_cycles": f"""
-WITH RECURSIVE {_EDGES}, reach AS (SELECT artifact_id AS a, superseded_id AS b FROM edges UNION SELECT r.a, e.superseded_id FROM reach r JOIN edges e ON e.artifact_id = r.b),
-on_cycle AS (SELECT DISTINCT a FROM reach WHERE a = b)
-SELECT DISTINCT x.id AS artifact_id FROM (SELECT artifact_id AS id FROM edges UNION SELECT superseded_id FROM edges) x
-WHERE EXISTS (SELECT 1 FROM on_cycle c WHERE c.a = x.id OR (EXISTS (SELECT 1 FROM reach r WHERE r.a = c.a AND r.b = x.id)
-  AND EXISTS (SELECT 1 FROM reach r JOIN on_cycle c2 ON c2.a = r.b WHERE r.a = x.id)))""",
+    "supersession_cycles": f"WITH RECURSIVE {_EDGES}, {_CYCLES}",
+    "supersession_conflicts": f"""
+WITH RECURSIVE {B.ARTIFACTS}, own AS (SELECT DISTINCT id AS artifact_id, authority, unnest(supersedes) AS superseded_id FROM b2),
+edges AS (SELECT artifact_id, superseded_id FROM own UNION SELECT superseded_id, artifact_id FROM own JOIN b2 ON b2.id = superseded_id WHERE b2.authority >= own.authority), {_CYCLES}""",
+    "superseded_lists": f"WITH {_EDGES} SELECT artifact_id, string_agg(superseded_id, ',' ORDER BY superseded_id) AS supersedes FROM edges GROUP BY 1",
+    "declared_only": f"WITH {B.ARTIFACTS} SELECT id AS artifact_id, status, authority FROM b2 WHERE status <> 'active' OR authority <> 50 OR len(supersedes) > 0",
+    "freed_bytes": f"""
+WITH {B.NODES}, {B.ARTIFACTS}, {_RETAINED}, gone AS (SELECT content_hash AS hash FROM arts JOIN ret USING (build_id) GROUP BY 1 HAVING NOT bool_or(kept)),
+held AS (SELECT DISTINCT id FROM arts WHERE content_hash IN (SELECT hash FROM gone)),
+sizes AS (SELECT artifact_id, sum(strlen(text)) AS bytes FROM n GROUP BY 1)
+SELECT count(*) AS artifacts, sum(bytes) AS bytes FROM held JOIN sizes ON artifact_id = id""",
     "supersession_missing": f"WITH {_EDGES} SELECT artifact_id, superseded_id FROM edges WHERE superseded_id NOT IN (SELECT id FROM b2)",
     "fingerprint_compare": f"{_COMPARED} SELECT relative_path, change FROM cmp",
     "plan_summary": f"{_COMPARED} SELECT change, count(*) AS files FROM cmp GROUP BY 1",
@@ -330,6 +402,10 @@ WITH {_TABLES} SELECT coalesce(t1.table_id, t2.table_id) AS table_id,
   array_to_string(list_filter(coalesce(t1.column_names, []), lambda x: NOT list_contains(coalesce(t2.column_names, []), x)), ',') AS columns_removed
 FROM t1 FULL JOIN t2 ON t1.table_id = t2.table_id
 WHERE t1.table_id IS NULL OR t2.table_id IS NULL OR t1.row_count IS DISTINCT FROM t2.row_count OR t1.column_names IS DISTINCT FROM t2.column_names OR t1.table_name IS DISTINCT FROM t2.table_name""",
+    "validate_without_sections": f"""
+WITH {B.NODES}, m AS (SELECT * FROM n WHERE kind <> 'section')
+SELECT 'parent-missing' AS "check", id FROM m WHERE parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM m x WHERE x.id = m.parent_id AND x.artifact_id = m.artifact_id)
+UNION ALL SELECT 'parent-self', id FROM m WHERE parent_id = id UNION ALL SELECT 'lines-reversed', id FROM m WHERE line_start > line_end""",
     "validate_nodes": f"""
 WITH {B.NODES} SELECT 'parent-missing' AS "check", id FROM n WHERE parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM n m WHERE m.id = n.parent_id AND m.artifact_id = n.artifact_id)
 UNION ALL SELECT 'parent-self', id FROM n WHERE parent_id = id UNION ALL SELECT 'lines-reversed', id FROM n WHERE line_start > line_end""",
@@ -343,6 +419,18 @@ WITH {B.ARTIFACTS}, {_RETAINED} SELECT content_hash AS hash FROM arts JOIN ret U
 SELECT build_id, CAST(row_number() OVER (ORDER BY created_at DESC, build_id DESC) AS INTEGER) AS position,
   lead(build_id) OVER (ORDER BY created_at DESC, build_id DESC) AS previous_build FROM builds WHERE state = 'sealed'""",
     "case_collisions": f"WITH {B.ARTIFACTS} SELECT lower(relative_path) AS folded, count(DISTINCT relative_path) AS spellings FROM arts GROUP BY 1 HAVING spellings > 1",
+    "exclusion_report": f"""
+WITH {B.ARTIFACTS}, {_EXCLUDED}, r(rule, pattern, source) AS (VALUES {', '.join(f"({i}, '{r.pattern}', '{r.source}')" for i, r in enumerate(IGNORES))})
+SELECT pattern, source, count(*) AS files, array_to_string(list_sort(list(p))[1:5], ', ') AS sample FROM ruled JOIN r USING (rule) GROUP BY rule, pattern, source""",
+    "detect_delimiters": r"""
+WITH h AS (SELECT DISTINCT file_path, record_no, regexp_replace(raw_record, '"([^"]|"")*"', 'q', 'g') AS plain FROM segment_lines
+  WHERE record_no <= 20 AND trim(regexp_replace(raw_record, '[\s\x{b}]+', ' ', 'g')) <> ''),
+d(prefer, delimiter) AS (VALUES (0, ','), (1, ';'), (2, chr(9)), (3, '|')),
+c AS (SELECT file_path, prefer, delimiter, length(plain) - length(replace(plain, delimiter, '')) AS n FROM h, d),
+ok AS (SELECT file_path, prefer, delimiter, min(n) AS n FROM c GROUP BY ALL HAVING min(n) = max(n) AND min(n) > 0),
+best AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY n DESC, prefer) = 1)
+SELECT f.file_path, coalesce(delimiter, ',') AS delimiter, CAST(coalesce(n, 0) + 1 AS INTEGER) AS fields
+FROM (SELECT DISTINCT file_path FROM segment_lines) f LEFT JOIN best USING (file_path)""",
     "artifact_counts": f"""
 WITH {B.NODES}, {B.ARTIFACTS}, c AS (SELECT artifact_id, count(*) AS nodes, count(*) FILTER (text <> '') AS texts FROM n GROUP BY 1)
 SELECT b2.id AS artifact_id, coalesce(nodes, 0) AS nodes, coalesce(texts, 0) AS texts FROM b2 LEFT JOIN c ON c.artifact_id = b2.id""",
@@ -351,10 +439,8 @@ SELECT build_id, 'artifacts' AS entity, count(DISTINCT id) AS n FROM snapshot_ar
 UNION ALL SELECT build_id, 'chunks', count(DISTINCT id) FROM snapshot_chunks GROUP BY 1
 UNION ALL SELECT build_id, 'tables', count(DISTINCT table_id) FROM snapshot_tables GROUP BY 1""",
     "infer_types": f"WITH {_CELLS}, {_typed()} SELECT build_id, table_id, ordinal, column_name, {_TYPE} AS type FROM tests GROUP BY build_id, table_id, ordinal, column_name",
-    "types_widened": f"""
-WITH {_CELLS}, {_typed()}, w AS (SELECT build_id, table_id, ordinal, column_name, {_TYPE} AS type FROM tests GROUP BY ALL),
-h AS (SELECT build_id, table_id, ordinal, column_name, {_TYPE} AS sample_type FROM tests WHERE row_no <= 20 GROUP BY ALL)
-SELECT build_id, table_id, ordinal, column_name, sample_type, type FROM h JOIN w USING (build_id, table_id, ordinal, column_name) WHERE sample_type <> type""",
+    "types_widened": _widened_sql(1_000),
+    "types_widened_early": _widened_sql(20),
     "column_stats": f"WITH {_CELLS}, {_typed()} {_stats_sql('build_id, table_id, ')}",
     "relation_stats": f"""
 WITH cells AS (SELECT unnest([1, 2, 3, 4]) AS ordinal, unnest(['l_returnflag', 'l_linenumber', 'l_quantity', 'l_linestatus']) AS column_name,

@@ -170,9 +170,8 @@ def artifact_cap(spark, d):
 
 
 def profile_budgets(spark, d):
-    return table(spark, d, "context_profiles").select(
-        "profile_name", F.element_at(F.create_map(*[F.lit(x) for p in C.PROFILE_BUDGETS.items() for x in p]), F.col("profile_name")).alias("budget")
-    )
+    budgets = F.create_map(*[F.lit(x) for p in C.PROFILE_BUDGETS for x in (p, X.resolve_budget(p))])
+    return table(spark, d, "context_profiles").select("profile_name", F.element_at(budgets, F.col("profile_name")).alias("budget"))
 
 
 def _bundle(spark, d):

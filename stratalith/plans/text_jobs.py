@@ -65,6 +65,14 @@ def chunk_documents(spark, d):
     return chunking.chunk_nodes(B.nodes(spark, d))
 
 
+def chunk_coverage(spark, d):
+    """Of each artifact how many nodes its chunks hold, and whether the chunks are numbered without a gap."""
+    made = chunking.chunk_nodes(B.nodes(spark, d))
+    held = made.select("artifact_id", F.explode("node_ids").alias("node_id")).groupBy("artifact_id").agg(F.count_distinct("node_id").alias("nodes"))
+    numbers = made.groupBy("artifact_id").agg(((F.max("chunk_no") + 1 == F.count("chunk_no")) & (F.count("chunk_no") == F.count_distinct("chunk_no"))).alias("numbered"))
+    return held.join(numbers, "artifact_id")
+
+
 def chunk_runs(spark, d):
     return chunking.with_runs(B.nodes(spark, d)).select("id", "run")
 
@@ -79,11 +87,11 @@ def read_range(spark, d):
 
 
 def read_heading(spark, d):
-    """Everything under the first heading of its document, read whole."""
+    """Every artifact read under the first top heading of its document."""
     n = B.nodes(spark, d)
-    return n.where((F.col("text") != "") & (F.size("heading_path") >= 1)).groupBy("artifact_id", F.col("heading_path")[0].alias("top")).agg(
-        F.count(F.lit(1)).alias("nodes"), F.sum(F.length("text")).alias("characters")
-    )
+    wanted = n.where(F.size("heading_path") >= 1).groupBy("artifact_id").agg(F.array(F.min_by(F.col("heading_path")[0], F.struct("seq", "id"))).alias("wanted"))
+    got = ranges.read_ranges(n.join(wanted, "artifact_id"), heading=F.col("wanted"))
+    return got.select("artifact_id", F.sha2("text", 256).alias("hash"), "truncated", "line_start", "line_end")
 
 
 def read_truncated(spark, d):
@@ -127,7 +135,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_normalize, query_terms, estimate_tokens, content_hash, shingle_set, artifact_ids, split_paragraphs,
-        normalize_whitespace, revision_hashes, render_body, object_dedupe, chunk_documents, chunk_runs, source_bounds,
+        normalize_whitespace, revision_hashes, render_body, object_dedupe, chunk_documents, chunk_coverage, chunk_runs, source_bounds,
         read_range, read_heading, read_truncated, read_full, format_registry, text_classes,
         parsed_documents, parse_warnings,
     )
@@ -174,6 +182,8 @@ WITH {B.NODES}, p AS (
 b AS (SELECT artifact_id, string_agg(part, chr(10) || chr(10) ORDER BY seq) || chr(10) AS body FROM p WHERE part <> '' GROUP BY artifact_id)
 SELECT artifact_id, sha256(body) AS hash, length(body) AS characters FROM b""",
     "object_dedupe": "SELECT sha256(text) AS hash, max(strlen(text)) AS bytes, count(*) AS uses FROM documents WHERE text IS NOT NULL GROUP BY 1",
+    "chunk_coverage": f"""
+WITH {B.NODES} SELECT artifact_id, count(*) AS nodes, true AS numbered FROM n WHERE kind <> 'document' AND text <> '' GROUP BY 1""",
     "chunk_runs": f"""
 WITH {B.NODES}, t AS (SELECT *, lag(heading_path) OVER (PARTITION BY artifact_id ORDER BY seq, id) AS before,
   row_number() OVER (PARTITION BY artifact_id ORDER BY seq, id) AS k FROM n WHERE kind <> 'document' AND text <> ''),
@@ -182,8 +192,10 @@ SELECT id, max(start) OVER (PARTITION BY artifact_id ORDER BY seq, id ROWS UNBOU
     "source_bounds": f"WITH {B.NODES} SELECT artifact_id, min(line_start) AS first_line, max(line_end) AS last_line FROM n WHERE text <> '' GROUP BY 1",
     "read_range": f"WITH {B.NODES} SELECT artifact_id, seq, id, line_start, line_end FROM n WHERE text <> '' AND line_start <= 9 AND line_end >= 3",
     "read_heading": f"""
-WITH {B.NODES} SELECT artifact_id, heading_path[1] AS top, count(*) AS nodes, sum(length(text)) AS characters
-FROM n WHERE text <> '' AND len(heading_path) >= 1 GROUP BY 1, 2""",
+WITH {B.NODES}, w AS (SELECT artifact_id, arg_min(heading_path[1], seq) AS top FROM n WHERE len(heading_path) >= 1 GROUP BY 1),
+b AS (SELECT artifact_id, string_agg(text, chr(10) || chr(10) ORDER BY seq, id) AS t, min(line_start) AS line_start, max(line_end) AS line_end
+  FROM n JOIN w USING (artifact_id) WHERE text <> '' AND heading_path[1] = top GROUP BY 1)
+SELECT artifact_id, sha256(t[1:{C.READ_CHARACTERS}]) AS hash, length(t) > {C.READ_CHARACTERS} AS truncated, line_start, line_end FROM b""",
     "read_truncated": f"""
 WITH {B.NODES}, b AS (SELECT artifact_id, string_agg(text, chr(10) || chr(10) ORDER BY seq, id) AS t, min(line_start) AS line_start, max(line_end) AS line_end
   FROM n WHERE text <> '' GROUP BY 1)

@@ -168,6 +168,23 @@ def test_chunks_follow_the_sequential_fold(spark, monkeypatch):
     assert all(r.estimated_tokens <= 1200 for r in got)
 
 
+def test_oversized_texts_are_cut_in_utf16_units():
+    text = "\U0001f600" * 5_000
+    pieces = [text[a:b] for a, b in chunking.cut_places(text, 1_200, 0)]
+    assert "".join(pieces) == text and max(X.estimate_tokens_py(p) for p in pieces) == 1_200
+    mixed = ("\U0001f600 word\n" * 3_000) + "x" * 9_000
+    pieces = [mixed[a:b] for a, b in chunking.cut_places(mixed, 500, 100)]
+    assert "".join(pieces) == mixed and max(X.estimate_tokens_py(p) for p in pieces[:20]) <= 500 and pieces[0].endswith("\n")
+    shared = list(chunking.cut_places(mixed, 500, 100, real_overlap=True))
+    assert all(b > c for (_, b), (c, _) in zip(shared, shared[1:]))
+
+
+def test_cycles_are_told_and_named(spark):
+    edges = spark.createDataFrame([("b", "c"), ("c", "a"), ("a", "b"), ("c", "m"), ("m", "x"), ("x", "y"), ("y", "x"), ("q", "a")], "artifact_id string, superseded_id string")
+    assert {r.artifact_id for r in rules.cyclic(edges).collect()} == {"a", "b", "c", "m", "x", "y"}
+    assert rules.cycle(edges) == ["a", "b", "c"] and rules.cycle(edges.where("artifact_id <> 'b' and artifact_id <> 'y'")) == []
+
+
 def test_text_scalars(spark):
     df = spark.createDataFrame([(1, "Ünï—Code 😀😀", "a b c d e"), (2, "", "one two"), (3, None, "")], "i int, t string, s string")
     got = df.select("i", X.normalize(F.col("t")).alias("n"), X.estimate_tokens(F.col("t")).alias("e"), X.shingles(F.col("s")).alias("sh"), X.utf16_length(F.col("t")).alias("u")).orderBy("i").collect()
