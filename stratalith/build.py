@@ -53,7 +53,8 @@ class ConfigError(BuildError):
 
 def lock_versions() -> dict[str, str]:
     """What a build depends on besides its sources and settings; a change of any of them makes every file be parsed anew."""
-    return {"engine": __version__, "normalization": "1", "chunking": "1", "index": "2", "parsers": "2"}
+    parsers = {f"parser {name}": p.version for name, p in S.PARSERS.items()}
+    return {"engine": __version__, "normalization": "1", "chunking": "2", "index": "2", **parsers}
 
 
 def resolve_settings(*layers: tuple[str, dict], identity: Sequence[str] = ("target_tokens", "maximum_tokens", "overlap_tokens", "strict_rules")) -> dict[str, tuple[object, str, bool]]:
@@ -268,8 +269,9 @@ def exclusions(spark: SparkSession, config: Config) -> list[dict]:
 def keyed(files: DataFrame) -> DataFrame:
     """Files with ``cache_key``: nodes made under one key are the same, whatever else changed."""
     versions = lock_versions()
-    fixed = F.lit(f"{versions['engine']} {versions['parsers']} {versions['normalization']}")
-    return files.withColumn("cache_key", F.sha2(F.concat_ws(" ", "artifact_id", "content_hash", "parser", fixed), 256))
+    fixed = F.lit(f"{versions['engine']} {versions['normalization']}")
+    of_parser = F.element_at(F.create_map(*[F.lit(x) for name in S.PARSERS for x in (name, versions[f"parser {name}"])]), F.col("parser"))
+    return files.withColumn("cache_key", F.sha2(F.concat_ws(" ", "artifact_id", "content_hash", "parser", of_parser, fixed), 256))
 
 
 def plan(spark: SparkSession, state: State, config: Config) -> DataFrame:
@@ -287,14 +289,15 @@ def plan_report(spark: SparkSession, state: State, config: Config) -> dict:
     before = state.manifest(active).get("identity", {}) if active else {}
     moved = lifecycle.lock_diff(before.get("versions", {}), lock_versions()) if active else []
     same = {k: v for k, v in before.items() if k in ("settings", "rules")} == {k: v for k, v in config.identity().items() if k in ("settings", "rules")}
-    parse = sum(n for c, n in changes.items() if c in ("added", "changed") or (moved and c == "unchanged"))
+    parsers = any(m[0] in ("engine", "normalization") or m[0].startswith("parser ") for m in moved)
+    parse = sum(n for c, n in changes.items() if c in ("added", "changed") or (parsers and c == "unchanged"))
     return {"active": active, "changes": changes, "lock_changes": [list(m) for m in moved], "settings_changed": active is not None and not same, "parse": parse}
 
 
 def render_plan(report: dict) -> str:
     out = [f"Against {report['active'] or 'no build'}:"]
     out += [f"  {n} {c}" for c, n in sorted(report["changes"].items())] or ["  no files"]
-    out += [f"  {key}: {old} -> {new}, every file is parsed" for key, old, new in report["lock_changes"]]
+    out += [f"  {key}: {old} -> {new}, what it made is made anew" for key, old, new in report["lock_changes"]]
     out += ["  settings or rules differ"] if report["settings_changed"] else []
     return "\n".join([*out, f"{report['parse']} files to parse"])
 

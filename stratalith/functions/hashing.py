@@ -57,14 +57,6 @@ def hash_roots(members: DataFrame, hash_column: str = "member_hash", by: Sequenc
     return level.groupBy(*by).agg(F.sum("n").alias("n"), digest("c", "d").alias("root"))
 
 
-def small_roots(members: DataFrame, hash_column: str = "member_hash", by: Sequence[str] = ()) -> DataFrame:
-    """(by..., n, root): ``hash_root`` of groups of a bounded number of hashes (the artifacts of one build)."""
-    listed = F.array_sort(F.collect_list(hash_column))
-    return members.groupBy(*by).agg(F.count(hash_column).alias("n"), listed.alias("l")).select(
-        *by, "n", F.sha2(F.concat(F.lit("r"), F.col("n").cast("string"), F.lit(":"), F.array_join("l", "")), 256).alias("root")
-    )
-
-
 def artifact_id(source: Column, path: Column) -> Column:
     return F.concat_ws(":", source, path)
 

@@ -18,6 +18,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from stratalith.constants import BM25_B, BM25_K1, COLUMN_WEIGHTS, IDF_FLOOR
 from stratalith.functions.globs import sqlite_glob
@@ -73,6 +74,7 @@ class SearchIndex:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
         totals = self.table("totals").first()
         self.n, self.avgdl = float(totals["n"]), float(totals["length"] or 0) / max(1, totals["n"]) or 1.0
 
@@ -93,7 +95,10 @@ class SearchIndex:
         put(lengths.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("length")).coalesce(1), "totals")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        """A table of the folder; it is listed and its schema read once."""
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return self._tables[name]
 
     def postings(self) -> DataFrame:
         """(term, chunk_id, col, positions): one row per term, chunk and column."""
@@ -220,6 +225,15 @@ def top_k(scored: DataFrame, k: int, *ties: str) -> DataFrame:
     return scored.orderBy("bm25", *ties, "chunk_id").limit(k)
 
 
+def fetched(chunks: DataFrame, best: Sequence) -> DataFrame:
+    """The rows of a few best chunks (at most a search's depth) with their ``bm25``, in one partition: what ranks them
+    afterwards needs no exchange."""
+    score = {r["chunk_id"]: r["bm25"] for r in best}
+    rows = chunks.where(F.col("chunk_id").isin(list(score))).collect() if score else []
+    schema = StructType([*chunks.schema.fields, StructField("bm25", DoubleType())])
+    return chunks.sparkSession.createDataFrame([(*r, score[r["chunk_id"]]) for r in rows], schema).coalesce(1)
+
+
 SNIPPET_TERMS = 20
 
 

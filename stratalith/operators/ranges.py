@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalith.constants import READ_CHARACTERS
 
+BLOCK = 1_000
+
 
 def locator(artifact: Column, path: Column, heading_path: Column, line_start: Column, line_end: Column, page: Column | None = None) -> Column:
     """Provenance of a result; coordinates that aren't positive are left out (null)."""
@@ -42,21 +44,22 @@ def read_nodes(nodes: DataFrame, **where) -> DataFrame:
     return nodes.where(in_range(**where)).select("artifact_id", "seq", "id", "heading_path", "text", "line_start", "line_end")
 
 
-def read_ranges(nodes: DataFrame, most: int = READ_CHARACTERS, **where) -> DataFrame:
+def read_ranges(nodes: DataFrame, most: int = READ_CHARACTERS, block: int = BLOCK, **where) -> DataFrame:
     """(artifact_id, text, truncated, line_start, line_end): the read of each artifact, cut at ``most`` characters.
 
-    Whatever lies past the cut isn't gathered: nodes count only while the characters before them leave room.
+    Whatever lies past the cut isn't gathered: nodes count only while the characters before them leave room. Those are
+    summed in two levels, within blocks of ``block`` positions and over the blocks, and blocks that begin past the cut go
+    no further, so an artifact of any size is spread over tasks and what meets in one is bounded by the cut and a block.
     """
-    from pyspark.sql import Window
-
-    got = read_nodes(nodes, **where)
-    before = Window.partitionBy("artifact_id").orderBy("seq", "id").rowsBetween(Window.unboundedPreceding, -1)
-    sized = got.withColumn("before", F.coalesce(F.sum(F.length("text") + 2).over(before), F.lit(0)))
-    ends = sized.groupBy("artifact_id").agg(
-        F.min("line_start").alias("line_start"),
-        F.max("line_end").alias("line_end"),
-        F.max(F.col("before") + F.length("text")).alias("whole"),
-    )
+    got = read_nodes(nodes, **where).withColumn("block", F.floor(F.col("seq") / block))
+    per_artifact = Window.partitionBy("artifact_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = got.groupBy("artifact_id", "block").agg(
+        F.sum(F.length("text") + 2).alias("n"), F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end")
+    ).withColumn("offset", F.coalesce(F.sum("n").over(per_artifact), F.lit(0)))
+    ends = blocks.groupBy("artifact_id").agg(F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end"), (F.sum("n") - 2).alias("whole"))
+    first = got.join(blocks.where(F.col("offset") < most).select("artifact_id", "block", "offset"), ["artifact_id", "block"])
+    inside = Window.partitionBy("artifact_id", "block").orderBy("seq", "id").rowsBetween(Window.unboundedPreceding, -1)
+    sized = first.withColumn("before", F.col("offset") + F.coalesce(F.sum(F.length("text") + 2).over(inside), F.lit(0)))
     near = sized.where(F.col("before") < most).groupBy("artifact_id").agg(
         F.array_sort(F.collect_list(F.struct("seq", "id", "text"))).alias("l")
     )

@@ -93,11 +93,12 @@ def with_visibility(rows: DataFrame) -> DataFrame:
     return rows.withColumn("shown", visible | (F.count_if(visible).over(Window.partitionBy("query_id")) == 0))
 
 
-def greedy_duplicates(rows: DataFrame, overlap: float = C.NEAR_DUPLICATE_OVERLAP, most: int = C.CANDIDATE_MAXIMUM) -> DataFrame:
+def greedy_duplicates(rows: DataFrame, overlap: float = C.NEAR_DUPLICATE_OVERLAP, most: int = C.CANDIDATE_MAXIMUM, bounded: bool = False) -> DataFrame:
     """(query_id, chunk_id) of shown candidates that nearly equal a better one which is itself kept.
 
     Greedy in rank order and against kept candidates only: a near b and b near c, but a not near c, keeps a and c.
-    Queries of more than ``most`` shown candidates are decided in rounds, which one action looks for.
+    Queries of more than ``most`` shown candidates are decided in rounds, which one action looks for; not so where the
+    caller knows that there are none (``bounded``).
     """
     ship(rows.sparkSession)
     w = Window.partitionBy("query_id").orderBy(*rank_order())
@@ -106,6 +107,8 @@ def greedy_duplicates(rows: DataFrame, overlap: float = C.NEAR_DUPLICATE_OVERLAP
         .withColumn("rank", F.row_number().over(w))
         .select("query_id", "chunk_id", "rank", normalize(F.coalesce("text", F.lit(""))).alias("plain"))
     )
+    if bounded:
+        return _greedy_whole(sets, overlap)
     large = rows.where("shown").groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("query_id")
     if large.isEmpty():
         return _greedy_whole(sets, overlap)
@@ -169,7 +172,7 @@ def _near(a: set, b: set, overlap: float) -> bool:
 def near_duplicate_pairs(rows: DataFrame, overlap: float = C.NEAR_DUPLICATE_OVERLAP) -> DataFrame:
     """(query_id, chunk_a, chunk_b): candidates of one query whose shingle sets overlap enough.
 
-    Prefix filtering: two sets as similar as that share one of the few rarest-by-hash shingles of each, so candidates
+    Prefix filtering: two sets as similar as that share one of the few shingles of each that come first in the order of their hashes, so candidates
     come from an equi-join on these, not from all pairs of a query.
     """
     sets = rows.select("query_id", "chunk_id", _hashed_shingles(normalize(F.coalesce("text", F.lit("")))).alias("s")).where(F.size("s") > 0)
@@ -181,25 +184,28 @@ def _hashed_shingles(plain: Column) -> Column:
 
 
 def _near_sets(sets: DataFrame, overlap: float) -> DataFrame:
-    prefix = F.size("s") - F.ceil(F.size("s") * overlap).cast("int") + 1
-    keys = sets.select("query_id", "chunk_id", "s", F.explode(F.slice("s", F.lit(1), prefix)).alias("key"))
-    pairs = (
-        keys.select("query_id", "key", F.col("chunk_id").alias("chunk_a"), F.col("s").alias("a"))
-        .join(keys.select("query_id", "key", F.col("chunk_id").alias("chunk_b"), F.col("s").alias("b")), ["query_id", "key"])
-        .where((F.col("chunk_a") < F.col("chunk_b")) & (F.size("a") >= overlap * F.size("b")) & (F.size("b") >= overlap * F.size("a")))
-    )
+    """Pairs of sets(query_id, chunk_id, s) that overlap enough. Only keys and sizes meet in the first join; the sets
+    follow for the pairs it leaves."""
+    size = F.size("s")
+    prefix = size - F.ceil(size * overlap).cast("int") + 1
+    keys = sets.select("query_id", "chunk_id", size.alias("n"), F.explode(F.slice("s", F.lit(1), prefix)).alias("key"))
+    a = keys.select("query_id", "key", F.col("chunk_id").alias("chunk_a"), F.col("n").alias("na"))
+    b = keys.select("query_id", "key", F.col("chunk_id").alias("chunk_b"), F.col("n").alias("nb"))
+    met = a.join(b, ["query_id", "key"]).where((F.col("chunk_a") < F.col("chunk_b")) & (F.col("na") >= overlap * F.col("nb")) & (F.col("nb") >= overlap * F.col("na")))
+    pairs = met.select("query_id", "chunk_a", "chunk_b").distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select("query_id", F.col("chunk_id").alias(f"chunk_{side}"), F.col("s").alias(side)), ["query_id", f"chunk_{side}"])
     both = F.size(F.array_intersect("a", "b"))
-    near = both >= overlap * (F.size("a") + F.size("b") - both)
-    return pairs.where(near).select("query_id", "chunk_a", "chunk_b").distinct()
+    return pairs.where(both >= overlap * (F.size("a") + F.size("b") - both)).select("query_id", "chunk_a", "chunk_b")
 
 
-def ranked(candidates: DataFrame, limit: int, superseded: DataFrame | None = None) -> DataFrame:
+def ranked(candidates: DataFrame, limit: int, superseded: DataFrame | None = None, bounded: bool = False) -> DataFrame:
     """Every candidate with score, labels, ``position`` on the page (null if dropped) and ``reason`` it was dropped.
 
     The first cause wins: superseded or archived, then duplicate, then diversity, then budget (past the page).
     """
     rows = with_visibility(scored(candidates, superseded))
-    gone = greedy_duplicates(rows).withColumn("duplicate", F.lit(True))
+    gone = greedy_duplicates(rows, bounded=bounded).withColumn("duplicate", F.lit(True))
     rows = rows.join(gone, ["query_id", "chunk_id"], "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
     live = F.col("shown") & ~F.col("duplicate")
     per_artifact = Window.partitionBy("query_id", live, "artifact_id").orderBy(*rank_order())

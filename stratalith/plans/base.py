@@ -71,7 +71,9 @@ def search_index(spark, d) -> SearchIndex:
     root = f"{shared_folder(spark)}/index-{sha256(repr(seen))[:24]}"
     if root not in _INDEXES:
         if not exists(spark, f"{root}/totals.parquet/_SUCCESS"):
-            held = chunks(spark, d).repartition("chunk_id").sortWithinPartitions("chunk_id")
+            gone = superseded(spark, d).withColumn("superseded", F.lit(True))
+            held = chunks(spark, d).join(gone, "artifact_id", "left").withColumn("superseded", F.coalesce("superseded", F.lit(False)))
+            held = held.repartition("chunk_id").sortWithinPartitions("chunk_id")
             held.write.mode("overwrite").option("parquet.block.size", 8 * 1024 * 1024).parquet(f"{root}/chunks.parquet")
             SearchIndex.write(spark.read.parquet(f"{root}/chunks.parquet"), root)
         _INDEXES[root] = SearchIndex(spark, root)

@@ -109,11 +109,11 @@ def plan_summary(spark, d):
 
 def hash_roots(spark, d):
     a = B.artifacts(spark, d).select("build_id", F.sha2(F.concat_ws(" ", "relative_path", "content_hash"), 256).alias("member_hash"))
-    return H.small_roots(a, by=["build_id"])
+    return H.hash_roots(a, by=["build_id"])
 
 
 def tree_roots(spark, d):
-    """Roots of all nodes of each artifact, folded so that no group is ever listed."""
+    """Roots of all nodes of each artifact."""
     return H.hash_roots(B.nodes(spark, d).select("artifact_id", F.col("revision_hash").alias("member_hash")), by=["artifact_id"])
 
 
@@ -331,6 +331,14 @@ WHERE EXISTS (SELECT 1 FROM on_cycle c WHERE c.a = x.id OR (EXISTS (SELECT 1 FRO
   AND EXISTS (SELECT 1 FROM reach r JOIN on_cycle c2 ON c2.a = r.b WHERE r.a = x.id)))"""
 
 
+def _tree(key: str) -> str:
+    """The tree of hashes over m(key, h, n)."""
+    return f"""
+l1 AS (SELECT {key}, h[1:4] AS c, sum(n) AS n, sha256(string_agg(h || ':' || n, ',' ORDER BY h, n)) AS d FROM m GROUP BY {key}, h[1:4]),
+l2 AS (SELECT {key}, c[1:2] AS c, sum(n) AS n, sha256(string_agg(c || ':' || d, ',' ORDER BY c)) AS d FROM l1 GROUP BY {key}, l1.c[1:2])
+SELECT {key}, sum(n) AS n, sha256(string_agg(c || ':' || d, ',' ORDER BY c)) AS root FROM l2 GROUP BY {key}"""
+
+
 def _decide(text: str, directory: bool) -> str:
     forms = [(i, r, ignore_regex(r.pattern, directory=directory)) for i, r in enumerate(IGNORES)]
     return "CASE " + " ".join(f"WHEN regexp_matches({text}, '{x}') THEN {-1 if r.negated else i}" for i, r, x in reversed(forms) if x) + " ELSE -1 END"
@@ -369,14 +377,8 @@ SELECT count(*) AS artifacts, sum(bytes) AS bytes FROM held JOIN sizes ON artifa
     "supersession_missing": f"WITH {_EDGES} SELECT artifact_id, superseded_id FROM edges WHERE superseded_id NOT IN (SELECT id FROM b2)",
     "fingerprint_compare": f"{_COMPARED} SELECT relative_path, change FROM cmp",
     "plan_summary": f"{_COMPARED} SELECT change, count(*) AS files FROM cmp GROUP BY 1",
-    "hash_roots": f"""
-WITH {B.ARTIFACTS}, m AS (SELECT build_id, sha256(concat_ws(' ', relative_path, content_hash)) AS h FROM arts)
-SELECT build_id, count(*) AS n, sha256('r' || count(*) || ':' || string_agg(h, '' ORDER BY h)) AS root FROM m GROUP BY 1""",
-    "tree_roots": f"""
-WITH {B.NODES}, m AS (SELECT artifact_id, revision_hash AS h, count(*) AS n FROM n WHERE revision_hash IS NOT NULL GROUP BY ALL),
-l1 AS (SELECT artifact_id, h[1:4] AS c, sum(n) AS n, sha256(string_agg(h || ':' || n, ',' ORDER BY h, n)) AS d FROM m GROUP BY ALL),
-l2 AS (SELECT artifact_id, c[1:2] AS c, sum(n) AS n, sha256(string_agg(c || ':' || d, ',' ORDER BY c)) AS d FROM l1 GROUP BY artifact_id, l1.c[1:2])
-SELECT artifact_id, sum(n) AS n, sha256(string_agg(c || ':' || d, ',' ORDER BY c)) AS root FROM l2 GROUP BY artifact_id""",
+    "hash_roots": f"WITH {B.ARTIFACTS}, m AS (SELECT build_id, sha256(concat_ws(' ', relative_path, content_hash)) AS h, count(*) AS n FROM arts GROUP BY ALL), {_tree('build_id')}",
+    "tree_roots": f"WITH {B.NODES}, m AS (SELECT artifact_id, revision_hash AS h, count(*) AS n FROM n WHERE revision_hash IS NOT NULL GROUP BY ALL), {_tree('artifact_id')}",
     "diff_artifacts": f"""
 {_COMPARED}, gone AS (SELECT h1 AS h, max(relative_path) AS twin FROM cmp WHERE change = 'removed' GROUP BY 1),
 came AS (SELECT h2 AS h, max(relative_path) AS twin FROM cmp WHERE change = 'added' GROUP BY 1)

@@ -99,14 +99,12 @@ def search_page(spark, d, query=SEARCH_QUERY, limit=PAGE):
     best = I.top_k(found.bm25(query, "all"), depth).collect()
     if not best and len(I.query_phrases(query)) > 1:
         best = I.top_k(found.bm25(query, "any"), depth).collect()
-    scores = spark.createDataFrame([(r["chunk_id"], r["bm25"]) for r in best], "chunk_id string, bm25 double")
-    held = found.table("chunks").where(F.col("chunk_id").isin([r["chunk_id"] for r in best]))
-    rows = scores.join(held, "chunk_id").select(
+    rows = I.fetched(found.table("chunks"), best).select(
         F.lit("q").alias("query_id"), F.lit(query).alias("query"), "chunk_id", "artifact_id", F.col("path").alias("relative_path"),
-        "title", "heading_path", F.col("body").alias("text"), "status", "authority", "bm25",
+        "title", "heading_path", F.col("body").alias("text"), "status", "authority", "superseded", "bm25",
         F.lit(0).alias("estimated_tokens"), "line_start", "line_end",
     )
-    return R.ranked(rows, limit, B.superseded(spark, d)).where("position IS NOT NULL")
+    return R.ranked(rows, limit, bounded=True).where("position IS NOT NULL")
 
 
 def search_bm25_topk(spark, d):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalith import constants as C
-from stratalith.build import BuildError, State, read
+from stratalith.build import BuildError, State
 from stratalith.operators import context as X
 from stratalith.operators import index as I
 from stratalith.operators import ranges, ranking
@@ -48,7 +48,7 @@ class Runtime:
         return build
 
     def _read(self, build: str, entity: str) -> DataFrame:
-        return read(self.spark, self.state, build, entity)
+        return self._index(build).table(entity)
 
     def _index(self, build: str) -> I.SearchIndex:
         if build not in self._indexes:
@@ -95,23 +95,23 @@ class Runtime:
         best = I.top_k(index.bm25(query, "all", within), depth).collect()
         if not best and len(I.query_phrases(query)) > 1:
             best = I.top_k(index.bm25(query, "any", within), depth).collect()
-        scores = self.spark.createDataFrame([(r["chunk_id"], r["bm25"]) for r in best], "chunk_id string, bm25 double")
-        return chunks.where(F.col("chunk_id").isin([r["chunk_id"] for r in best])).join(scores, "chunk_id")
+        return I.fetched(chunks, best)
 
-    def _ranked(self, build: str, query: str, limit: int, depth: int, **where) -> DataFrame:
+    def _ranked(self, build: str, query: str, limit: int, depth: int, **where) -> tuple[DataFrame, DataFrame]:
+        """(candidates, the same ranked): at most ``depth`` rows, which lie in one partition."""
         rows = self._candidates(build, query, depth, where.get("path"), where.get("extension"), where.get("artifact"), where.get("statuses")).select(
             F.lit("q").alias("query_id"), F.lit(query).alias("query"), "chunk_id", "artifact_id", F.col("path").alias("relative_path"), "title",
             "heading_path", "text", "status", "authority", "estimated_tokens", "bm25", "line_start", "line_end",
         )
         gone = self._read(build, "supersessions").select(F.col("superseded_id").alias("artifact_id"))
-        return ranking.ranked(rows, limit, gone)
+        return rows, ranking.ranked(rows, limit, gone, bounded=True)
 
     def search(self, query: str, limit: int = 10, **where) -> dict:
         """Ranked hits with locators; filters: path (glob), extension, artifact (id or path), statuses."""
         if not 1 <= limit <= 100:
             raise ValueError("the limit must be between 1 and 100")
         build = self._build()
-        page = self._ranked(build, query, limit, ranking.candidate_count(limit), **where).where("position IS NOT NULL")
+        page = self._ranked(build, query, limit, ranking.candidate_count(limit), **where)[1].where("position IS NOT NULL")
         where_ = ranges.locator(F.col("artifact_id"), F.col("relative_path"), F.col("heading_path"), F.col("line_start"), F.col("line_end"))
         shown = page.select("position", "chunk_id", "score", "labels", I.snippet(F.col("text"), I.query_phrases(query)).alias("excerpt"), where_.alias("locator"))
         return {"build_id": build, "hits": [r.asDict(True) for r in shown.orderBy("position").collect()]}
@@ -119,10 +119,10 @@ class Runtime:
     def context_for_task(self, task: str, profile: str = C.DEFAULT_PROFILE, budget: int | None = None, **where) -> dict:
         build = self._build()
         tokens = X.resolve_budget(profile, budget)
-        ranked = self._ranked(build, task, C.CANDIDATE_MAXIMUM, C.CANDIDATE_MAXIMUM, **where)
+        found, ranked = self._ranked(build, task, C.CANDIDATE_MAXIMUM, C.CANDIDATE_MAXIMUM, **where)
         bundled = X.bundle(ranked, tokens)
         rows = [r.asDict(True) for r in bundled.orderBy("bucket", "position").collect()]
-        texts = {r["chunk_id"]: r["text"] for r in ranked.select("chunk_id", "text").collect()}
+        texts = {r["chunk_id"]: r["text"] for r in found.select("chunk_id", "text").collect()}
         out: dict = {"build_id": build, "task": task, "profile": profile, "budget": tokens}
         for bucket in ("overview", "selected", "alternative", "omitted"):
             out[bucket] = [{**r, "text": texts[r["chunk_id"]]} if bucket != "omitted" else r for r in rows if r["bucket"] == bucket]

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalith.constants import MAX_TABLE_COLUMNS, MAX_TABLE_ROWS
+from stratalith.operators.records import RecordParser
 
 DELIMITERS = (",", ";", "\t", "|")
 HEAD_LINES = 20
@@ -31,6 +32,7 @@ class DelimitedFile:
     width: int = 0
     row_count: int = 0
     warnings: list[tuple[str, str]] = field(default_factory=list)
+    rejected: list[int] = field(default_factory=list)
 
 
 def _line_ends(text: str) -> str:
@@ -42,24 +44,40 @@ def read_records(text: str, delimiter: str) -> list[tuple[int, list[str]]]:
     return list(_records(_line_ends(text), delimiter))
 
 
-def _records(text: str, delimiter: str) -> Iterator[tuple[int, list[str]]]:
+def _records(text: str, delimiter: str, broken: list[int] | None = None) -> Iterator[tuple[int, list[str]]]:
+    """Records as they stand. One whose quote never closes swallows nothing but itself: its line is noted in ``broken``
+    and reading goes on at the next line from which a whole record of the first one's width parses."""
     at, line, n = 0, 1, len(text)
     fields: list[str] = []
-    start = 1
+    start, begin, width = 1, 0, 0
+    last_quote = text.rfind('"')
     while at <= n:
         if at < n and text[at] == '"':
             value, at = [], at + 1
+            closed = False
             while at < n:
-                close = text.find('"', at)
-                close = n if close < 0 else close
+                close = text.find('"', at) if at <= last_quote else -1
+                if close < 0:
+                    break
+                closed = True
                 value.append(text[at:close])
                 line += text.count("\n", at, close)
                 at = close + 1
                 if at < n and text[at] == '"':
                     value.append('"')
                     at += 1
+                    closed = False
                     continue
                 break
+            if not closed:
+                if broken is not None:
+                    broken.append(start)
+                at = RecordParser(text, delimiter, width or len(fields) + 1).resume(begin)
+                fields, line = [], start + text.count("\n", begin, at)
+                at += 1
+                line += 1
+                start, begin = line, at
+                continue
             cell = "".join(value)
         else:
             cell = ""
@@ -72,11 +90,12 @@ def _records(text: str, delimiter: str) -> Iterator[tuple[int, list[str]]]:
             at += 1
             continue
         if fields != [""]:
+            width = width or len(fields)
             yield start, fields
         fields = []
         at += 1
         line += 1
-        start = line
+        start, begin = line, at
 
 
 def delimiter_of(text: str) -> str:
@@ -115,8 +134,11 @@ def unique_headers(names: Sequence[str], code: str = "csv-duplicate-header") ->
 
 def parse_delimited(text: str, delimiter: str | None = None) -> DelimitedFile:
     d = delimiter or delimiter_of(text)
-    records = read_records(text, d)
-    got = DelimitedFile(delimiter=d)
+    broken: list[int] = []
+    records = list(_records(_line_ends(text), d, broken))
+    got = DelimitedFile(delimiter=d, rejected=broken)
+    if broken:
+        got.warnings.append(("csv-unclosed-quote", f"{len(broken)} records were left out, at lines {', '.join(map(str, broken[:5]))}"))
     if not records:
         got.warnings.append(("empty-file", "the file holds no record"))
         return got

@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from stratalith import constants as C
 from stratalith.functions.globs import Decider, IgnoreRule
@@ -25,8 +28,10 @@ from stratalith.sources.folders import LocalFolder, SharedFolder
 from stratalith.sources.html import decode_html, parse_html
 from stratalith.sources.markdown import parse_markdown
 from stratalith.sources.office import parse_docx, sheets_of
+from stratalith.sources.pdf import parse_pdf
 from stratalith.sources.tree import NODE_SCHEMA, Tree
 
+BATCH_BYTES = 32 * 1024 * 1024
 DEFAULT_RULES = tuple(IgnoreRule(p, source="built-in") for p in (*C.ALWAYS_EXCLUDE, *(p for p in C.SECRET_SHAPED if p not in C.ALWAYS_EXCLUDE)))
 
 
@@ -68,13 +73,38 @@ def discover(spark: SparkSession, folder: LocalFolder | SharedFolder, source: st
     return out
 
 
+FILES_PER_TASK = 500
+
+
 def _contents(spark: SparkSession, listed: DataFrame, urls: Sequence[str]) -> DataFrame:
-    """Rows of ``listed`` with the contents of the named files, which are few enough to be named."""
+    """Rows of ``listed`` with the contents of the named files, which are few enough to be named.
+
+    Files of a mounted file system are opened where a task runs; of others the paths are handed to Spark's binary reader.
+    """
     if not urls:
         return listed.where("false").withColumn("content", F.lit(None).cast("binary"))
+    if all(u.startswith("file:") for u in urls):
+        ship(spark)
+        names = [f.name for f in listed.schema.fields]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                places = batch.column("url").to_pylist()
+                begin, held, size = 0, [], 0
+                for i, url in enumerate(places):
+                    with open(url.removeprefix("file:"), "rb") as f:
+                        held.append(f.read())
+                    size += len(held[-1])
+                    if size > BATCH_BYTES or i + 1 == len(places):
+                        part = batch.slice(begin, len(held))
+                        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held, pa.binary())], names=[*names, "content"])
+                        begin, held, size = i + 1, [], 0
+
+        schema = StructType([*listed.schema.fields, StructField("content", BinaryType())])
+        return listed.repartition(max(spark.sparkContext.defaultParallelism, len(urls) // FILES_PER_TASK)).mapInArrow(run, schema)
     named = [re.sub(r"([\[\]{}*?\\])", r"\\\1", u) for u in urls]
-    raw = spark.read.format("binaryFile").load(named).select(F.regexp_replace("path", "^file:/+", "file:/").alias("url"), "content")
-    return listed.withColumn("url", F.regexp_replace("url", "^file:/+", "file:/")).join(raw, "url")
+    raw = spark.read.format("binaryFile").load(named).select(F.col("path").alias("url"), "content")
+    return listed.join(raw, "url")
 
 
 def facts(spark: SparkSession, found: Sequence[Row]) -> DataFrame:
@@ -158,38 +188,61 @@ def table_node(name: str, columns: Sequence[str], rows: Sequence[Sequence[object
     return "\n".join(head + [" | ".join("" if c is None else str(c) for c in r) for r in rows[:5]])
 
 
-def parse_bytes(parser: str, data: bytes, name: str) -> tuple[Tree, list[dict]]:
-    """(tree, tables) of a file; tables are {name, columns, rows, sheet, cell_range, row_count}."""
-    tables: list[dict] = []
-    if parser == "docx":
-        return parse_docx(data, name), tables
-    if parser == "xlsx":
-        tree = Tree(name.rsplit(".", 1)[0], None)
-        for sheet, found, warnings in sheets_of(data):
-            tree.warnings += warnings
-            if found is not None:
-                tables.append({"name": sheet, "columns": found.columns, "rows": found.rows, "sheet": sheet, "cell_range": found.cell_range})
-                tree.add("sheet", table_node(sheet, found.columns, found.rows))
-        return tree, tables
-    if parser == "html":
-        text, warnings = decode_html(data)
-        tree = parse_html(text, name)
+Parsed = tuple[Tree, list[dict]]
+
+
+def _read_sheets(data: bytes, name: str) -> Parsed:
+    tree, tables = Tree(name.rsplit(".", 1)[0], None), []
+    for sheet, found, warnings in sheets_of(data):
         tree.warnings += warnings
-        return tree, tables
-    text = data.decode("utf-8")
-    if parser == "markdown":
-        return parse_markdown(text, name), tables
-    if parser == "csv":
-        got = parse_delimited(text)
-        tree = Tree(name.rsplit(".", 1)[0])
-        tree.warnings += got.warnings
-        if got.rows:
-            tables.append({"name": name.rsplit(".", 1)[0], "columns": got.columns, "rows": got.rows, "sheet": None, "cell_range": None})
-            tree.add("table", table_node(name, got.columns, got.rows), 1, got.row_lines[-1])
-        elif got.width:
-            tree.add("table", f"{name}\n{got.row_count} rows, {got.width} columns", 1)
-        return tree, tables
-    return parse_plain(text, name, parser == "code"), tables
+        if found is not None:
+            tables.append({"name": sheet, "columns": found.columns, "rows": found.rows, "sheet": sheet, "cell_range": found.cell_range})
+            tree.add("sheet", table_node(sheet, found.columns, found.rows))
+    return tree, tables
+
+
+def _read_html(data: bytes, name: str) -> Parsed:
+    text, warnings = decode_html(data)
+    tree = parse_html(text, name)
+    tree.warnings += warnings
+    return tree, []
+
+
+def _read_delimited(data: bytes, name: str) -> Parsed:
+    got, tables = parse_delimited(data.decode("utf-8")), []
+    tree = Tree(name.rsplit(".", 1)[0])
+    tree.warnings += got.warnings
+    if got.rows:
+        tables.append({"name": name.rsplit(".", 1)[0], "columns": got.columns, "rows": got.rows, "sheet": None, "cell_range": None})
+        tree.add("table", table_node(name, got.columns, got.rows), 1, got.row_lines[-1])
+    elif got.width:
+        tree.add("table", f"{name}\n{got.row_count} rows, {got.width} columns", 1)
+    return tree, tables
+
+
+@dataclass(frozen=True)
+class Parser:
+    """How files of one format are read; a new ``version`` makes them be parsed anew."""
+
+    version: str
+    read: Callable[[bytes, str], Parsed]
+
+
+#: The fixed registry of parsers: (tree, tables) of a file, tables being {name, columns, rows, sheet, cell_range}.
+PARSERS = {
+    "markdown": Parser("2", lambda data, name: (parse_markdown(data.decode("utf-8"), name), [])),
+    "text": Parser("1", lambda data, name: (parse_plain(data.decode("utf-8"), name), [])),
+    "code": Parser("1", lambda data, name: (parse_plain(data.decode("utf-8"), name, True), [])),
+    "html": Parser("1", _read_html),
+    "pdf-text": Parser("1", lambda data, name: (parse_pdf(data, name), [])),
+    "docx": Parser("2", lambda data, name: (parse_docx(data, name), [])),
+    "csv": Parser("2", _read_delimited),
+    "xlsx": Parser("1", _read_sheets),
+}
+
+
+def parse_bytes(parser: str, data: bytes, name: str) -> Parsed:
+    return PARSERS[parser].read(data, name)
 
 
 PARSED_SCHEMA = (

@@ -46,6 +46,10 @@ def front_matter(lines: list[str]) -> tuple[dict[str, str], int, list[tuple[str,
         return {}, 0, []
     fields: dict[str, str] = {}
     warnings = []
+    held = [x for x in lines[1:end] if x.strip() and not x.lstrip().startswith("#")]
+    if held and (held[0].startswith(("- ", "[")) or not any(":" in x for x in held)):
+        # A list or a bare value: fit to be read, but no mapping.
+        return {}, end + 1, [("frontmatter-not-a-mapping", "the front matter is no mapping, so it was left out")]
     for raw in lines[1:end]:
         if not raw.strip() or raw.lstrip().startswith("#") or raw[:1] in " \t-":
             continue

@@ -25,6 +25,10 @@ _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
+#: Parts of a DOCX body whose content no node holds.
+LEFT_OUT = (("drawings", "drawing"), ("pictures", "pict"), ("embedded objects", "object"), ("footnote references", "footnoteReference"), ("comments", "commentReference"))
+
+
 class Package:
     """The parts of an office file, with caps on what unpacking may cost."""
 
@@ -52,6 +56,8 @@ class Package:
 
 def parse_docx(data: bytes, name: str) -> Tree:
     """Heading styles open sections; numbered or bulleted paragraphs join into lists; tables keep their cells."""
+    if data.startswith(b"\xd0\xcf\x11\xe0"):
+        raise ValueError("this is the older .doc format; save it as .docx")
     package = Package(data)
     styles: dict[str, str] = {}
     if "word/styles.xml" in package.names():
@@ -104,8 +110,11 @@ def parse_docx(data: bytes, name: str) -> Tree:
             tree.add("table", "\n".join(" | ".join(r) for r in value), rows=len(value), columns=max(map(len, value), default=0))
         elif kind == "paragraph":
             tree.add("paragraph", value)
-    for label in sorted(unmapped):
-        tree.warnings.append(("docx-unmapped-style", f"the style {label!r} was read as plain text"))
+    if unmapped:
+        tree.warnings.append(("docx-unmapped-style", f"styles read as plain text: {', '.join(sorted(unmapped))}"))
+    lost = {f"{len(found)} {what} left out" for what, tag in LEFT_OUT if (found := list(body.iter(f"{_W}{tag}")) if body is not None else [])}
+    for what in sorted(lost):
+        tree.warnings.append(("docx-conversion", what))
     return tree
 
 
@@ -294,7 +303,7 @@ def pdf_page_paragraphs(text: str) -> list[str]:
     for lig, plain in _LIGATURES.items():
         text = text.replace(lig, plain)
     text = text.replace("\r\n", "\n").replace("\r", "\n")
-    text = re.sub(r"(?<=\w)-[ \t]*\n[ \t]*(?=\w)", "-", text)
+    text = re.sub(r"(?<=[^\W\d_])([-‐])\n(?=[^\W\d_])", r"\1", text)
     return [p for p in (re.sub(r"\s+", " ", b).strip() for b in re.split(r"\n[ \t]*\n", text)) if p]
 
 

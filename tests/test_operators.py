@@ -204,8 +204,9 @@ def test_reads(spark):
     got = ranges.read_ranges(df, from_line=2, to_line=3).first()
     assert got.text == "text 1\n\ntext 2" and not got.truncated
     assert ranges.read_ranges(df, heading=["H", "S"]).first().text.startswith("text 3")
-    cut = ranges.read_ranges(df, most=10).first()
-    assert cut.text == "text 0\n\nte" and cut.truncated
+    for block in (1, 2, 100):
+        cut = ranges.read_ranges(df, most=10, block=block).first()
+        assert cut.text == "text 0\n\nte" and cut.truncated and (cut.line_start, cut.line_end) == (1, 6)
 
 
 def test_registered_read_has_the_production_depth(spark, tmp_path):

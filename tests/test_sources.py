@@ -5,7 +5,7 @@ import pytest
 
 from stratalith.plans import text_jobs
 from stratalith.sources import delimited as D
-from stratalith.sources import files, formats, office
+from stratalith.sources import files, formats, office, pdf
 from stratalith.sources.html import decode_html, parse_html
 from stratalith.sources.markdown import parse_markdown
 
@@ -25,7 +25,7 @@ def test_markdown():
     rows = tree.rows("s:f.md")
     assert rows[1][0] == "s:f.md#0.0" and rows[3][2] == "s:f.md#0.0" and [r[-1] for r in rows] == list(range(8))
     assert parse_markdown("", "empty.md").warnings[0][0] == "empty-file"
-    assert parse_markdown("---\nbad line\n---\n#\n\ntext", "x.md").warnings[0][0] == "frontmatter-invalid"
+    assert parse_markdown("---\ntitle: x\nbad line\n---\n#\n\ntext", "x.md").warnings[0][0] == "frontmatter-invalid"
 
 
 def test_html():
@@ -61,7 +61,7 @@ def test_parse_warnings_follow_the_path(spark, tmp_path):
     rows = [("wiki", p, "---\njust words\n---\ntext\n") for p in ("a.md", "b.txt", "c.rst")] + [("wiki", "d.txt", " ")]
     spark.createDataFrame(rows, "source string, relative_path string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.code: r.files for r in text_jobs.QUERIES["parse_warnings"](spark, str(tmp_path)).collect()}
-    assert got == {"frontmatter-invalid": 1, "empty-file": 1}
+    assert got == {"frontmatter-not-a-mapping": 1, "empty-file": 1}
 
 
 def _xlsx():
@@ -107,7 +107,7 @@ def test_docx():
         z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
     tree = office.parse_docx(out.getvalue(), "d.docx")
     assert _kinds(tree)[1:] == [("section", "Top", ["Top"]), ("paragraph", "Text", ["Top"]), ("list", "- one", ["Top"]), ("paragraph", "odd", ["Top"])]
-    assert tree.warnings == [("docx-unmapped-style", "the style 'Odd' was read as plain text")]
+    assert tree.warnings == [("docx-unmapped-style", "styles read as plain text: Odd")]
 
 
 def test_pdf_pages():
@@ -139,3 +139,60 @@ def test_detect_delimiters(spark):
     df = spark.createDataFrame(rows, "file_path string, record_no int, raw_record string")
     assert {tuple(r) for r in D.detect_delimiters(df).collect()} == {("a", ";", 3), ("b", "|", 2), ("c", ",", 1), ("d", ",", 2)}
     assert D.detect_delimiters(df.where("false")).count() == 0
+
+
+def test_an_unclosed_quote_loses_its_own_record_only():
+    got = D.parse_delimited('a,b\n1,"open\n2,x\n3,"y"\n4,z\n')
+    assert [r[0] for r in got.rows] == ["2", "3", "4"] or [r[0] for r in got.rows] == ["1", "4"]
+    got = D.parse_delimited('a,b\n1,"open\n2,x\n3,y\n')
+    assert got.rows == [["2", "x"], ["3", "y"]] and got.rejected == [2] and got.row_lines == [3, 4] and got.warnings[0][0] == "csv-unclosed-quote"
+    assert D.parse_delimited('a,b\n1,"x""\n').rejected == [2] and D.parse_delimited('"').rejected == [1]
+    assert D.parse_delimited("a,b\n" + '1,"x\n' * 2_001).rejected
+
+
+def _pdf(*pages: bytes, font: bytes = b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>", flate: bool = True, extra: bytes = b"") -> bytes:
+    import zlib
+
+    n = len(pages)
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Count %d /Kids [%s] /Resources << /Font << /F1 3 0 R >> >> >>" % (n, b" ".join(b"%d 0 R" % (4 + 2 * i) for i in range(n))), font]
+    for i, page in enumerate(pages):
+        data = zlib.compress(page) if flate else page
+        objects.append(b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (5 + 2 * i))
+        objects.append(b"<< /Length %d%s >>\nstream\n%s\nendstream" % (len(data), b" /Filter /FlateDecode" if flate else b"", data))
+    body = b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, o) for i, o in enumerate(objects, 1))
+    return b"%PDF-1.4\n" + body + extra + b"trailer\n<< /Root 1 0 R /Info << /Title (Made \\(by hand\\)) >> >>\n%%EOF"
+
+
+def test_pdf_pages_become_sections():
+    one = b"BT /F1 12 Tf 72 700 Td (A work\\336ow is a depart-) Tj 0 -14 Td (ment \\(of sorts\\).) Tj 0 -40 Td [(Sec) 20 (ond) -300 (para)] TJ ET"
+    two = b"BT /F1 12 Tf 1 0 0 1 72 700 Tm <4361666520> Tj (\\351t\\351) ' ET"
+    for flate in (True, False):
+        tree = pdf.parse_pdf(_pdf(one.replace(b"\\336", b"fl"), two, b"", flate=flate), "x.pdf")
+        assert _kinds(tree) == [
+            ("document", "Made (by hand)", []), ("section", "Page 1", ["Page 1"]), ("paragraph", "A workflow is a depart-ment (of sorts).", ["Page 1"]),
+            ("paragraph", "Second para", ["Page 1"]), ("section", "Page 2", ["Page 2"]), ("paragraph", "Cafe été", ["Page 2"]),
+        ]
+        assert [w for w, _ in tree.warnings] == ["pdf-pages-without-text"] and tree.nodes[0].metadata["pages"] == 3
+    got, tables = files.parse_bytes("pdf-text", _pdf(one), "x.pdf")
+    assert len(got.nodes) == 4 and not tables
+
+
+def test_pdf_fonts_with_maps_and_damaged_pages():
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 2 beginbfchar <0001> <0048> <0002> <FB01> endbfchar 1 beginbfrange <0010> <0012> <0061> endbfrange"
+    extra = b"90 0 obj << /Length %d >> stream\n%s\nendstream endobj\n" % (len(cmap), cmap)
+    font = b"<< /Type /Font /Subtype /Type0 /ToUnicode 90 0 R >>"
+    tree = pdf.parse_pdf(_pdf(b"BT /F1 9 Tf <00010010001100120002> Tj ET", font=font, extra=extra), "m.pdf")
+    assert tree.nodes[2].text == "Habcfi"
+    broken = _pdf(b"BT /F1 9 Tf (fine) Tj ET", b"BT (lost) Tj ET").replace(b"/Contents 7 0 R", b"/Contents 91 0 R")
+    tree = pdf.parse_pdf(broken.replace(b"trailer", b"91 0 obj << /Filter /JPXDecode /Length 3 >> stream\nabc\nendstream endobj\ntrailer"), "d.pdf")
+    assert {w for w, _ in tree.warnings} == {"pdf-page-unreadable", "pdf-pages-without-text"}
+    for bad, why in ((_pdf(b""), "no page holds text"), (b"plain", "no PDF"), (_pdf(b"BT (x) Tj ET").replace(b"/Root", b"/Encrypt 9 0 R /Root"), "password")):
+        with pytest.raises(ValueError, match=why):
+            pdf.parse_pdf(bad, "x.pdf")
+
+
+def test_front_matter_and_old_documents():
+    assert parse_markdown("---\n- a\n- b\n---\n# T\n", "x.md").warnings[0][0] == "frontmatter-not-a-mapping"
+    assert parse_markdown("---\njust words\n---\ntext", "x.md").warnings[0][0] == "frontmatter-not-a-mapping"
+    with pytest.raises(ValueError, match="older .doc"):
+        office.parse_docx(b"\xd0\xcf\x11\xe0rest", "x.docx")
