@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -23,6 +24,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from stratalith.constants import BM25_B, BM25_K1, COLUMN_WEIGHTS, IDF_FLOOR
 from stratalith.functions.globs import sqlite_glob
 from stratalith.functions.text import fold_terms, index_terms
+from stratalith.session import small_session
 
 COLUMNS = tuple(COLUMN_WEIGHTS)
 SHARDS = 4_096
@@ -226,12 +228,13 @@ def top_k(scored: DataFrame, k: int, *ties: str) -> DataFrame:
 
 
 def fetched(chunks: DataFrame, best: Sequence) -> DataFrame:
-    """The rows of a few best chunks (at most a search's depth) with their ``bm25``, in one partition: what ranks them
-    afterwards needs no exchange."""
+    """The rows of a few best chunks (at most a search's depth) with their ``bm25``, in one partition of a session made for
+    so few: what ranks them afterwards needs no exchange and no compiled code."""
     score = {r["chunk_id"]: r["bm25"] for r in best}
-    rows = chunks.where(F.col("chunk_id").isin(list(score))).collect() if score else []
+    found = chunks.where(F.col("chunk_id").isin(list(score)) if score else F.lit(False)).toArrow()
+    found = found.append_column("bm25", pa.array([score[c] for c in found.column("chunk_id").to_pylist()], pa.float64()))
     schema = StructType([*chunks.schema.fields, StructField("bm25", DoubleType())])
-    return chunks.sparkSession.createDataFrame([(*r, score[r["chunk_id"]]) for r in rows], schema).coalesce(1)
+    return small_session(chunks.sparkSession).createDataFrame(found, schema).coalesce(1)
 
 
 SNIPPET_TERMS = 20

@@ -49,9 +49,9 @@ def scored(candidates: DataFrame, superseded: DataFrame | None = None) -> DataFr
     headings = F.coalesce("heading_path", F.array().cast("array<string>"))
     hay = normalize(F.concat_ws(" ", path, F.array_join(headings, " "), F.coalesce("text", F.lit(""))))
     raw = F.greatest(F.lit(0.0), -F.coalesce("bm25", F.lit(0.0)))
+    # Generated, the two normalized texts are made once a row; as columns they'd be folded into the test of every word.
     rows = (
-        candidates.withColumn("_q", q)
-        .withColumn("_hay", hay)
+        candidates.select("*", F.inline(F.array(F.struct(q.alias("_q"), hay.alias("_hay")))))
         .withColumn("lexical_raw", raw)
         .withColumn("lexical", F.col("lexical_raw") / (F.col("lexical_raw") + C.SATURATION))
         .withColumn(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stratalith.functions import hashing as H
@@ -10,8 +12,9 @@ from stratalith.operators import lifecycle as L
 from stratalith.operators import rules as R
 from stratalith.operators import tables as T
 from stratalith.plans import base as B
-from stratalith.session import table
+from stratalith.session import shared_folder, table
 from stratalith.sources import delimited
+from stratalith.streaming.windows import windowed_counts
 
 #: Example configuration: the rules a project of this corpus would declare.
 RULES = (
@@ -241,10 +244,22 @@ def detect_delimiters(spark, d):
     return delimited.detect_delimiters(table(spark, d, "segment_lines"))
 
 
+def stream_windows(spark, d):
+    """Counts of the events by type and ten-minute window, taken as a stream that ends with what is there."""
+    batch = table(spark, d, "events")
+    stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    # The whole result of each micro-batch replaces the one before.
+    counted = windowed_counts(stream).writeStream.outputMode("complete").option("checkpointLocation", f"{root}/offsets")
+    counted.foreachBatch(lambda got, _: got.write.mode("overwrite").parquet(f"{root}/counts")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(f"{root}/counts")
+    return got.select("start", "end", "event_type", "events", F.round("total", 6).alias("total"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        resolve_rules, rule_supersessions, unmatched_rules, supersession_flags, supersession_cycles, supersession_conflicts, superseded_lists, declared_only, freed_bytes, supersession_missing,
+        stream_windows, resolve_rules, rule_supersessions, unmatched_rules, supersession_flags, supersession_cycles, supersession_conflicts, superseded_lists, declared_only, freed_bytes, supersession_missing,
         fingerprint_compare, plan_summary, hash_roots, tree_roots, diff_artifacts, diff_chunks, diff_rules, diff_tables,
         validate_nodes, validate_without_sections, validate_chunks, retention_plan, unreferenced_objects, build_history, case_collisions,
         exclusion_report, artifact_counts, build_counts, infer_types, types_widened, types_widened_early, column_stats, relation_stats,
@@ -351,6 +366,9 @@ decided AS (SELECT p, list_filter(list_transform(dirs, lambda d: {_decide('d', T
 ruled AS (SELECT p, coalesce(skipped[1], CASE WHEN own >= 0 THEN own END) AS rule FROM decided)"""
 
 SQL = {
+    "stream_windows": """
+SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS start, time_bucket(INTERVAL 10 MINUTE, ts) + INTERVAL 10 MINUTE AS "end", event_type,
+  count(*) AS events, round(sum(value), 6) AS total FROM events GROUP BY ALL""",
     "resolve_rules": f"""
 WITH {B.ARTIFACTS} SELECT id AS artifact_id, {_last('status', "'active'", "'")} AS status, {_last('authority', '50')} AS authority,
   array_to_string(list_filter([{', '.join(f"CASE WHEN {_hit(r)} THEN '{i}' END" for i, r in enumerate(RULES))}], lambda x: x IS NOT NULL), ',') AS matched FROM b2""",

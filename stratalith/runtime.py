@@ -103,8 +103,10 @@ class Runtime:
             F.lit("q").alias("query_id"), F.lit(query).alias("query"), "chunk_id", "artifact_id", F.col("path").alias("relative_path"), "title",
             "heading_path", "text", "status", "authority", "estimated_tokens", "bm25", "line_start", "line_end",
         )
-        gone = self._read(build, "supersessions").select(F.col("superseded_id").alias("artifact_id"))
-        return rows, ranking.ranked(rows, limit, gone, bounded=True)
+        ids = [r["artifact_id"] for r in rows.select("artifact_id").distinct().collect()]
+        over = self._read(build, "supersessions").where(F.col("superseded_id").isin(ids)).select("superseded_id").distinct().collect()
+        rows = rows.withColumn("superseded", F.col("artifact_id").isin([r["superseded_id"] for r in over]))
+        return rows, ranking.ranked(rows, limit, bounded=True)
 
     def search(self, query: str, limit: int = 10, **where) -> dict:
         """Ranked hits with locators; filters: path (glob), extension, artifact (id or path), statuses."""

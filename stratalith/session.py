@@ -31,6 +31,21 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
     return spark
 
 
+_SMALL: dict[str, SparkSession] = {}
+
+
+def small_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application for a few hundred rows at a time: one partition, and no code generated for
+    plans that are done before it would be compiled."""
+    application = spark.sparkContext.applicationId
+    if application not in _SMALL:
+        small = spark.newSession()
+        for key, value in (("shuffle.partitions", "1"), ("adaptive.enabled", "false"), ("codegen.wholeStage", "false"), ("codegen.factoryMode", "NO_CODEGEN"), ("session.timeZone", "UTC")):
+            small.conf.set(f"spark.sql.{key}", value)
+        _SMALL[application] = small
+    return _SMALL[application]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

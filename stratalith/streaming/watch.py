@@ -14,7 +14,6 @@ import threading
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stratalith import build as B
@@ -109,13 +108,3 @@ class Rebuilder:
             for q in [w.start() for w in self.watches]:
                 q.awaitTermination()
         return {"build_id": self.state.active(), "generation": self.state.generation()}
-
-
-def windowed_counts(events: DataFrame, size: str = "10 minutes", late: str = "1 hour") -> DataFrame:
-    """Counts of a stream of events by event type and time window; rows later than the watermark are left out."""
-    return (
-        events.withWatermark("ts", late)
-        .groupBy(F.window("ts", size).alias("w"), "event_type")
-        .agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("total"))
-        .select("w.start", "w.end", "event_type", "events", "total")
-    )

@@ -4,7 +4,8 @@ import pytest
 
 from stratalith import build as B
 from stratalith.runtime import Runtime, render_bundle
-from stratalith.streaming.watch import Rebuilder, Watch, windowed_counts
+from stratalith.streaming.watch import Rebuilder, Watch
+from stratalith.streaming.windows import windowed_counts
 
 
 def _project(root):

@@ -270,7 +270,5 @@ def test_hashing(spark):
     assert H.shortest_prefix("bld_" + "a" * 64, ["bld_" + "a" * 13 + "b" * 51]) == "bld_" + "a" * 14
     assert H.column_sql_name(3, "List Price (EUR)") == "c_3_list_price_eur" and H.table_sql_name("id", "???").startswith("t_")
     df = spark.createDataFrame([("g", H.sha256(str(i))) for i in range(500)], "g string, member_hash string")
-    small = H.small_roots(df, by=["g"]).first()
-    assert small.root == H.hash_root([H.sha256(str(i)) for i in range(500)])
     one = H.hash_roots(df, by=["g"]).first().root
     assert one == H.hash_roots(df.repartition(7), by=["g"]).first().root != H.hash_roots(df.limit(499), by=["g"]).first().root
