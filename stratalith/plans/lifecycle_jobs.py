@@ -247,13 +247,13 @@ def detect_delimiters(spark, d):
 def stream_windows(spark, d):
     """Counts of the events by type and ten-minute window, taken as a stream that ends with what is there."""
     batch = table(spark, d, "events")
-    stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     # The whole result of each micro-batch replaces the one before.
     counted = windowed_counts(stream).writeStream.outputMode("complete").option("checkpointLocation", f"{root}/offsets")
     counted.foreachBatch(lambda got, _: got.write.mode("overwrite").parquet(f"{root}/counts")).trigger(availableNow=True).start().awaitTermination()
     got = spark.read.parquet(f"{root}/counts")
-    return got.select("start", "end", "event_type", "events", F.round("total", 6).alias("total"))
+    return got.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "events", F.round("total", 6).alias("total"))
 
 
 QUERIES = {
