@@ -30,6 +30,7 @@ from stratalith.functions.globs import IgnoreRule, parse_ignore
 from stratalith.functions.paths import redact, searchable_terms
 from stratalith.operators import chunking, lifecycle, nodes as N, ranges, rules as R, tables as T
 from stratalith.operators.index import SearchIndex
+from stratalith.session import at_once
 from stratalith.sources import files as S
 from stratalith.sources.folders import folder_of
 
@@ -317,6 +318,21 @@ def status(spark: SparkSession, state: State, config: Config) -> dict:
     return {"build_id": active, "state": "dirty" if changes else "clean", "changes": changes}
 
 
+class Freshness:
+    """``status`` for readers: asked as often as one likes, the sources are looked at anew only after ``interval``
+    seconds or an activation."""
+
+    def __init__(self, spark: SparkSession, state: State, config: Config, interval: float = C.REVALIDATE_S, clock=time.monotonic):
+        self.spark, self.state, self.config, self.interval, self.clock = spark, state, config, interval, clock
+        self.seen: tuple[float, int, dict] | None = None
+
+    def get(self) -> dict:
+        now, generation = self.clock(), self.state.generation()
+        if self.seen is None or self.seen[1] != generation or now - self.seen[0] >= self.interval:
+            self.seen = (now, generation, status(self.spark, self.state, self.config))
+        return {**self.seen[2], "age": round(now - self.seen[0], 3)}
+
+
 def doctor(spark: SparkSession, state: State) -> list[tuple[str, bool, str]]:
     """(check, ok, detail) of the environment."""
     import sys
@@ -390,30 +406,37 @@ def build(spark: SparkSession, state: State, config: Config, activate: bool = Tr
         own = put(own, "nodes")
         bodies = N.render_bodies(own)
         arts = put(resolved.join(titles, "artifact_id", "left").join(bodies.select("artifact_id", F.sha2("body", 256).alias("object_hash")), "artifact_id", "left"), "artifacts")
-        put(bodies.select(F.sha2("body", 256).alias("hash"), "body").groupBy("hash").agg(F.any_value("body").alias("body")), "objects")
-        made = chunking.chunk_nodes(own, config.target_tokens, config.maximum_tokens, config.overlap_tokens)
-        made = made.join(arts.select("artifact_id", F.col("relative_path").alias("path"), "title", "status", "authority"), "artifact_id").withColumn("heading", F.array_join("heading_path", " "))
-        chunks = put(made.withColumnRenamed("id", "chunk_id").repartition("chunk_id").sortWithinPartitions("chunk_id"), "chunks")
-        SearchIndex.write(chunks.withColumnRenamed("text", "body"), temporary)
-        cells = _write_tables(put, parsed, None if active is None else (lambda e: read(spark, state, active, e)), facts)
+
+        def index() -> None:
+            made = chunking.chunk_nodes(own, config.target_tokens, config.maximum_tokens, config.overlap_tokens)
+            made = made.join(arts.select("artifact_id", F.col("relative_path").alias("path"), "title", "status", "authority"), "artifact_id").withColumn("heading", F.array_join("heading_path", " "))
+            chunks = put(made.withColumnRenamed("id", "chunk_id").repartition("chunk_id").sortWithinPartitions("chunk_id"), "chunks")
+            SearchIndex.write(chunks.withColumnRenamed("text", "body"), temporary)
+
+        objects = bodies.select(F.sha2("body", 256).alias("hash"), "body").groupBy("hash").agg(F.any_value("body").alias("body"))
+        *_, cells = at_once(
+            index,
+            lambda: put(objects, "objects"),
+            lambda: _write_tables(put, parsed, None if active is None else (lambda e: read(spark, state, active, e)), facts),
+        )
         warned = warned.unionByName(S.discovery_warnings(spark, found, every)).unionByName(_widened(cells, arts))
         lost = [("rule-matched-nothing", "rule", r["match"], "the rule applied to no file") for r in unmatched]
         put(warned.unionByName(spark.createDataFrame(lost, warned.schema)), "warnings")
         for entity in ("parsed", "facts"):
             state.folder.delete(f"{work}/{entity}.parquet")
 
-        roots = roots_of(spark, temporary)
+        roots, failures = at_once(lambda: roots_of(spark, temporary), lambda: validate(spark, temporary))
         identity = {**config.identity(), "roots": roots}
         name = H.build_id(identity)
         if not state.folder.exists(f"builds/{name}/manifest.json"):
-            failures = validate(spark, temporary)
             if failures:
                 state.record({"build_id": name, "state": "failed", "created_at": time.time()})
                 raise BuildError("; ".join(f"{c}: {n}" for c, n in failures))
             size = sum(r[4] for r in found if r[8] is None and r[9] is None)
             manifest = {
                 "build_id": name, "project": config.name, "identity": identity, "inputs": H.build_id(inputs), "capabilities": list(CAPABILITIES),
-                "counts": {e: spark.read.parquet(f"{temporary}/{e}.parquet").count() for e in ENTITIES}, "source_bytes": size,
+                "counts": dict(zip(ENTITIES, at_once(*[spark.read.parquet(f"{temporary}/{e}.parquet").count for e in ENTITIES]), strict=True)),
+                "source_bytes": size,
             }
             text = json.dumps(manifest, indent=1, sort_keys=True, ensure_ascii=False)
             state.folder.write(f"{work}/manifest.json", text)
@@ -461,9 +484,7 @@ def _write_tables(put, parsed: DataFrame, previous, facts: DataFrame) -> DataFra
         ids = old.select("table_id")
         cells = cells.unionByName(previous("cells").join(ids, "table_id", "left_semi"))
         columns = columns.unionByName(previous("columns").join(ids, "table_id", "left_semi"))
-    put(catalog, "tables")
-    put(columns, "columns")
-    return put(cells, "cells")
+    return at_once(lambda: put(catalog, "tables"), lambda: put(columns, "columns"), lambda: put(cells, "cells"))[-1]
 
 
 def _root(members: DataFrame) -> str:
@@ -480,7 +501,8 @@ def roots_of(spark: SparkSession, root: str) -> dict[str, str]:
         "tables": F.sha2(F.concat_ws(" ", "table_id", F.col("row_count").cast("string")), 256),
         "objects": F.col("hash"),
     }
-    return {e: _root(spark.read.parquet(f"{root}/{e}.parquet").select(m.alias("member_hash"))) for e, m in members.items()}
+    jobs = [lambda e=e, m=m: _root(spark.read.parquet(f"{root}/{e}.parquet").select(m.alias("member_hash"))) for e, m in members.items()]
+    return dict(zip(members, at_once(*jobs), strict=True))
 
 
 def _warning_counts(spark: SparkSession, root: str) -> dict[str, int]:

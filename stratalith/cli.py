@@ -75,6 +75,10 @@ def parser() -> argparse.ArgumentParser:
     k.add_argument("build")
     k.add_argument("target")
     sub.add_parser("verify").add_argument("archive")
+    j = sub.add_parser("project")
+    j.add_argument("build")
+    j.add_argument("target")
+    j.add_argument("project_id")
     return p
 
 
@@ -109,6 +113,10 @@ def dispatch(a: argparse.Namespace) -> object:
             "builds": state.registry, "activate": lambda: state.activate(state.resolve(a.build)), "rollback": state.rollback,
             "prune": lambda: state.prune(a.keep), "pack": lambda: B.pack(state, state.resolve(a.build), a.target),
         }[a.command]()
+    if a.command == "project":
+        from stratalith.projection import project
+
+        return project(spark, state, state.resolve(a.build), a.target, a.project_id)
     rt = Runtime(spark, state)
     if a.command == "plan":
         report = B.plan_report(spark, state, B.Config.load(a.config))

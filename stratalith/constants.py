@@ -38,6 +38,8 @@ DISTINCT_LIMIT = 10_000
 SAFE_INTEGER = 2**53 - 1
 INFERENCE_SAMPLE = 1_000
 KEEP_BUILDS = 5
+PROJECTION_WARN_BYTES, PROJECTION_MAX_BYTES = 400 * 1024**2, 500 * 1024**2
+REVALIDATE_S = 30.0
 EXCLUSION_SAMPLE = 5
 
 NULL_TOKENS = ("", "null", "n/a", "na")

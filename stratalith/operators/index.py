@@ -24,7 +24,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from stratalith.constants import BM25_B, BM25_K1, COLUMN_WEIGHTS, IDF_FLOOR
 from stratalith.functions.globs import sqlite_glob
 from stratalith.functions.text import fold_terms, index_terms
-from stratalith.session import small_session
+from stratalith.session import at_once, small_session
 
 COLUMNS = tuple(COLUMN_WEIGHTS)
 SHARDS = 4_096
@@ -90,10 +90,11 @@ class SearchIndex:
             return spark.read.parquet(f"{root}/{name}.parquet")
 
         entries = put(entries_of(chunks).sortWithinPartitions("term", "chunk_id"), "entries")
-        put(entries.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.size("places")).alias("occurrences")).sort("term"), "terms")
+        terms = entries.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.size("places")).alias("occurrences")).sort("term")
         held = entries.select("chunk_id", "dl").distinct()
         # Chunks without a single term have no entry, but count.
-        lengths = put(chunks.select("chunk_id").distinct().join(held, "chunk_id", "left").select("chunk_id", F.coalesce("dl", F.lit(0)).alias("dl")), "lengths")
+        every = chunks.select("chunk_id").distinct().join(held, "chunk_id", "left").select("chunk_id", F.coalesce("dl", F.lit(0)).alias("dl"))
+        _, lengths = at_once(lambda: put(terms, "terms"), lambda: put(every, "lengths"))
         put(lengths.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("length")).coalesce(1), "totals")
 
     def table(self, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalith.constants import EXCLUSION_SAMPLE, KEEP_BUILDS
+from stratalith.constants import EXCLUSION_SAMPLE, KEEP_BUILDS, PROJECTION_MAX_BYTES, PROJECTION_WARN_BYTES
 from stratalith.functions.globs import IgnoreRule, deciding_rule
 from stratalith.operators.snapshots import plain_hash, plain_path
 
@@ -168,6 +168,14 @@ def exclusions(paths: DataFrame, rules: Sequence[IgnoreRule], path: str = "relat
     return counts.join(listed, "rule").withColumn("r", F.element_at(names, F.col("rule") + 1)).select("r.pattern", "r.source", "files", "sample")
 
 
+def preflight(rows: DataFrame, warn: int = PROJECTION_WARN_BYTES, refuse: int = PROJECTION_MAX_BYTES) -> DataFrame:
+    """(entity, rows, bytes, verdict) of rows(entity, bytes), and of ``all`` together: ok, warn or refuse by size."""
+    sums = rows.groupBy("entity").agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    whole = sums.agg(F.lit("all").alias("entity"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    verdict = F.when(F.col("bytes") > refuse, "refuse").when(F.col("bytes") > warn, "warn").otherwise("ok")
+    return sums.unionByName(whole).withColumn("verdict", verdict)
+
+
 def lock_diff(before: dict[str, str], after: dict[str, str]) -> list[tuple[str, str | None, str | None]]:
     """Keys of a lockfile that differ."""
     return [(k, before.get(k), after.get(k)) for k in sorted({*before, *after}) if before.get(k) != after.get(k)]

@@ -20,10 +20,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalith.functions.text import trimmed
+from stratalith.session import exists
 
 NULL_TOKENS = ("", "null", "n/a", "na")
 LOAD = ["build_id", "table_id"]
 NUMBER = "decimal(38,12)"
+#: Files that the kept states of a build are dealt over.
+STATE_FILES = 64
 #: From this distance of value shares on a load has drifted; what exact ties may miss it by.
 DISTANCE, TOLERANCE = 0.25, 1e-9
 
@@ -49,6 +52,30 @@ PRICE_LIST = (
 )
 
 
+def keep_states(rows: DataFrame, root: str, rules: tuple[Constraint, ...] = PRICE_LIST) -> DataFrame:
+    """The states of all loads, kept in a folder between runs: only builds whose number of rows isn't the one noted are
+    scanned, and their states replace those kept of them.
+
+    The list of builds is configuration, a handful of rows. States are written before their counts are, so a run that
+    breaks off is made good by the next one.
+    """
+    spark = rows.sparkSession
+
+    def noted(name: str) -> DataFrame | None:
+        return spark.read.parquet(f"{root}/{name}") if exists(spark, f"{root}/{name}/_SUCCESS") else None
+
+    now = {r["build_id"]: r["count"] for r in rows.groupBy("build_id").count().collect()}
+    counts = noted("counts")
+    known = {r["build_id"]: r["count"] for r in counts.collect()} if counts is not None else {}
+    fresh = [b for b, n in now.items() if known.get(b) != n]
+    if fresh:
+        some = F.col("build_id").isin([b for b in fresh if b is not None]) | (F.col("build_id").isNull() & F.lit(None in fresh))
+        made = column_states(rows.where(some), rules).repartition("build_id", F.pmod(F.xxhash64("table_id"), F.lit(STATE_FILES)))
+        made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("build_id").parquet(f"{root}/states")
+        spark.createDataFrame([*(known | now).items()], "build_id string, count bigint").coalesce(1).write.mode("overwrite").parquet(f"{root}/counts")
+    return spark.read.schema("table_id string, ordinal int, value string, n bigint, fit boolean, build_id string").parquet(f"{root}/states")
+
+
 def number_of(text: Column) -> Column:
     """(double, decimal) of a number's text, compared in this order; the decimal is null where it has too many digits."""
     value = text.try_cast("double")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stratalith.operators import profile as P
 from stratalith.operators import records as R
 from stratalith.operators import snapshots as S
-from stratalith.session import cut, table
+from stratalith.session import cut, shared_folder, table
 
 
 def p2_found(spark, d):
@@ -44,6 +46,15 @@ def p3_incremental(spark, d):
     return _metrics(P.profile(rows.where(new), builds, kept=kept))
 
 
+def p3_stored(spark, d):
+    """The same with states that lie in a folder: the second run scans the latest build alone."""
+    rows, builds = table(spark, d, "price_rows"), table(spark, d, "builds")
+    latest = builds.orderBy(F.desc("created_at"), F.desc("build_id")).first()
+    root = f"{shared_folder(spark)}/states-{uuid.uuid4().hex}"
+    P.keep_states(rows.where(~F.col("build_id").eqNullSafe(latest["build_id"] if latest else None)), root)
+    return _metrics(P.changes(P.keep_states(rows, root), builds))
+
+
 def _rounded(limits):
     return limits.withColumns({c: F.floor(F.col(c) * 1e6 + 0.5) / 1e6 for c in ("value", "mean", "spread")})
 
@@ -70,7 +81,7 @@ def p5_faults(spark, d):
     return R.located_faults(table(spark, d, "segment_lines"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_intervals, p3_found, p3_profile, p3_incremental, p3_control_limits, p3_anomalies, p5_found, p5_valid, p5_faults)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_intervals, p3_found, p3_profile, p3_incremental, p3_stored, p3_control_limits, p3_anomalies, p5_found, p5_valid, p5_faults)}
 
 _STATES = r"""
 sealed AS (SELECT build_id, row_number() OVER (ORDER BY created_at, build_id) AS ord FROM builds WHERE state = 'sealed'),
@@ -220,7 +231,7 @@ WITH {_RECORDS}
 SELECT record_id, trim(f[seg], {_PAD}) AS segment, trim(f[nd], {_PAD}) AS need, lower(trim(f[pr], {_PAD})) AS priority
 FROM verdicts WHERE reason IS NULL""",
 }
-SQL["p3_incremental"] = SQL["p3_profile"]
+SQL["p3_incremental"] = SQL["p3_stored"] = SQL["p3_profile"]
 _LIMITS = f"""
 WITH {_PROFILE}, seen AS (
   SELECT build_id, table_id, ordinal, load_no, unnest(['null_share', 'distinct_count', 'violations']) AS metric,

@@ -96,6 +96,12 @@ def freed_bytes(spark, d):
     return held.join(sizes, "artifact_id").agg(F.count(F.lit(1)).alias("artifacts"), F.sum("bytes").alias("bytes"))
 
 
+def preflight_sizes(spark, d):
+    """What projecting the texts would write, held against the limits."""
+    texts = B.nodes(spark, d).select(F.lit("nodes").alias("entity"), F.octet_length("text").alias("bytes"))
+    return L.preflight(texts.unionByName(table(spark, d, "documents").select(F.lit("documents").alias("entity"), F.octet_length("text").alias("bytes"))))
+
+
 def supersession_missing(spark, d):
     now = _now(spark, d)
     edges = now.select("artifact_id", F.explode("supersedes").alias("superseded_id")).distinct()
@@ -259,7 +265,7 @@ def stream_windows(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        stream_windows, resolve_rules, rule_supersessions, unmatched_rules, supersession_flags, supersession_cycles, supersession_conflicts, superseded_lists, declared_only, freed_bytes, supersession_missing,
+        stream_windows, resolve_rules, rule_supersessions, unmatched_rules, supersession_flags, supersession_cycles, supersession_conflicts, superseded_lists, declared_only, freed_bytes, preflight_sizes, supersession_missing,
         fingerprint_compare, plan_summary, hash_roots, tree_roots, diff_artifacts, diff_chunks, diff_rules, diff_tables,
         validate_nodes, validate_without_sections, validate_chunks, retention_plan, unreferenced_objects, build_history, case_collisions,
         exclusion_report, artifact_counts, build_counts, infer_types, types_widened, types_widened_early, column_stats, relation_stats,
@@ -387,6 +393,10 @@ WITH RECURSIVE {B.ARTIFACTS}, own AS (SELECT DISTINCT id AS artifact_id, authori
 edges AS (SELECT artifact_id, superseded_id FROM own UNION SELECT superseded_id, artifact_id FROM own JOIN b2 ON b2.id = superseded_id WHERE b2.authority >= own.authority), {_CYCLES}""",
     "superseded_lists": f"WITH {_EDGES} SELECT artifact_id, string_agg(superseded_id, ',' ORDER BY superseded_id) AS supersedes FROM edges GROUP BY 1",
     "declared_only": f"WITH {B.ARTIFACTS} SELECT id AS artifact_id, status, authority FROM b2 WHERE status <> 'active' OR authority <> 50 OR len(supersedes) > 0",
+    "preflight_sizes": f"""
+WITH {B.NODES}, s AS (SELECT 'nodes' AS entity, count(*) AS rows, sum(strlen(text)) AS bytes FROM n UNION ALL SELECT 'documents', count(*), sum(strlen(text)) FROM documents)
+SELECT *, CASE WHEN bytes > 524288000 THEN 'refuse' WHEN bytes > 419430400 THEN 'warn' ELSE 'ok' END AS verdict
+FROM (SELECT * FROM s UNION ALL SELECT 'all', sum(rows), sum(bytes) FROM s)""",
     "freed_bytes": f"""
 WITH {B.NODES}, {B.ARTIFACTS}, {_RETAINED}, gone AS (SELECT content_hash AS hash FROM arts JOIN ret USING (build_id) GROUP BY 1 HAVING NOT bool_or(kept)),
 held AS (SELECT DISTINCT id FROM arts WHERE content_hash IN (SELECT hash FROM gone)),

@@ -5,10 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
 _SHIPPED: set[str] = set()
 
 
@@ -108,3 +113,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage through a reliable checkpoint, which outlives any executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def at_once(*jobs: Callable[[], T], most: int = 4) -> list[T]:
+    """The results of independent jobs, a few of them running at a time: small ones leave no core idle."""
+    session = SparkSession.getActiveSession()
+    within = inheritable_thread_target(session) if session is not None else (lambda job: job)
+    with ThreadPoolExecutor(most) as pool:
+        return [f.result() for f in [pool.submit(within(job)) for job in jobs]]

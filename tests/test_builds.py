@@ -115,6 +115,41 @@ def test_rebuilds_that_are_overtaken_stay_inactive(spark, tmp_path):
     assert again.run(once=True)["build_id"] == state.active() is not None
 
 
+def test_projection(spark, tmp_path):
+    from stratalith import projection as P
+
+    src = _project(tmp_path)
+    state, config = B.State(tmp_path / "state"), B.Config("demo", {"m": str(src)})
+    one = B.build(spark, state, config)["build_id"]
+    (src / "new.md").write_text("# New\n\nMore about a rollback.\n")
+    two = B.build(spark, state, config)["build_id"]
+    target = str(tmp_path / "remote")
+    for project_id, build in (("p", one), ("p", two), ("q", one), ("p", two)):
+        assert P.project(spark, state, build, target, project_id)["verdict"] == "ok"
+    for build in (one, two):
+        for entity in ("chunks", "artifacts", "cells"):
+            assert sorted(map(str, P.remote_read(spark, target, "p", build, entity).collect())) == sorted(map(str, B.read(spark, state, build, entity).collect()))
+        near, far = (sorted((r.chunk_id, r.bm25) for r in i.bm25("rollback").collect()) for i in (Runtime(spark, state)._index(build), P.RemoteIndex(spark, target, "p", build)))
+        assert near == far and near
+    assert P.remote_prune(spark, target, "p", [two]) == [one] and P.projected(spark, target).select("project_id", "build_id").distinct().count() == 2
+    with pytest.raises(LookupError):
+        P.remote_read(spark, target, "p", one, "chunks")
+    assert P.remote_read(spark, target, "q", one, "chunks").count() > 0
+
+
+def test_freshness_is_told_again_after_a_while(spark, tmp_path):
+    src = _project(tmp_path)
+    state, config, now = B.State(tmp_path / "state"), B.Config("demo", {"m": str(src)}), [0.0]
+    B.build(spark, state, config)
+    fresh = B.Freshness(spark, state, config, 10, lambda: now[0])
+    assert fresh.get()["state"] == "clean"
+    (src / "old.txt").write_text("changed")
+    now[0] = 9.0
+    assert fresh.get()["state"] == "clean" and fresh.get()["age"] == 9.0
+    now[0] = 10.0
+    assert fresh.get()["state"] == "dirty"
+
+
 def test_discovery_prunes_and_reports(spark, tmp_path):
     src = _project(tmp_path)
     (src / ".gitignore").write_text("data/\n*.txt\n!keep.txt\n")

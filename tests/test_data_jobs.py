@@ -1,5 +1,7 @@
 from datetime import datetime, timedelta
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from stratalith.operators import profile as P
@@ -97,6 +99,24 @@ def test_kept_states_give_the_same_profile(spark, tmp_path):
     assert sorted(map(str, parts.select(columns).collect())) == sorted(map(str, P.profile(df, builds).select(columns).collect()))
 
 
+def test_states_in_a_folder_are_made_once(spark, tmp_path):
+    def rows(b, n):
+        return [(b, f"t{i % 3}", i, f"AB-{100 + i % 3}", str(i), None, "true", "2031-02-28", "a-b", T0, 1) for i in range(n)]
+
+    def same(df):
+        names = ["build_id", "table_id", "ordinal", "value", "n", "fit"]
+        return sorted(map(str, P.keep_states(df, root).select(names).collect())) == sorted(map(str, P.column_states(df).select(names).collect()))
+
+    root = str(tmp_path / "states")
+    first, second = spark.createDataFrame(rows("b1", 20), PRICE), spark.createDataFrame(rows("b4", 9) + rows(None, 2), PRICE)
+    assert same(first) and same(first.unionByName(second))
+    # A build that is known isn't scanned again; one that has grown is.
+    other = first.withColumn("sku", F.lit("ZZ-999"))
+    assert P.keep_states(other.unionByName(second), root).where("value = 'ZZ-999'").count() == 0
+    grown = first.unionByName(spark.createDataFrame(rows("b1", 21)[20:], PRICE)).unionByName(second)
+    assert same(grown)
+
+
 def test_control_limits(spark):
     rows = [("b", "t", 1, i, 0.1, 10, 0) for i in range(1, 6)] + [("b", "t", 1, 6, 0.9, 10, 0)]
     df = spark.createDataFrame(rows, "build_id string, table_id string, ordinal int, load_no int, null_share double, distinct_count bigint, violations bigint")
@@ -130,3 +150,25 @@ def test_stream_recovers_at_the_next_record():
     got = list(R.RecordParser(text, ",").records())
     assert [r.fields[0] if not r.fault else None for r in got] == ["a", None, "c", "d"]
     assert got[1].fault.what == "quoted field isn't closed" or got[1].fault.at > 0
+
+
+RAW = st.lists(st.text(alphabet='ab,"\n\r x', max_size=12).filter(lambda t: t.strip()), max_size=12)
+
+
+@settings(deadline=None, max_examples=300)
+@given(RAW)
+def test_whole_files_give_the_verdicts_of_single_records(raws):
+    found, _ = R.parse_block(raws, ",")
+    for raw, got in zip(raws, found, strict=True):
+        alone = R.RecordParser(raw, ",", single=True).record(0)
+        assert (got.fault is None) == (alone.fault is None) and (alone.fault is not None or got.fields == alone.fields)
+
+
+def test_faults_are_located_and_resumed_after(spark):
+    raws = ["need,segment,priority", "x,a,high", 'y,"b,low', "z,c,low", 'w,"d",low', 'v,e"f,low', "u,g,high"]
+    df = spark.createDataFrame([(i, "f", i + 1, r, T0) for i, r in enumerate(raws)], LINES)
+    got = [tuple(r) for r in R.located_faults(df).orderBy("record_no").collect()]
+    assert got == [("f", 3, 5, 3, "text after a closing quote", 1), ("f", 6, 6, 3, "quote inside a bare field", 1)]
+    assert {r.record_id: r.reason for r in R.rejected(df).collect()} == {2: "quoting", 5: "quoting"}
+    small = {r.record_id: r.reason for r in R.parse_records(df, block=2).collect()}
+    assert small == {r.record_id: r.reason for r in R.parse_records(df).collect()} and len(small) == 6
