@@ -12,9 +12,9 @@ signatures agree in as many bits as similarity ``threshold`` lets expect, less f
 merely share some boilerplate few get as far as their texts. Candidates are verified exactly on their shingle sets.
 
 Runs of one a_i longer than ``RUN_ROWS`` (texts that share a template) never pile up in a task: runs that a bounded sample
-shows to be long are spread over tasks by salt, and whatever run is long is passed on row by row; only for these rows the
-table keys (a_i, b_j) are written out, and tables that are long even so are compared in blocks. Which way a run takes
-has no bearing on its pairs.
+shows to be long are spread over tasks by salt, and whatever run is long is left out where the others are paired; only for
+rows of long runs the table keys (a_i, b_j) are written out, and tables that are long even so are compared in blocks. Which
+way a run takes has no bearing on its pairs.
 
 Defined cases: a null, empty or wordless text is in no pair; copies have similarity 1; a text of fewer words than a
 shingle is one shingle; repeated rows of an id count once; texts of any length are taken whole; an empty table gives no
@@ -148,7 +148,7 @@ def band_rows(texts: DataFrame, b: Banding, hot: np.ndarray | None = None) -> Da
                     [pa.array(a), pa.array(salt), pa.array(k), _fixed(np.tile(payload, (b.left, 1)))], names=["a_key", "salt", "k", "payload"]
                 )
 
-    return texts.select("k", "plain").mapInArrow(run, "a_key bigint, salt int, k bigint, payload binary")
+    return texts.select("k", "plain").mapInArrow(run, "a_key bigint NOT NULL, salt int NOT NULL, k bigint, payload binary")
 
 
 def hot_keys(records: DataFrame, b: Banding, run_rows: int = RUN_ROWS) -> np.ndarray:
@@ -212,39 +212,28 @@ def _tensor(run: np.ndarray, text: np.ndarray, payload: np.ndarray, b: Banding)
 
 
 def _met(b: Banding, run_rows: int, chunk_rows: int):
-    """Pairs (lo, hi, null) of runs that meet in a task; rows of longer or salted runs as (a_key, k, payload)."""
-    Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
-    names = ["lo", "hi", "payload"]
-
-    def passed_on(rows: Rows) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[2]), _fixed(rows[3])], names=names)
+    """Pairs (lo, hi) of the runs that meet in a task, but for longer and salted ones, which go another way."""
+    Rows = tuple[np.ndarray, np.ndarray, np.ndarray]
 
     def whole(rows: Rows) -> Iterator[pa.RecordBatch]:
-        a, salt, text, payload = rows
+        a, text, payload = rows
         if not len(a):
             return
         run = np.cumsum(np.r_[True, a[1:] != a[:-1]]) - 1
         size = np.bincount(run)[run]
-        on = (size > run_rows) | (salt > 0)
-        if on.any():
-            yield passed_on(tuple(c[on] for c in rows))
-        keep = (size > 1) & ~on
+        keep = (size > 1) & (size <= run_rows)
         for lo, hi in _tensor(run[keep], text[keep], payload[keep], b):
-            yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.nulls(len(lo), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Rows] = []
         n, long = 0, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, salt, text = (batch.column(i).to_numpy() for i in range(3))
-            rows = (a.copy(), salt.copy(), text.copy(), _bytes_of(batch.column(3), b.payload).copy())
+            near = np.flatnonzero(batch.column(1).to_numpy() == 0)
+            rows = (batch.column(0).to_numpy()[near], batch.column(2).to_numpy()[near], _bytes_of(batch.column(3), b.payload)[near])
             if long is not None:  # the long run goes on
                 more = int(np.searchsorted(rows[0], long, side="right"))
-                if more:
-                    yield passed_on(tuple(c[:more] for c in rows))
-                    rows = tuple(c[more:] for c in rows)
+                rows = tuple(c[more:] for c in rows)
                 if not len(rows[0]):
                     continue
                 long = None
@@ -257,7 +246,6 @@ def _met(b: Banding, run_rows: int, chunk_rows: int):
             yield from whole(tuple(c[:last] for c in rows))
             rest = tuple(c[last:] for c in rows)
             if len(rest[0]) > run_rows:
-                yield passed_on(rest)
                 long, held, n = rest[0][0], [], 0
             else:
                 held, n = [rest], len(rest[0])
@@ -274,7 +262,7 @@ def _in_tables(rows: DataFrame, b: Banding, block_rows: int) -> DataFrame:
     """
     keys = F.transform(F.sequence(F.lit(0), F.lit(b.right - 1)), lambda j: F.xxhash64("a_key", j, F.substring(F.col("payload"), j + 1, F.lit(1))))
     keyed = rows.select("k", F.substring("payload", b.right + 1, b.bits // 8).alias("signs"), F.explode(keys).alias("tab"))
-    sizes = keyed.groupBy("tab").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = keyed.groupBy("tab").agg(F.count("k").alias("n")).where("n > 1")
     sizes = sizes.select("tab", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
     dealt = keyed.join(sizes, "tab").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -301,13 +289,15 @@ def _in_tables(rows: DataFrame, b: Banding, block_rows: int) -> DataFrame:
 
 def candidate_pairs(bands: DataFrame, b: Banding, run_rows: int = RUN_ROWS, block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(lo, hi) short keys of texts that share a table key and whose signatures agree enough, each pair once."""
-    met = bands.repartition("a_key", "salt").sortWithinPartitions("a_key")
-    found = met.mapInArrow(_met(b, run_rows, chunk_rows), "lo bigint, hi bigint, payload binary")
-    # Pairs are made unique and rows passed on in one exchange, which both branches read; the second is empty as a rule.
-    once = found.groupBy("lo", "hi", F.col("payload").isNull().alias("is_pair")).agg(F.max("payload").alias("payload"))
-    pairs = once.where("payload IS NULL").select("lo", "hi")
-    long = once.where("payload IS NOT NULL").select(F.col("lo").alias("a_key"), F.col("hi").alias("k"), "payload")
-    return pairs.unionByName(_in_tables(long, b, block_rows)).distinct()
+    # One exchange serves the pairs, the count of the runs and the rows of long ones. The long runs' keys go through an
+    # exchange of their own, so that it is known how few they are (as a rule none) before any row is read for them.
+    met = bands.repartition("a_key", "salt")
+    pairs = met.sortWithinPartitions("a_key").mapInArrow(_met(b, run_rows, chunk_rows), "lo bigint, hi bigint").distinct()
+    # Every branch names all columns and none asks whether a key is null, else each would have an exchange of its own.
+    runs = met.groupBy("a_key", "salt").agg(F.greatest(F.count("k"), F.count("payload")).alias("n"))
+    long = runs.where((F.col("n") > run_rows) | (F.col("salt") > 0)).select("a_key", "salt").repartition("a_key", "salt")
+    rows = met.join(long, ["a_key", "salt"]).select("a_key", "k", "payload")
+    return pairs.unionByName(_in_tables(rows, b, block_rows)).distinct()
 
 
 def _verify(b: Banding):

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from stratalith.llm import neardup as N
@@ -72,23 +74,22 @@ def test_long_runs_are_split_without_losing_pairs(spark):
     assert len(N.hot_keys(df, B, 20)) > 0
 
 
-def test_a_run_longer_than_a_chunk_is_passed_on(spark):
-    b, rng = N.Banding(), __import__("numpy").random.default_rng(1)
-    import pyarrow as pa
-
-    a = sorted([7] * 50 + [3, 3, 9, 9] + [8] * 2)
+def test_a_run_longer_than_a_chunk_is_left_out():
+    b, rng = N.Banding(), np.random.default_rng(1)
+    a = sorted([7] * 50 + [3, 3, 9, 9] + [8] * 2 + [5] * 3)
     pay = rng.integers(0, 255, (len(a), b.payload)).astype("uint8")
     pay[:] = pay[0]
+    salt = [int(x == 5) for x in a]
     batches = [
         pa.RecordBatch.from_arrays(
-            [pa.array(a[i : i + 5], pa.int64()), pa.array([0] * len(a[i : i + 5]), pa.int32()), pa.array(range(i, min(i + 5, len(a))), pa.int64()), N._fixed(pay[i : i + 5])],
+            [pa.array(a[i : i + 5], pa.int64()), pa.array(salt[i : i + 5], pa.int32()), pa.array(range(i, min(i + 5, len(a))), pa.int64()), N._fixed(pay[i : i + 5])],
             names=["a_key", "salt", "k", "payload"],
         )
         for i in range(0, len(a), 5)
     ]
-    rows = [r for out in N._met(b, 10, 12)(iter(batches)) for r in out.to_pylist()]
-    assert sorted(r["hi"] for r in rows if r["payload"]) == [i for i, x in enumerate(a) if x == 7]
-    assert {(a[r["lo"]], a[r["hi"]]) for r in rows if not r["payload"]} == {(3, 3), (8, 8), (9, 9)}
+    for chunk_rows in (1, 12, 1_000):
+        rows = [r for out in N._met(b, 10, chunk_rows)(iter(batches)) for r in out.to_pylist()]
+        assert sorted((a[r["lo"]], a[r["hi"]]) for r in rows) == [(3, 3), (8, 8), (9, 9)]
 
 
 def test_groups_of_copies_of_any_size_come_out_whole(spark):
