@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 
 import pandas as pd
@@ -25,6 +26,10 @@ def trimmed(c: Column) -> Column:
     return F.btrim(c, F.lit(_BLANK_CHARS))
 
 
+#: Letters and numbers are what ``\w`` holds besides the underscore.
+_WORDS = re.compile(r"[^\W_]+")
+
+
 @F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """NFC form; null stays null."""
@@ -60,9 +65,8 @@ def index_terms(c: Column) -> Column:
 
 
 def fold_terms(text: str) -> list[str]:
-    """``index_terms`` of a query, on the driver."""
-    plain = "".join(ch if unicodedata.category(ch)[0] in "LN" else " " for ch in (_fold(text) or "").lower())
-    return plain.split()
+    """``index_terms`` of a text, in Python."""
+    return _WORDS.findall((_fold(text) or "").lower())
 
 
 def utf16_length(c: Column) -> Column:

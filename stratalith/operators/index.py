@@ -58,6 +58,13 @@ def query_phrases(query: str) -> list[list[str]]:
     return [p for p in (fold_terms(part) for part in query.split()) if p]
 
 
+def named_phrases(queries: DataFrame) -> DataFrame:
+    """(query_id, key, words, times) of queries(query_id, query): the phrases of each and how often it names them."""
+    parts = queries.select("query_id", F.explode(F.split(F.trim("query"), r"\s+")).alias("part"))
+    terms = parts.select("query_id", index_terms(F.col("part")).alias("words")).where(F.size("words") > 0)
+    return terms.groupBy("query_id", F.array_join("words", " ").alias("key"), "words").agg(F.count(F.lit(1)).alias("times"))
+
+
 def idf(n: Column, df: Column) -> Column:
     raw = F.log((n - df + 0.5) / (df + 0.5))
     return F.when(raw > 0, raw).otherwise(IDF_FLOOR)
@@ -182,9 +189,7 @@ class SearchIndex:
         The same meaning as ``bm25``, phrases included. Only entries of the queries' terms are read; what a shard holds is
         added up per query and chunk before anything is exchanged.
         """
-        parts = queries.select("query_id", F.explode(F.split(F.trim("query"), r"\s+")).alias("part"))
-        terms = parts.select("query_id", index_terms(F.col("part")).alias("words")).where(F.size("words") > 0)
-        named = terms.groupBy("query_id", F.array_join("words", " ").alias("key"), "words").agg(F.count(F.lit(1)).alias("times"))
+        named = named_phrases(queries)
         wanted = named.select("key", "words").distinct()
         single = wanted.where(F.size("words") == 1).select(F.col("key").alias("term"))
         longer = wanted.where(F.size("words") > 1).select("key", F.size("words").alias("n"), F.posexplode("words").alias("k", "term"))

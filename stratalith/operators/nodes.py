@@ -15,13 +15,22 @@ LONG_LINE = 20_000
 EXACT_KINDS = ("code", "sheet", "row-group")
 
 
+def _others(nodes: DataFrame) -> list[str]:
+    return [c for c in nodes.columns if c not in ("id", "indexed_at")]
+
+
+def revision_order(nodes: DataFrame) -> Column:
+    """What tells the latest of several rows of one id: the largest."""
+    return F.struct("indexed_at", F.xxhash64(*_others(nodes)))
+
+
 def latest_nodes(nodes: DataFrame) -> DataFrame:
     """One row per id, the one indexed last; null ids are left out."""
-    others = [c for c in nodes.columns if c not in ("id", "indexed_at")]
+    others = _others(nodes)
     return (
         nodes.where(F.col("id").isNotNull())
         .groupBy("id")
-        .agg(F.max_by(F.struct(*others), F.struct("indexed_at", F.xxhash64(*others))).alias("n"))
+        .agg(F.max_by(F.struct(*others), revision_order(nodes)).alias("n"))
         .select("id", *[F.col(f"n.{c}").alias(c) for c in others])
     )
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalith import constants as C
 from stratalith.functions.hashing import artifact_id, sha256
+from stratalith.operators import batch as M
 from stratalith.operators import lifecycle as L
 from stratalith.operators.index import SearchIndex
-from stratalith.operators.nodes import latest_nodes
+from stratalith.operators.nodes import latest_nodes, revision_order
 from stratalith.session import exists, files_of, shared_folder, table
 
 _INDEXES: dict[str, SearchIndex] = {}
@@ -39,6 +40,12 @@ def last_two(spark, d) -> tuple[str, str]:
     return builds[-2], builds[-1]
 
 
+def indexed() -> list[Column]:
+    """The indexed columns of a chunk, of its node."""
+    path = F.regexp_replace("artifact_id", "^[^:]*:", "").alias("path")
+    return [path, F.col("title"), F.array_join("heading_path", " ").alias("heading"), F.col("text").alias("body")]
+
+
 def chunks(spark, d) -> DataFrame:
     """Nodes with text as chunks of the index; status and authority as the last sealed build declares them."""
     declared = L.of_build(artifacts(spark, d), sealed_builds(spark, d)[-1]).select(
@@ -50,10 +57,7 @@ def chunks(spark, d) -> DataFrame:
         .select(
             F.col("id").alias("chunk_id"),
             "artifact_id",
-            F.regexp_replace("artifact_id", "^[^:]*:", "").alias("path"),
-            "title",
-            F.array_join("heading_path", " ").alias("heading"),
-            F.col("text").alias("body"),
+            *indexed(),
             "heading_path",
             "line_start",
             "line_end",
@@ -80,6 +84,32 @@ def search_index(spark, d) -> SearchIndex:
     return _INDEXES[root]
 
 
+def phrase_rows(spark, d, phrases) -> tuple[DataFrame, int]:
+    """The chunks as rows of the phrases they hold, in so many samples; kept as the index is, for the same phrases.
+
+    Every delivered row of a node is read to its phrases first, so that which one is the latest is told among small rows.
+    """
+    rows = table(spark, d, "nodes")
+    samples = M.samples_of(rows.count())
+    seen = (files_of(spark, f"{d}/nodes.parquet"), phrases)
+    root = f"{shared_folder(spark)}/phrases-{sha256(repr(seen))[:24]}"
+    if not exists(spark, f"{root}/_SUCCESS"):
+        texts = rows.select(
+            F.col("id").alias("chunk_id"), revision_order(rows).alias("revision"), (F.col("text") != "").alias("held"),
+            *indexed(),
+        )
+        latest = (
+            M.phrase_rows(texts.where(F.col("chunk_id").isNotNull()), phrases)
+            .groupBy("chunk_id")
+            .agg(F.max_by(F.struct("held", "dl", "keys", "tfs"), "revision").alias("n"))
+            .where("n.held")
+            .select("chunk_id", "n.dl", "n.keys", "n.tfs", M.sample_of(samples).alias("sample"))
+        )
+        latest.write.mode("overwrite").partitionBy("sample").parquet(root)
+    # Without a single chunk there is no file to read the schema from.
+    return spark.read.schema("chunk_id string, dl int, keys array<int>, tfs array<float>, sample int").parquet(root), samples
+
+
 def superseded(spark, d) -> DataFrame:
     """Artifacts that an artifact of the last sealed build supersedes."""
     last = L.of_build(artifacts(spark, d), sealed_builds(spark, d)[-1])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stratalith.functions import hashing as H
 from stratalith.functions import text as X
 from stratalith.functions.globs import IgnoreRule, deciding_rule, ignore_regex, parse_ignore, path_glob, sqlite_glob
-from stratalith.operators import chunking, context, index, lifecycle, nodes, ranges, ranking, rules, tables
+from stratalith.operators import batch, chunking, context, index, lifecycle, nodes, ranges, ranking, rules, tables
 from stratalith.plans import text_jobs
 
 CHUNKS = "chunk_id string, artifact_id string, path string, title string, heading string, body string, status string"
@@ -57,6 +57,32 @@ def test_batch_equals_single(spark, searchable, mode):
         assert all(abs(got[k, c] - v) < 1e-9 for c, v in one.items())
 
 
+@pytest.mark.parametrize("samples", [1, 3])
+def test_best_of_each_equals_the_whole_batch(spark, tmp_path, samples):
+    _, df = _chunks(spark, 400, 11)
+    df = df.withColumn("title", F.when(F.col("chunk_id") > "c2", F.col("title")))
+    asked = [("a", "alpha beta"), ("b", "rollback"), ("c", "data-set café"), ("d", "alpha alpha gamma"), ("e", "—"), ("f", None), (None, "missing-term beta"), ("g", "DIR naïve-index")]
+    asked += [(f"q{i}", q) for i, q in enumerate(("md delta", "build set data index", "file-3", "index-rollback gamma gamma", "nowhere"))]
+    queries = spark.createDataFrame(asked, "query_id string, query string")
+    index.SearchIndex.write(df, str(tmp_path))
+    best: dict = {}
+    for r in index.SearchIndex(spark, str(tmp_path)).batch_bm25(queries).withColumn("bm25", X.round6(F.col("bm25"))).collect():
+        best.setdefault(r.query_id, []).append((r.bm25, r.chunk_id))
+    want = {(q, c, s, n) for q, rows in best.items() for n, (s, c) in enumerate(sorted(rows)[:5], 1)}
+    named = batch.Queries(queries)
+    rows = batch.phrase_rows(df.drop("artifact_id", "status").repartition(3), named.phrases).withColumn("sample", batch.sample_of(samples))
+    got = [(r.query_id, r.chunk_id, r.bm25, r.position) for r in batch.best_of_each(rows, named, samples, 5).collect()]
+    assert len(got) == len(want) and set(got) == want and {"a", "c", None, "g"} <= {g[0] for g in got}
+
+
+def test_best_of_each_without_queries_or_chunks(spark):
+    _, df = _chunks(spark)
+    for asked, chunks in (([("a", "—"), ("b", None)], df), ([("a", "alpha")], df.where("false"))):
+        named = batch.Queries(spark.createDataFrame(asked, "query_id string, query string"))
+        rows = batch.phrase_rows(chunks.drop("artifact_id", "status"), named.phrases).withColumn("sample", F.lit(0))
+        assert batch.best_of_each(rows, named, 1, 5).count() == 0
+
+
 def test_empty_query_and_corpus(spark, searchable, tmp_path):
     _, df = _chunks(spark)
     assert searchable[1].bm25("—").count() == 0 and searchable[1].match("").count() == 0
